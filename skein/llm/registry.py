@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.packing import op1_packing
+from skein.llm.secret_scan import op4_secrets
 from skein.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op4_secrets": op4_secrets,
 }
 
 ORACLES: dict[str, str] = {}
