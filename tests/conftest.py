@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from skein.plans.session import local_session
 
-    session = local_session(8, "tests")
+    session = local_session(4, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
