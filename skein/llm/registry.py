@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.language_id import op8_language
 from skein.llm.packing import op1_packing
 from skein.llm.secret_scan import op4_secrets
 from skein.llm.simhash import op2_simhash
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
+    "op8_language": op8_language,
 }
 
 ORACLES: dict[str, str] = {}

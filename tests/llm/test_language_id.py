@@ -1,0 +1,38 @@
+from zlib import crc32
+
+from pyspark.sql import functions as F
+
+from skein.llm.language_id import Training, classifier, crc32_of_id, identify, op8_language, train
+
+
+def test_held_out_accuracy_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    got = op8_language(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(lang)
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.96 * len(held)
+    assert sum(r.rejected for r in got) <= 0.02 * len(got)
+
+
+def test_hard_rows(spark):
+    rows = [(1, "the cat and the dog " * 30, "en"), (2, "der hund und die katze " * 30, "de"), (3, None, "en"), (4, "", None), (5, "12 -- 7", "de"), (6, "und der", None), (None, "the and", "xx"), (7, "the dog and " * 200_000, "en"), (7, "Ж", "ru"), (8, "the dog", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as score", "1 as margin", "2 as lang_pred")
+    known = train(docs, F.lit(True), Training(languages=3))
+    assert [k for k, _ in known][0] == "en" and len(known) == 3
+    got = [(r.doc_id, r.lang_pred, r.rejected) for r in identify(docs, known).collect()]
+    assert (3, "und", True) in got and (4, "und", True) in got and (5, "und", True) in got
+    assert (6, "de", False) in got and (7, "en", False) in got and len(got) == len(rows)
+    kept = identify(docs, known, keep_columns=True)
+    assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "margin", "score", "rejected"]
+    assert identify(docs.where("false"), known).count() == 0
+    none = train(docs.where("false"), F.lit(True))
+    assert none == [] and {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
+    single = identify(docs, train(docs.where("lang = 'en'"), crc32_of_id() >= 0)).collect()
+    assert {r.lang_pred for r in single} == {"en", "und"}
+
+
+def test_long_texts_are_read_whole():
+    classify = classifier([("a", b"xyzzy plugh " * 50), ("b", b"lorem ipsum dolor " * 50)], block=100)
+    assert classify("xyzzy plugh " + "lorem ipsum dolor " * 100)[0] == "b"
