@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.huffman import op10_token_files
 from skein.llm.language_id import op8_language
 from skein.llm.packing import op1_packing
 from skein.llm.secret_scan import op4_secrets
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
     "op8_language": op8_language,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,65 @@
+import heapq
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from skein.llm.huffman import Codec, code_lengths, op10_token_files, read_blocks, round_trip, write_block
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+library = Tokenizer.from_file(WORD)
+
+
+def want(rows):
+    out, start = [], 0
+    ids = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows]
+    for d, x in sorted(ids, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
+        out.append((d, start, len(x), crc32(np.array(x, "<u4").tobytes())))
+        start += len(x)
+    return out
+
+
+def test_lengths_are_optimal_where_the_limit_allows():
+    counts = np.random.default_rng(0).integers(1, 1000, 300)
+    heap, cost = sorted(counts.tolist()), 0
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        cost += a + b
+        heapq.heappush(heap, a + b)
+    assert int((code_lengths(counts) * counts).sum()) == cost
+
+
+def test_lengths_keep_the_limit_and_krafts_sum():
+    counts = np.array([2**min(i, 50) for i in range(60)])
+    lengths = code_lengths(counts)
+    assert lengths.max() <= 16 and sum(2.0 ** -lengths.astype(int)) == 1
+    assert code_lengths(np.ones(65536, int)).tolist() == [16] * 65536
+    assert code_lengths(np.array([0, 7, 0])).tolist() == [0, 1, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 500), min_size=1, max_size=400), min_size=1, max_size=6))
+def test_block_round_trip(docs):
+    ids = np.concatenate([np.array(d) for d in docs])
+    codec = Codec(code_lengths(np.bincount(ids, minlength=1 << 16)))
+    names = [None, *range(1, len(docs))]
+    block = write_block(codec, names, [np.array(d, np.uint16) for d in docs])
+    ((got, parts), (again, _)) = read_blocks(codec, block + b"\x00\x00" + block)
+    assert got == names == again and [p.tolist() for p in parts] == docs
+
+
+def test_hard_rows(spark):
+    rows = [(5, None), (3, ""), (9, "one # two"), (9, "one # two"), (9, "another"), (None, "no id"), (-4, "Ü日本 x"), (7, "word " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as ids", "1 as part").repartition(4)
+    got = sorted(map(tuple, round_trip(docs, WORD).collect()), key=lambda r: r[1])
+    assert got == want(rows)
+    assert round_trip(docs.where("false"), WORD).count() == 0
+
+
+def test_whole_small_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = sorted(map(tuple, op10_token_files(spark, "/root/testdata/sf0.001").collect()), key=lambda r: r[1])
+    assert got == want(rows)
