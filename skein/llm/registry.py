@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm import topk, url_filter, warc
 from skein.llm.huffman import op10_token_files
 from skein.llm.language_id import op8_language
 from skein.llm.packing import op1_packing
 from skein.llm.secret_scan import op4_secrets
 from skein.llm.simhash import op2_simhash
+from skein.llm.topk import op7_topk
+from skein.llm.url_filter import op6_url_filter
+from skein.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
+    "op6_url_filter": op6_url_filter,
+    "op7_topk": op7_topk,
     "op8_language": op8_language,
+    "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": url_filter.ORACLE,
+    "op7_topk": topk.ORACLE,
+    "op9_warc": warc.ORACLE,
+}
