@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm import topk, url_filter, warc
 from skein.llm.huffman import op10_token_files
 from skein.llm.language_id import op8_language
+from skein.llm.lm_score import op5_lm_score
 from skein.llm.packing import op1_packing
 from skein.llm.secret_scan import op4_secrets
 from skein.llm.simhash import op2_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
+    "op5_lm_score": op5_lm_score,
     "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
     "op8_language": op8_language,
