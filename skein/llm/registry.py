@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import topk, url_filter, warc
+from skein.llm.decontaminate import op3_decontamination
 from skein.llm.huffman import op10_token_files
 from skein.llm.language_id import op8_language
 from skein.llm.lm_score import op5_lm_score
@@ -20,6 +21,7 @@ from skein.llm.warc import op9_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
     "op5_lm_score": op5_lm_score,
     "op6_url_filter": op6_url_filter,

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import table, written
 from skein.llm.graph import components
@@ -178,6 +179,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     return fp.join(of_fp, fp["fp"] == of_fp["of_fp"], "left").select("doc_id", named, "component_id")
 
 
+def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the smallest doc_id of each component.
+
+    Rows that share a doc_id are told apart by fingerprint, and of those that share both
+    one stays. Rows without doc_id can't be named and stay.
+    """
+    near = written(near_duplicates(docs, words, radius).where("doc_id is not null"), "near")
+    goes = near.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
+    several = near.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    key = docs["doc_id"].cast("long")
+    if several.isEmpty():
+        return docs.join(goes, key == F.col("__id"), "left_anti")
+    several = written(several, "several")
+    single = docs.join(goes.unionByName(several).distinct(), key == F.col("__id"), "left_anti")
+    stays = near.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__kept")).distinct()
+    rows = docs.join(several, key == F.col("__id"), "left_semi")
+    at, schema = docs.columns.index("text"), T.StructType([*rows.schema.fields, T.StructField("__fingerprint", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            fps = pa.array([f"{fingerprint(t or b'', words):016x}" for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], schema.names)
+
+    marked = rows.mapInArrow(run, schema)
+    kept = marked.join(stays, (marked["doc_id"].cast("long") == stays["__id"]) & (marked["__fingerprint"] == stays["__kept"]))
+    return single.unionByName(kept.dropDuplicates(["__id", "__fingerprint"]).select(*docs.columns))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with fingerprint and component."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,0 +1,100 @@
+import random
+
+from skein.llm.decontaminate import Passages, Settings, clean, common_subsequence, leaks, op3_decontamination, windows, words_of
+
+import numpy as np
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_common_subsequence():
+    rng = random.Random(0)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 20))] for _ in range(2))
+        assert common_subsequence(a, b) == plain_lcs(a, b)
+
+
+def test_every_stretch_of_64_words_lies_in_a_window():
+    for n in (1, 64, 128, 129, 191, 192, 193, 500):
+        window, hit = windows(np.arange(n), n)
+        held = {}
+        for w, h in zip(window.tolist(), hit.tolist()):
+            held.setdefault(w, set()).add(h)
+        assert all(max(v) - min(v) < 128 for v in held.values())
+        assert all(any(set(range(i, min(n, i + 64))) <= v for v in held.values()) for i in range(max(1, n - 63)))
+
+
+def fixture():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["ba", "ke", "ro", "ti", "shu", "men", "lo"]) for _ in range(rng.choice([1, 2, 3, 4])))
+    sentence = lambda n: " ".join([*(word() for _ in range(n)), word() + "."])
+    items = [(i, " ".join(sentence(rng.randrange(5, 12)) for _ in range(4)).capitalize()) for i in range(30)]
+    items += [(30, " ".join(sentence(10) for _ in range(16)))]
+    docs, want = [], set()
+    for d in range(300):
+        body = [sentence(9) for _ in range(rng.randrange(3, 40))]
+        if d % 3 == 0:
+            i, text = rng.choice(items)
+            words = text.split()
+            if d % 2:  # some words out, some others in, the answer kept
+                keep = len(words) - len(text.rsplit(". ", 1)[1].split())
+                words = [w for k, w in enumerate(words) if k >= keep or rng.random() > 0.15]
+                for _ in range(3):
+                    words.insert(rng.randrange(len(words)), word())
+            body.insert(rng.randrange(len(body)), " ".join(words).upper() if d % 4 == 0 else " ".join(words))
+            want.add((d, i))
+        docs.append((d, "\n".join(body)))
+    return docs, items, want
+
+
+def test_against_brute_force(spark):
+    docs, items, want = fixture()
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(d, b).collect()}
+    assert len(want - set(got)) <= 0.05 * len(want)
+    p, brute = Passages.of(items), set()
+    for doc, text in docs:
+        found = words_of(text)
+        for item, words, answer in zip(p.items, p.words, p.answers):
+            for i in range(0, len(found), 4):
+                part = found[i : i + len(words) * 3 // 2]
+                share = plain_lcs(words, part) / len(words) if len(set(words) & set(part)) > 0.3 * len(set(words)) else 0
+                if share >= 0.8 or share >= 0.55 and plain_lcs(answer, part) >= 0.8 * len(answer):
+                    brute.add((doc, item))
+    assert set(got) <= brute and len(set(got) & brute) >= 0.95 * len(brute)
+    assert {r.kind for r in got.values()} == {"copy", "paraphrase"}
+    left = {r.doc_id for r in clean(d, b).collect()}
+    assert left == {x for x, _ in docs} - {x for x, _ in got}
+    small = {(r.doc_id, r.item_id) for r in leaks(d, b, Settings(block=9)).collect()}
+    assert len(small & brute) >= 0.9 * len(brute) and small <= brute
+
+
+def test_hard_rows(spark):
+    item = "the quick brown fox jumps over a lazy dog. who saw that ? the old grey cat did."
+    rows = [(1, None), (2, ""), (3, "... -- !"), (4, item), (4, item), (None, item), (5, "x " * 400_000 + item.upper()), (6, "clean text"), (7, "Ж é " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "'k' as kind")
+    bench = spark.createDataFrame([(9, item), (9, item), (10, None), (11, ""), (None, "?"), (None, "wholly other words here")], "item_id long, text string").selectExpr("*", "2 as doc_id")
+    got = sorted(((r.doc_id, r.item_id) for r in leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(4, 9), (4, 9), (None, 9), (5, 9), (7, 9)], key=str)
+    kept = clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 6]
+    assert leaks(docs.where("false"), bench).count() == 0 == leaks(docs, bench.where("false")).count()
+    assert clean(docs, bench.where("false")).count() == len(rows)
+
+
+def test_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
+    got = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, sf).collect()}
+    assert want and got == want
