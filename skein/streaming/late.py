@@ -1,0 +1,72 @@
+"""Late lines: one older than the newest of its block is dropped.
+
+A block holds the accepted lines of a source and level; at 4096 of them the next begins,
+with nothing to compare with. The fold is the same in batch and as a stream.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from skein.operators.store import BLOCK
+
+KEYS = ("index_identifier", "level")
+
+
+def fold(times: Iterable[int], newest: int, held: int, block: int) -> tuple[list[bool], int, int]:
+    """(accepted, newest, held) after these times, in order of arrival."""
+    out = []
+    for t in times:
+        if held >= block:
+            newest, held = 0, 0
+        ok = t >= newest
+        out.append(ok)
+        if ok:
+            newest, held = t, held + 1
+    return out, newest, held
+
+
+def drop_late(lines: DataFrame, order: list[str], block: int = BLOCK, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The accepted lines. Rows of a key are read in order of arrival, one after the other; a task
+    holds two numbers of the key at hand, not its rows."""
+    at, ids = lines.columns.index("timestamp_ms"), [lines.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, newest, held = None, 0, 0
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in ids)))
+            times = batch.column(at).to_pylist()
+            keep: list[bool] = []
+            i = 0
+            while i < len(names):
+                j = i
+                while j < len(names) and names[j] == names[i]:
+                    j += 1
+                if names[i] != current:
+                    current, newest, held = names[i], 0, 0
+                ok, newest, held = fold(times[i:j], newest, held, block)
+                keep += ok
+                i = j
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return lines.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, lines.schema)
+
+
+def stream_drop_late(lines: DataFrame, order: list[str], block: int = BLOCK, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The accepted lines of a stream; newest time and count of each key are its state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, held = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        ok, newest, held = fold(rows["timestamp_ms"].tolist(), newest, held, block)
+        state.update((newest, held))
+        yield rows[ok]
+
+    state = T.StructType([T.StructField("newest", T.LongType()), T.StructField("held", T.LongType())])
+    return lines.groupBy(*keys).applyInPandasWithState(step, lines.schema, state, "append", GroupStateTimeout.NoTimeout)

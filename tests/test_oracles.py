@@ -1,0 +1,35 @@
+"""Each registered query of the log engine that has SQL, against DuckDB."""
+
+import duckdb
+import pytest
+
+from skein.plans.catalog import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for t in TABLES:
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, db, name):
+    want = db.sql(ORACLES[name])
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    expected = db.sql(f"SELECT {quoted} FROM ({ORACLES[name]})").fetchall()
+    rows = [tuple(r) for r in got.select(*columns).collect()]
+    assert len(rows) == len(expected) and rows
+    assert sorted(map(repr, rows)) == sorted(map(repr, expected))
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
