@@ -1,13 +1,14 @@
 """Operator 3: benchmark decontamination by latent semantic retrieval.
 
-1. Vocabulary: the benchmark's words, weighted by their frequency over all documents;
-   words in over ``max_share`` of them go, unless an item would have too few left.
-2. Documents are cut into windows of 128 words that overlap by half, and written down
-   as the vocabulary words each holds.
+1. Documents are cut into windows of 128 words that overlap by half, and written down
+   as the benchmark's words that each holds, but for those common in the benchmark itself.
+2. Vocabulary: these words, weighted by their frequency over all documents; words in
+   over ``max_share`` of them go, unless a passage would have too few left.
 3. A randomised SVD (Halko, Martinsson and Tropp, 2011, by subspace iteration) of the
    windows' TF-IDF matrix A: each pass sums A'(A X) over all tasks, a matrix as large as
    the vocabulary times the rank, whatever the number of documents.
-4. Windows and benchmark passages are compared by the cosine of their latent vectors.
+4. Windows and benchmark passages are compared by the cosine of their latent vectors; a
+   window must also hold ``contained`` of the passage's own latent vector.
 5. Candidates are verified on their words: a passage of which ``copy`` is a common
    subsequence of a stretch of the document is a copy; from ``paraphrase`` on it is one
    if its answer, the last sentence, is found there too.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -41,11 +43,13 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 @dataclass(frozen=True)
 class Settings:
-    rank: int = 160
+    rank: int = 192
     passes: int = 3
+    max_passages: float = 0.05
     max_share: float = 0.005
     least_words: int = 8
-    cosine: float = 0.4
+    cosine: float = 0.25
+    contained: float = 0.35
     copy: float = 0.8
     paraphrase: float = 0.55
     answer: float = 0.8
@@ -105,36 +109,19 @@ class Lookup:
     """text -> number of each word in a word list, -1 for others; punctuation alone is no word and is left out."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        number = struct.Struct("<i").pack
+        number = {w: struct.pack("<i", i) for w, i in vocabulary.items()}
+        other, none = struct.pack("<i", -1), b""
 
         def value(raw: bytes) -> bytes:
             word = plain_word(raw)
-            return number(vocabulary.get(word, -1)) if word else b""
+            return number.get(word, other) if word else none
 
-        self._memo = Memo(value, 500_000)
+        self._memo = Memo(value, 1_000_000)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._memo.__getitem__, (text or b"").split())), "<i4")
 
 
-def document_frequency(docs: DataFrame, words: list[bytes]) -> np.ndarray:
-    """The number of rows of ``docs`` (text as binary) that hold each word."""
-    held = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, n = Lookup(held.value), np.zeros(len(words) + 1, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n[np.unique(lookup(text))] += 1
-        used = np.flatnonzero(n[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], ["word", "n"])
-
-    out = np.zeros(len(words), np.int64)
-    for r in docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r.word] = r.n
-    return out
-
-
 def windows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, which hit) for hits at these word positions of a text of n words; all lie in one or two windows."""
     last = max(0, -(-(n - WINDOW) // STRIDE))
@@ -166,7 +153,24 @@ def window_words(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "windows binary, words binary")
 
 
-def _gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
+def document_frequency(passages: DataFrame, size: int) -> np.ndarray:
+    """The number of rows of window_words that hold each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                n[np.unique(np.frombuffer(x, "<i4"))] += 1
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], ["word", "n"])
+
+    out = np.zeros(size, np.int64)
+    for r in passages.select("words").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r.word] = r.n  # a row a vocabulary word
+    return out
+
+
+def _gram(passages: DataFrame, renumber: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A X) for the weighted basis: its rows are weight x X's rows; the result is weighted once by the caller."""
     held = passages.sparkSession.sparkContext.broadcast(basis)
     size, rank = basis.shape
@@ -180,7 +184,10 @@ def _gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
                 window.append(at)
                 word.append(np.frombuffer(v, "<i4"))
                 shift = int(at[-1]) + 1
-            window, word = np.concatenate(window), np.concatenate(word)
+            window, word = np.concatenate(window), renumber[np.concatenate(word)]
+            window, word = window[word >= 0], word[word >= 0]
+            if not len(word):
+                continue
             starts = np.concatenate([[0], np.flatnonzero(np.diff(window)) + 1])
             for k in range(0, len(starts), 20_000):  # bounds the dense part
                 a, b = starts[k], starts[k + 20_000] if k + 20_000 < len(starts) else len(window)
@@ -210,14 +217,14 @@ def _gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_basis(passages: DataFrame, weight: np.ndarray, extra: np.ndarray, settings: Settings) -> np.ndarray:
+def latent_basis(passages: DataFrame, renumber: np.ndarray, weight: np.ndarray, extra: np.ndarray, settings: Settings) -> np.ndarray:
     """Weighted right singular vectors of the windows' TF-IDF matrix, the benchmark's own rows (``extra``) included."""
     size = len(weight)
     rank = min(settings.rank, size)
     q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(size, rank)))
     small = np.eye(rank)
     for _ in range(settings.passes):
-        z = weight[:, None] * _gram(passages, weight[:, None] * q) + extra.T @ (extra @ q)
+        z = weight[:, None] * _gram(passages, renumber, weight[:, None] * q) + extra.T @ (extra @ q)
         small = q.T @ z
         basis = q
         q, _ = np.linalg.qr(z)
@@ -233,32 +240,39 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     """A function, to be made in each task, from texts to hits: (row, item, kind, cosine, lcs, start, passage's words)."""
     spark = docs.sparkSession
     every = sorted({w for words in passages.words for w in words})
-    frequency = document_frequency(docs, every)
-    rows = docs.count()
-    place = {w: i for i, w in enumerate(every)}
-    idf = np.log((1 + rows) / (1 + frequency)) + 1e-3
-    kept = {w for w in every if frequency[place[w]] <= settings.max_share * rows}
-    for words in passages.words:
-        kept |= set(sorted(set(words), key=lambda w: (frequency[place[w]], w))[: settings.least_words])
-    vocabulary = {w: i for i, w in enumerate(sorted(kept))}
-    weight = np.array([idf[place[w]] for w in sorted(kept)])
+    own = Counter(w for words in passages.words for w in set(words))
+    rarest = {w for words in passages.words for w in sorted(set(words), key=lambda w: (own[w], w))[: settings.least_words]}
+    tried = sorted(w for w in every if own[w] <= settings.max_passages * len(passages.words) or w in rarest)
+    held_words = written(window_words(docs, {w: i for i, w in enumerate(tried)}), "windows")
+    frequency, rows = document_frequency(held_words, len(tried)), docs.count()
+    kept = [i for i, w in enumerate(tried) if frequency[i] <= settings.max_share * rows or w in rarest]
+    vocabulary = {tried[i]: k for k, i in enumerate(kept)}
+    renumber = np.full(len(tried), -1, np.int32)
+    renumber[kept] = np.arange(len(kept))
+    weight = np.log((1 + rows) / (1 + frequency[kept])) + 1e-3
     extra = np.zeros((len(passages.words), len(vocabulary)), np.float32)
     for i, words in enumerate(passages.words):
         for w in words:
             if w in vocabulary:
                 extra[i, vocabulary[w]] += weight[vocabulary[w]]
-    basis = latent_basis(written(window_words(docs, vocabulary), "windows"), weight, extra, settings)
-    sought = _unit((extra / weight) @ basis)
+    # the benchmark's own rows get as much weight as all windows together, or rare words would be lost
+    share = np.sqrt((weight**2 * frequency[kept]).sum() / max(1e-9, (extra**2).sum()) + 1)
+    basis = latent_basis(held_words, renumber, weight, share * extra, settings)
+    sought = (extra / weight) @ basis
     held = spark.sparkContext.broadcast((vocabulary, basis, sought, passages, every))
 
-    def verify(found: np.ndarray, window: int, words: np.ndarray, answer: np.ndarray) -> tuple[float, float, int]:
+    def verify(marks: np.ndarray, found: np.ndarray, window: int, words: np.ndarray, answer: np.ndarray) -> tuple[float, float, int]:
         """(share of the passage, share of the answer, start) of the best stretch around the window; zeros
         where it can't be a paraphrase, as too few of the passage's words are there at all."""
         n, best = len(words), (0.0, 0)
         a, b = max(0, window * STRIDE - n), min(len(found), window * STRIDE + WINDOW + n)
         region, span = found[a:b], n + n // 2
-        there = np.isin(region, words)
-        if np.isin(words, region[there]).mean() < settings.paraphrase:
+        marks[words] = 1
+        there = marks[region] > 0
+        marks[region[there]] = 2
+        enough = (marks[words] == 2).sum() >= settings.paraphrase * n
+        marks[words] = 0
+        if not enough:
             return 0.0, 0.0, 0
         mine, running = words.tolist(), np.concatenate([[0], np.cumsum(there)])
         for i in range(0, max(1, len(region) - span + n // 2), max(1, n // 4)):
@@ -274,7 +288,9 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
         vocabulary, basis, sought, passages, every = held.value
         place = {w: i for i, w in enumerate(every)}
         lookup = Lookup(place)
+        unit, length = _unit(sought), np.linalg.norm(sought, axis=1)
         number = np.array([vocabulary.get(w, -1) for w in every] + [-1], np.int32)
+        marks = np.zeros(len(every) + 1, np.int8)  # the last is for words of no passage
         wanted = [np.array([place[w] for w in x], np.int32) for x in passages.words]
         answers = [np.array([place[w] for w in x], np.int32) for x in passages.answers]
         kept = [{vocabulary[w] for w in x if w in vocabulary} for x in passages.words]
@@ -294,20 +310,21 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 owner = np.repeat(np.arange(len(pending)), [len(p[1]) for p in pending])
                 word = np.concatenate([p[2] for p in pending])
                 starts = np.concatenate([[0], np.flatnonzero((np.diff(window) != 0) | (np.diff(owner) != 0)) + 1])
-                latent = _unit(np.add.reduceat(basis[word], starts, axis=0))
-                near = latent @ sought.T
+                latent = np.add.reduceat(basis[word], starts, axis=0)
+                near = latent @ unit.T
+                least = np.maximum(settings.cosine * np.linalg.norm(latent, axis=1)[:, None], settings.contained * length)
                 best: dict[tuple[int, object], tuple] = {}
                 ends = np.append(starts[1:], len(word))
-                for i, j in zip(*np.nonzero(near >= settings.cosine)):
+                for i, j in zip(*np.nonzero((near >= least) & (near > 0))):
                     own = kept[j]
                     if sum(w in own for w in word[starts[i] : ends[i]].tolist()) < due[j]:
                         continue
                     row, found = pending[owner[starts[i]]][0], pending[owner[starts[i]]][3]
-                    share, answered, start = verify(found, int(window[starts[i]]), wanted[j], answers[j])
+                    share, answered, start = verify(marks, found, int(window[starts[i]]), wanted[j], answers[j])
                     kind = "copy" if share >= settings.copy else "paraphrase" if share >= settings.paraphrase and answered >= settings.answer else None
                     key = (int(owner[starts[i]]), passages.items[j])
                     if kind and share > best.get(key, (0,) * 5)[4]:
-                        best[key] = (row, passages.items[j], kind, float(near[i, j]), share, start, len(wanted[j]))
+                        best[key] = (row, passages.items[j], kind, float(near[i, j] / np.linalg.norm(latent[i])), share, start, len(wanted[j]))
                 hits.extend(best.values())
                 pending.clear()
                 size = 0
