@@ -420,8 +420,8 @@ def _word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.explode(scalars.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("word_at_place", r"""WITH t AS (SELECT conv_id, turn, text, conv_id % 40 AS i FROM conversations), u AS (SELECT *, CASE WHEN i = length(text) THEN i - 1 ELSE i END AS at FROM t),
-v AS (SELECT *, regexp_extract(substr(text, 1, at + 1), '[^ \x22'':,{}\[\]()]*$') AS l, regexp_extract(substr(text, at + 2), '^[^ \x22'':,{}\[\]()]*') AS r FROM u) SELECT conv_id, turn, CASE WHEN i <= length(text) AND l <> '' THEN l || r END AS word FROM v""")
+@query("word_at_place", r"""WITH t AS (SELECT conv_id, turn, text, conv_id % 40 AS i FROM conversations), u AS (SELECT *, CASE WHEN i = length(text) THEN i - 1 ELSE i END AS place FROM t),
+v AS (SELECT *, regexp_extract(substr(text, 1, place + 1), '[^ \x22'':,{}\[\]()]*$') AS l, regexp_extract(substr(text, place + 2), '^[^ \x22'':,{}\[\]()]*') AS r FROM u) SELECT conv_id, turn, CASE WHEN i <= length(text) AND l <> '' THEN l || r END AS word FROM v""")
 def _word_at_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.select("conv_id", "turn", scalars.word_at(F.col("text"), (F.col("conv_id") % 40).cast("int")).alias("word"))
@@ -468,10 +468,10 @@ def _log_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- numbers ----------------------------------------------------------------
 
 
-@query("zigzag_delta", "WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey - lag(l_partkey, 1, 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS x FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS delta, l_partkey AS restored FROM d")
+@query("zigzag_delta", f"WITH {_BASE}, d AS (SELECT user_id, event_id, value, ms - lag(ms, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS x, ms FROM base) SELECT user_id, event_id, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS delta, ms AS restored FROM d")
 def _zigzag_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = codec.deltas(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey"], "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "delta")
-    return codec.restored(rows, ["l_orderkey"], "l_linenumber", "restored")
+    rows = codec.deltas(fixtures.events(spark, sf_dir), ["user_id"], "event_id", "ms").select("user_id", "event_id", "delta")
+    return codec.restored(rows, ["user_id"], "event_id", "restored")
 
 
 def _codec(name: str) -> None:
