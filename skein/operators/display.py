@@ -56,23 +56,26 @@ def log_body() -> Column:
     return F.concat("message", F.coalesce(F.concat(F.lit("\n\nError: "), "error_message"), F.lit("")), F.coalesce(F.concat(F.lit("\n\nStack Trace:\n"), "stacktrace"), F.lit("")))
 
 
-class _Number(float):
-    """A number that is written as it was read."""
+class _Number(str):
+    """A number as it was read."""
 
-    def __new__(cls, text: str):
-        self = super().__new__(cls, text)
-        self.text = text
-        return self
 
-    def __repr__(self) -> str:
-        return self.text
+def _spread(x: object, margin: str) -> str:
+    if isinstance(x, _Number):
+        return x
+    deeper = margin + "    "
+    if isinstance(x, dict) and x:
+        return "{\n" + ",\n".join(f"{deeper}{json.dumps(k, ensure_ascii=False)}: {_spread(v, deeper)}" for k, v in x.items()) + f"\n{margin}}}"
+    if isinstance(x, list) and x:
+        return "[\n" + ",\n".join(deeper + _spread(v, deeper) for v in x) + f"\n{margin}]"
+    return json.dumps(x, ensure_ascii=False)
 
 
 def pretty(text: str | None) -> str | None:
-    """JSON with four spaces a level, keys in their order; any other text as it is."""
+    """JSON with four spaces a level, keys in their order and numbers as written; any other text as it is."""
     try:
-        return text if text is None else json.dumps(json.loads(text, parse_float=_Number), indent=4, ensure_ascii=False)
-    except ValueError:
+        return text if text is None else _spread(json.loads(text, parse_float=_Number, parse_int=_Number), "")
+    except (ValueError, RecursionError):
         return text
 
 
