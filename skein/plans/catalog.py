@@ -449,7 +449,7 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", scalars.fnv1a(F.col("event_type")).alias("fnv"), scalars.next_power_of_two(F.col("user_id")).alias("power"), F.bit_count("event_id").alias("bits"))
 
 
-@query("log_colours")
+@query("log_colours", f"WITH {_LOG}, n AS (SELECT DISTINCT index_identifier FROM logs), h AS (SELECT index_identifier, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(index_identifier, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) & 4294967295) AS h FROM n) SELECT index_identifier, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 40 AS INTEGER) AS colour FROM h")
 def _log_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("index_identifier", scalars.colour_index(F.col("index_identifier")).alias("colour")).distinct()
 
