@@ -32,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Memo, table, written
+from skein.llm.common import table, written
 
 PASSAGE = 64
 WINDOW, STRIDE = 128, 64
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_ASCII = bytes(c for c in range(128) if not chr(c).isalnum())
+_APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -56,15 +55,9 @@ class Settings:
     block: int = 2_000
 
 
-def plain_word(word: bytes) -> bytes:
-    """A word in lower case, without what isn't a letter or digit at its ends."""
-    if word.isascii():
-        return word.lower().strip(_ASCII)
-    return _EDGE.sub("", word.decode("utf-8", "replace").lower()).encode()
-
-
 def words_of(text: str) -> list[bytes]:
-    return [w for w in map(plain_word, text.encode().split()) if w]
+    """The words of a text in lower case; ASCII characters but letters and digits part them."""
+    return text.lower().encode().translate(_APART).split()
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -106,20 +99,22 @@ class Passages:
 
 
 class Lookup:
-    """text -> number of each word in a word list, -1 for others; punctuation alone is no word and is left out."""
+    """text -> number of each word in a word list, -1 for others."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        number = {w: struct.pack("<i", i) for w, i in vocabulary.items()}
-        other, none = struct.pack("<i", -1), b""
+        self._get = {w: struct.pack("<i", i) for w, i in vocabulary.items()}.get
 
-        def value(raw: bytes) -> bytes:
-            word = plain_word(raw)
-            return number.get(word, other) if word else none
+    def __call__(self, text: str | None) -> np.ndarray:
+        get, other = self._get, b"\xff\xff\xff\xff"
+        return np.frombuffer(b"".join([get(w, other) for w in words_of(text or "")]), "<i4")
 
-        self._memo = Memo(value, 1_000_000)
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._memo.__getitem__, (text or b"").split())), "<i4")
+def segment_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each start to the next, by differences of running sums."""
+    running = np.cumsum(rows, axis=0, dtype=np.float64)
+    sums = running[np.append(starts[1:], len(rows)) - 1]
+    sums[1:] -= running[starts[1:] - 1]
+    return sums.astype(rows.dtype)
 
 
 def windows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,15 +184,15 @@ def _gram(passages: DataFrame, renumber: np.ndarray, basis: np.ndarray) -> np.nd
             if not len(word):
                 continue
             starts = np.concatenate([[0], np.flatnonzero(np.diff(window)) + 1])
-            for k in range(0, len(starts), 20_000):  # bounds the dense part
-                a, b = starts[k], starts[k + 20_000] if k + 20_000 < len(starts) else len(window)
+            for k in range(0, len(starts), 10_000):  # bounds the dense part
+                a, b = starts[k], starts[k + 10_000] if k + 10_000 < len(starts) else len(window)
                 own = word[a:b]
-                cut = starts[k : k + 20_000] - a
-                latent = np.add.reduceat(x[own], cut, axis=0)
+                cut = starts[k : k + 10_000] - a
+                latent = segment_sums(x[own], cut)
                 back = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, b - a)))
                 order = np.argsort(own, kind="stable")
                 terms, first = np.unique(own[order], return_index=True)
-                out[terms] += np.add.reduceat(latent[back[order]], first, axis=0)
+                out[terms] += segment_sums(latent[back[order]], first)
         used = np.flatnonzero(out.any(1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([x.tobytes() for x in out[used]], pa.binary())], ["word", "row"])
@@ -297,7 +292,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
         # of a passage's words that are looked for, a paraphrase has so many; half of them in one window at least
         due = [(sum(w in vocabulary for w in x) - (1 - settings.paraphrase) * len(x)) / 2 for x in passages.words]
 
-        def search(texts: list[bytes | None]) -> list[tuple]:
+        def search(texts: list[str | None]) -> list[tuple]:
             hits: list[tuple] = []
             pending: list[tuple] = []
             size = 0
@@ -310,7 +305,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 owner = np.repeat(np.arange(len(pending)), [len(p[1]) for p in pending])
                 word = np.concatenate([p[2] for p in pending])
                 starts = np.concatenate([[0], np.flatnonzero((np.diff(window) != 0) | (np.diff(owner) != 0)) + 1])
-                latent = np.add.reduceat(basis[word], starts, axis=0)
+                latent = segment_sums(basis[word], starts)
                 near = latent @ unit.T
                 least = np.maximum(settings.cosine * np.linalg.norm(latent, axis=1)[:, None], settings.contained * length)
                 best: dict[tuple[int, object], tuple] = {}
@@ -338,7 +333,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                     order = np.argsort(window, kind="stable")
                     pending.append((row, window[order], known[at][hit[order]], found))
                     size += len(hit)
-                if size >= 100_000:
+                if size >= 25_000:
                     close()
             close()
             return hits
@@ -369,7 +364,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     null; repeated rows are reported each, repeated items under their id once. With an
     empty benchmark, or no documents, there are no rows.
     """
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = f"doc_id long, {HIT}"
     names = [f.split()[0] for f in schema.split(", ")]
     types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
@@ -398,12 +393,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
             search = make()
             for batch in batches:
                 stays = np.ones(batch.num_rows, bool)
-                stays[[h[0] for h in search(batch.column(at).cast(pa.binary()).to_pylist())]] = False
+                stays[[h[0] for h in search(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(stays))
 
         return left.mapInArrow(run, docs.schema)
 
-    given = docs.select(F.col("text").cast("string").cast("binary"))
+    given = docs.select(F.col("text").cast("string"))
     for passages in _blocks(docs, benchmark, settings):
         docs = kept(docs, _searcher(given, passages, settings))
     return docs
