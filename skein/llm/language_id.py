@@ -8,8 +8,8 @@ everything else becomes single spaces. The training sample is bounded per langua
 sizes are added, so memory doesn't follow the longest text.
 
 Sizes are whole bytes, too coarse for a few words: for a text under ``short`` bytes
-the sizes of all its word suffixes are added up. A tie goes to the language with
-more training rows, and its margin is zero.
+the sizes of the text followed by each of its rotations are added up, which weighs all
+languages alike. A tie goes to the language with more training rows, with margin zero.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int = 1 << 20, short: int = 64):
+def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int = 1 << 20, short: int = 96):
     """text -> (language, margin, score); margin is the loser's lead in size over the winner, as a share of it."""
     import zstandard
 
@@ -82,9 +82,8 @@ def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int
         whole = plain(text).encode()
         got = sizes(whole)
         if len(whole) < short:
-            words = whole.split()
-            more = [sizes(b" ".join(words[i:])) for i in range(1, len(words))]
-            got = [sum(x) for x in zip(got, *more)]
+            every = [sizes(b" ".join((b"", whole, whole[i:], whole[:i]))) for i in range(0, len(whole), 1 + len(whole) // 64)]
+            got = [sum(x) for x in zip(*every)]
         best = min(range(len(got)), key=got.__getitem__)
         second = min((s for i, s in enumerate(got) if i != best), default=2 * got[best])
         margin = (second - got[best]) / second
