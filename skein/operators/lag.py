@@ -50,7 +50,7 @@ def by_topic(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("topic").orderBy(F.desc("lag"), "group_id", "partition")
     totals = rows.groupBy("topic").agg(F.sum("lag").alias("topic_lag"))
     ranked = rows.select("topic", "group_id", "partition", "lag", F.row_number().over(order).alias("rank"))
-    return ranked.join(F.broadcast(totals), "topic").select("topic", "topic_lag", "group_id", "partition", "lag", "rank")
+    return ranked.join(totals, "topic").select("topic", "topic_lag", "group_id", "partition", "lag", "rank")
 
 
 def column_widths(rows: DataFrame) -> DataFrame:
