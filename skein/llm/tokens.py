@@ -33,6 +33,14 @@ _SPLITS = {
 _WIDER = re.compile("[^\x00-\xff]")
 
 
+def _byte_letters() -> str:
+    """The character that stands for each byte in a byte-level model: printable ones for themselves,
+    the others for what follows Latin-1, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(more)) for b in range(256))
+
+
 class Ids:
     """text -> little-endian ids. ``kind``: "byte" keeps the text as it is, "word" lower-cases it."""
 
@@ -45,7 +53,13 @@ class Ids:
         self._cut = _SPLITS[kind].findall
         self._lower = kind == "word"
         self._dtype = dtype
-        self._memo = Memo(self._encode, limit)
+        self._memo = Memo(self._piece, limit)
+        self._model, self._letters = self._one.model, _byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, from the file's model without the steps before it."""
+        letters = piece.encode().decode("latin-1").translate(self._letters)
+        return np.array([t.id for t in self._model.tokenize(letters)], self._dtype).tobytes()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._one.encode(text, add_special_tokens=False).ids, self._dtype).tobytes()
