@@ -240,7 +240,9 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     tried = sorted(w for w in every if own[w] <= settings.max_passages * len(passages.words) or w in rarest)
     held_words = written(window_words(docs, {w: i for i, w in enumerate(tried)}), "windows")
     frequency, rows = document_frequency(held_words, len(tried)), docs.count()
-    kept = [i for i, w in enumerate(tried) if frequency[i] <= settings.max_share * rows or w in rarest]
+    number = {w: i for i, w in enumerate(tried)}
+    needed = {w for words in passages.words for w in sorted({w for w in words if w in number}, key=lambda w: (frequency[number[w]], w))[: settings.least_words]}
+    kept = [i for i, w in enumerate(tried) if frequency[i] <= settings.max_share * rows or w in needed]
     vocabulary = {tried[i]: k for k, i in enumerate(kept)}
     renumber = np.full(len(tried), -1, np.int32)
     renumber[kept] = np.arange(len(kept))
