@@ -4,22 +4,25 @@ Talbot and Osborne, "Smoothed Bloom filter language models" (2007): an n-gram wi
 quantised count q is entered q times, once for each level up to its own; its count
 is read by probing level after level until one is missing.
 
-Counts come from all training tokens, by groupings in Spark. What is broadcast is
-bounded by a share of them, not by a cap: at most ``table`` words can make up a
-1/``table`` of the tokens each, and at most ``table`` word pairs too, so the table of
-frequent words and the filter have at most that many entries at any input size.
-A pair can only be that frequent if both its words are, so no other pair has to be
-counted. Rare words are scored exactly as well, through a join with all counts.
-
-The model is a bigram model with absolute discounting. For a frequent word h with
-T tokens, its stored pairs of n tokens each, and B, the mass it leaves,
-    p(w|h) = (max(n - D, 0) + B p(w)) / T,
-with T, B and n from the filter and p(w) = (c + 1) / (N + V + 1) from the counts;
-after a rare word, p(w). The text's boundary is a token like any other.
+Counts come from all training tokens: every pair of neighbours is counted by groupings
+in Spark, and the words' counts and numbers of distinct followers are sums of those.
+What is broadcast is bounded by a share of the tokens: at most ``table`` words can make
+up a 1/``table`` of the tokens each, and at most ``table`` word pairs too, so the table of
+frequent words and the filter have at most that many entries at any input size. That
+share only decides the way a count travels: all other words and pairs are joined with
+their counts, and these are quantised by the filter's own steps, so equal counts give
+equal scores at any input size.
+
+The model is a bigram model with absolute discounting. For a word h with T tokens and f
+distinct followers, and n the quantised count of the pair (h, w),
+    p(w|h) = (max(n - D, 0) + D f p(w)) / T,
+with p(w) = (c + 1) / (N + V + 1) from the counts; after a word that isn't in training,
+p(w). The text's boundary is a token like any other.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,10 +54,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class LogBloom:
-    """Quantised counts of 64-bit keys. ``floor`` is the least count worth a level."""
+    """Quantised counts of 64-bit keys. ``floor`` is the least count worth a level, or less by under a step."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, floor: float, probes: int = 6, bits_per_entry: int = 12):
-        self.floor, self.probes = float(floor), probes
+        # a power of STEP, so that a count's level has the same bounds in every filter
+        self.floor, self.probes = STEP ** math.floor(math.log(floor) / math.log(STEP) + 1e-9), probes
         levels = self.level(counts)
         size = max(1024, int(levels.sum()) * bits_per_entry)
         self.mask = np.uint64((1 << (size - 1).bit_length()) - 1)
@@ -98,18 +102,23 @@ def pair_key(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return (a.astype(np.uint64) << np.uint64(24)) | np.asarray(b).astype(np.uint64)
 
 
+def quantised(n: Column) -> Column:
+    """What LogBloom.count tells of a count."""
+    return F.pow(F.lit(STEP), F.floor(F.log(n) / math.log(STEP) + 1e-9)) * ((1 + STEP) / 2)
+
+
 @dataclass
 class Model:
-    """What is broadcast: frequent words by ascending hash, and the filter."""
+    """What is broadcast: frequent words by ascending hash, frequent pairs by key, and the filter."""
 
     hashes: np.ndarray
     counts: np.ndarray
+    followers: np.ndarray
+    pairs: np.ndarray
     tokens: int
     words: int
     bloom: LogBloom
 
-    TOTAL, LEFT = (1 << 24) - 1, (1 << 24) - 2  # second parts of the keys for T and B
-
     def index(self, hashed: int) -> int:
         at = int(np.searchsorted(self.hashes, hashed))
         return at if at < len(self.hashes) and self.hashes[at] == hashed else -1
@@ -135,54 +144,54 @@ def _tokens(batches: Iterator[pa.RecordBatch], value, width: int) -> Iterator[tu
         yield rows, sizes, b"".join(parts)
 
 
-def _counted(keys: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    found, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of every token of ``texts`` (text as binary), the boundary included."""
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(h, w, n) of all neighbours in ``texts`` (text as binary); each text begins after, and ends with, the boundary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, values in _tokens(batches, lambda w: struct.pack("<q", word_hash(w)), 8):
-            yield _counted(np.frombuffer(values, "<i8"), ["h", "n"])
-
-    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            after = np.frombuffer(values, "<i8")
+            before = np.concatenate([[word_hash(BOUNDARY)], after[:-1]])
+            order = np.lexsort((after, before))
+            h, w = before[order], after[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+            n = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h[first], w[first], n)], ["h", "w", "n"])
 
+    return texts.select("text").mapInArrow(run, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n"))
 
-def pair_counts(texts: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(pair, n) of neighbours that are both among ``hashes``; pair is pair_key of their places."""
-    held = texts.sparkSession.sparkContext.broadcast(hashes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(held.value, held.value, 0, 0, None)
-        for _, _, values in _tokens(batches, lambda w: struct.pack("<i", model.index(word_hash(w))), 4):
-            at = np.frombuffer(values, "<i4")
-            before = np.concatenate([[model.index(word_hash(BOUNDARY))], at[:-1]])  # each text ends with the boundary
-            both = (at >= 0) & (before >= 0)
-            yield _counted(pair_key(before[both], at[both]).view(np.int64), ["pair", "n"])
-
-    return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """(h, n, followers) of every token, the boundary included: each is the first of a pair as often as it occurs."""
+    return pairs.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("followers"))
 
 
-def train(counts: DataFrame, texts: DataFrame, share: int) -> Model:
-    """The model of the training ``texts``, given their word ``counts``."""
+def train(counts: DataFrame, pairs: DataFrame, share: int) -> tuple[Model, int]:
+    """The model, given the counts of all words and pairs, and the least count of what it holds."""
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
     tokens = int(total.tokens or 0)
     least = max(1, -(-tokens // share))
     held = counts.where(F.col("n") >= least).orderBy("h").toArrow()  # at most ``share`` rows
-    hashes, n = held["h"].to_numpy(), held["n"].to_numpy()
-    pairs = pair_counts(texts, hashes).where(F.col("n") >= least).toArrow()  # at most ``share`` rows
-    keys, m = pairs["pair"].to_numpy().view(np.uint64), pairs["n"].to_numpy()
-    first = (keys >> np.uint64(24)).astype(np.int64)
-    left = n - np.bincount(first, m - DISCOUNT, len(n))
-    place = np.arange(len(n))
-    bloom = LogBloom(
-        np.concatenate([keys, pair_key(place, Model.TOTAL), pair_key(place, Model.LEFT)]),
-        np.concatenate([m, n, np.maximum(left, 0)]),
-        least,
-    )
-    return Model(hashes, n, tokens, int(total.words), bloom)
+    hashes = held["h"].to_numpy()
+    frequent = pairs.where(F.col("n") >= least).toArrow()  # at most ``share`` rows; both words are frequent
+    keys = pair_key(np.searchsorted(hashes, frequent["h"].to_numpy()), np.searchsorted(hashes, frequent["w"].to_numpy()))
+    bloom = LogBloom(keys, frequent["n"].to_numpy(), least)
+    return Model(hashes, held["n"].to_numpy(), held["followers"].to_numpy(), np.sort(keys), tokens, int(total.words), bloom), least
+
+
+def with_word(pairs: DataFrame, words: DataFrame, key: str, least: int) -> DataFrame:
+    """``pairs`` with the columns of ``words``; frequent words, at most ``share`` rows, are broadcast, so no pairs gather at one."""
+    frequent, rare = F.broadcast(words.where(F.col("of") >= least)), words.where(F.col("of") < least)
+    others = pairs.join(frequent.select(key), key, "left_anti").join(rare, key)
+    return pairs.join(frequent, key).unionByName(others).drop("of")
+
+
+def pair_ratios(pairs: DataFrame, counts: DataFrame, model: Model, least: int) -> DataFrame:
+    """(h, w, ratio) of the pairs that the model doesn't hold: log10 of p(w|h) / p(w)."""
+    first = counts.select("h", F.col("n").alias("of"), F.col("n").alias("total"), "followers")
+    second = counts.select(F.col("h").alias("w"), F.col("n").alias("of"), ((F.col("n") + 1) / F.lit(float(model.tokens + model.words + 1))).alias("chance"))
+    p = F.least(F.lit(1.0), (F.greatest(quantised(F.col("n")) - DISCOUNT, F.lit(0.0)) + F.col("followers") * DISCOUNT * F.col("chance")) / F.col("total"))
+    known = with_word(with_word(pairs.where(F.col("n") < least), first, "h", least), second, "w", least)
+    return known.select("h", "w", F.log10(p / F.col("chance")).alias("ratio"))
 
 
 def score(docs: DataFrame, held_out: Column, share: int = 1_000_000) -> DataFrame:
@@ -196,10 +205,11 @@ def score(docs: DataFrame, held_out: Column, share: int = 1_000_000) -> DataFram
     flag = F.coalesce(held_out, F.lit(False)).alias("held_out")
     given = docs.select(F.col("doc_id").cast("long"), flag, F.col("text").cast("string").cast("binary"))
     training = given.where(~F.col("held_out")).select("text")
-    counts = written(word_counts(training), "word-counts")
-    model = train(counts, training, share)
+    pairs = written(pair_counts(training), "pair-counts")
+    counts = written(word_counts(pairs), "word-counts")
+    model, least = train(counts, pairs, share)
     held = spark.sparkContext.broadcast(model)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, ratio double, rare array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, ratio double, rare array<long>, first array<long>, second array<long>"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,32 +217,35 @@ def score(docs: DataFrame, held_out: Column, share: int = 1_000_000) -> DataFram
 
         m: Model = held.value
         row = TaskContext.get().partitionId() << 40
-        boundary = m.index(word_hash(BOUNDARY))
-        place = np.arange(len(m.hashes))
-        totals, lefts = m.bloom.count(pair_key(place, m.TOTAL)), m.bloom.count(pair_key(place, m.LEFT))
-        lefts = np.clip(np.where(lefts > 0, lefts, m.bloom.floor / 2), None, totals)
+        boundary = word_hash(BOUNDARY)
+        lefts = m.followers * DISCOUNT
         chance = (m.counts + 1) / (m.tokens + m.words + 1)
         value = lambda w: struct.pack("<qi", h := word_hash(w), m.index(h))
         for rows, sizes, values in _tokens(batches, value, 12):
             got = np.frombuffer(values, np.dtype([("h", "<i8"), ("at", "<i4")]))
             at = got["at"].astype(np.int64)
-            before = np.concatenate([[boundary], at[:-1]])
-            known, after = at >= 0, before >= 0
+            before = np.concatenate([[m.index(boundary)], at[:-1]])
+            known = at >= 0
             logs = np.zeros(len(at))  # log10(c + 1) of frequent words; rare ones follow by join
             logs[known] = np.log10(m.counts[at[known]] + 1)
-            ratio = np.zeros(len(at))  # log10 of p(w|h) / p(w)
-            rare = after & ~known
-            ratio[rare] = np.log10(lefts[before[rare]] / totals[before[rare]])
-            both = np.flatnonzero(after & known)
+            ratio = np.zeros(len(at))  # log10 of p(w|h) / p(w) of frequent pairs; the others follow by join
+            both = np.flatnonzero((before >= 0) & known)
             pairs, back = np.unique(pair_key(before[both], at[both]), return_inverse=True)
+            held_pair = np.isin(pairs, m.pairs)
+            both, back = both[held_pair[back]], (np.cumsum(held_pair) - 1)[back[held_pair[back]]]
+            pairs = pairs[held_pair]
             n = m.bloom.count(pairs)
             a, b = (pairs >> np.uint64(24)).astype(np.int64), (pairs & np.uint64((1 << 24) - 1)).astype(np.int64)
-            p = np.minimum(1.0, (np.maximum(n - DISCOUNT, 0) + lefts[a] * chance[b]) / totals[a])
+            p = np.minimum(1.0, (np.maximum(n - DISCOUNT, 0) + lefts[a] * chance[b]) / m.counts[a])
             ratio[both] = np.log10(p / chance[b])[back]
+            other = np.ones(len(at), bool)
+            other[both] = False
+            other = np.flatnonzero(other)
+            first = np.concatenate([[boundary], got["h"][:-1]])
             starts = np.concatenate([[0], np.cumsum(sizes)])
             sums = lambda x: np.add.reduceat(x, starts[:-1])
             left = np.flatnonzero(~known)
-            offsets = np.searchsorted(left, starts).astype(np.int32)
+            listed = lambda x, place: pa.ListArray.from_arrays(pa.array(np.searchsorted(place, starts).astype(np.int32)), pa.array(x[place], pa.int64()))
             columns = [
                 pa.array(np.arange(row, row + len(rows)), pa.int64()),
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -241,7 +254,9 @@ def score(docs: DataFrame, held_out: Column, share: int = 1_000_000) -> DataFram
                 pa.array(sums(known.astype(np.int64)), pa.int64()),
                 pa.array(sums(logs), pa.float64()),
                 pa.array(sums(ratio), pa.float64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(got["h"][left], pa.int64())),
+                listed(got["h"], left),
+                listed(first, other),
+                listed(got["h"], other),
             ]
             row += len(rows)
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -249,10 +264,18 @@ def score(docs: DataFrame, held_out: Column, share: int = 1_000_000) -> DataFram
     part = written(given.mapInArrow(run, schema), "scores")
     rare = part.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
     more = rare.groupBy("row").agg(F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_logs"))
+    other = part.select("row", F.explode(F.arrays_zip(F.col("first").alias("h"), F.col("second").alias("w"))).alias("p")).select("row", "p.h", "p.w")
+    found = other.join(pair_ratios(pairs, counts, model, least), ["h", "w"], "left")
+    # a row each for the pairs found, and for each first word of pairs that training doesn't have
+    unseen = F.when(F.col("ratio").isNull(), F.col("h")).alias("h")
+    found = written(found.groupBy("row", unseen).agg(F.sum("ratio").alias("ratio"), F.count("*").alias("n")), "pair-scores")
+    left = F.coalesce(F.log10(F.col("followers") * DISCOUNT / F.col("total")), F.lit(0.0)) * F.col("n")
+    backed = found.where("h is not null").drop("ratio").join(counts.select("h", F.col("n").alias("total"), "followers"), "h", "left").select("row", left.alias("ratio"))
+    joined = found.where("h is null").select("row", "ratio").unionByName(backed).groupBy("row").agg(F.sum("ratio").alias("more_ratio"))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.words + 1)))
-    return part.drop("rare").join(more, "row", "left").select(
+    return part.drop("rare", "first", "second").join(more, "row", "left").join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio")).alias("score"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio") + F.coalesce("more_ratio", F.lit(0.0))).alias("score"),
     )
 
 
