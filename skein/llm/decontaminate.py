@@ -8,7 +8,9 @@
    windows' TF-IDF matrix A: each pass sums A'(A X) over all tasks, a matrix as large as
    the vocabulary times the rank, whatever the number of documents.
 4. Windows and benchmark passages are compared by the cosine of their latent vectors; a
-   window must also hold ``contained`` of the passage's own latent vector.
+   window must also hold ``contained`` of the passage's own latent vector. Beside that, an
+   inverted index of each passage's rarest words finds every stretch that can be verified:
+   see ``Index``.
 5. Candidates are verified on their words: a passage of which ``copy`` is a common
    subsequence of a stretch of the document is a copy; from ``paraphrase`` on it is one
    if its answer, the last sentence, is found there too.
@@ -20,6 +22,7 @@ broadcast is bounded; documents are never shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections import Counter
@@ -36,6 +39,7 @@ from skein.llm.common import table, written
 
 PASSAGE = 64
 WINDOW, STRIDE = 128, 64
+REACH = PASSAGE + PASSAGE // 2  # the longest stretch that is compared with a passage
 _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -112,6 +116,8 @@ class Lookup:
 def segment_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the rows from each start to the next, by differences of running sums."""
     running = np.cumsum(rows, axis=0, dtype=np.float64)
+    if not len(starts):
+        return np.zeros((0, rows.shape[1]), rows.dtype)
     sums = running[np.append(starts[1:], len(rows)) - 1]
     sums[1:] -= running[starts[1:] - 1]
     return sums.astype(rows.dtype)
@@ -127,6 +133,52 @@ def windows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([high, low[two]]), np.concatenate([hit, hit[two]])
 
 
+class Index:
+    """Candidates without loss. A stretch that holds ``share`` of a passage's n words misses m = (1 - share) n
+    at most, so of its m + k rarest words it holds k; only those are indexed, whatever their frequency."""
+
+    SURE, ENTRIES = 8, 2_000_000
+
+    def __init__(self, passages: list[np.ndarray], frequency: np.ndarray, share: float):
+        lists: dict[int, list[tuple[int, int]]] = {}
+        self.least = np.zeros(len(passages), np.int64)
+        for j, words in enumerate(passages):
+            held = math.ceil(share * len(words) - 1e-9)
+            self.least[j] = min(held, self.SURE)
+            rarest = sorted(words.tolist(), key=lambda w: (frequency[w], w))[: len(words) - held + int(self.least[j])]
+            for w, times in Counter(rarest).items():
+                lists.setdefault(w, []).append((j, times))
+        self.size = np.zeros(len(frequency) + 1, np.int64)  # the last is for words of no passage
+        for w, entries in lists.items():
+            self.size[w] = len(entries)
+        self.start = np.cumsum(self.size) - self.size
+        entries = [e for w in sorted(lists) for e in lists[w]]
+        self.passage, self.times = (np.array([e[i] for e in entries], np.int64) for i in (0, 1))
+
+    def candidates(self, found: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(cell, passage): the passages that may be in the 2 x REACH words from cell x REACH on; any REACH words lie whole in such a stretch."""
+        at = np.flatnonzero(self.size[found] > 0)
+        if not len(at):
+            return
+        cell = at // REACH
+        cells = np.concatenate([cell, np.maximum(cell - 1, 0)])
+        key = np.unique(cells * len(self.size) + np.tile(found[at], 2))
+        cells, word = key // len(self.size), key % len(self.size)
+        size = self.size[word]
+        upto = np.cumsum(size)
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        # parts of whole cells, bounded in entries and in counters
+        part = upto[np.append(first[1:], len(cells)) - 1] // self.ENTRIES * len(found) + cells[first] // max(1, self.ENTRIES // len(self.least))
+        cuts = first[np.flatnonzero(np.diff(part, prepend=-1))]
+        for a, b in zip(cuts, np.append(cuts[1:], len(cells))):
+            n, base = size[a:b], cells[a]
+            entry = np.repeat(self.start[word[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            counts = np.bincount(np.repeat(cells[a:b] - base, n) * len(self.least) + self.passage[entry], self.times[entry])
+            there = np.flatnonzero(counts)
+            there = there[counts[there] >= self.least[there % len(self.least)]]
+            yield from zip((there // len(self.least) + base).tolist(), (there % len(self.least)).tolist())
+
+
 def window_words(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """(windows, words): of each text with vocabulary words, their numbers by window, as 32-bit numbers."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -256,18 +308,23 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     share = np.sqrt((weight**2 * frequency[kept]).sum() / max(1e-9, (extra**2).sum()) + 1)
     basis = latent_basis(held_words, renumber, weight, share * extra, settings)
     sought = (extra / weight) @ basis
-    held = spark.sparkContext.broadcast((vocabulary, basis, sought, passages, every))
-
-    def verify(marks: np.ndarray, found: np.ndarray, window: int, words: np.ndarray, answer: np.ndarray) -> tuple[float, float, int]:
-        """(share of the passage, share of the answer, start) of the best stretch around the window; zeros
-        where it can't be a paraphrase, as too few of the passage's words are there at all."""
+    # words that weren't counted are common in the benchmark itself
+    known = np.array([frequency[number[w]] if w in number else rows for w in every], np.int64)
+    place = {w: i for i, w in enumerate(every)}
+    index = Index([np.array([place[w] for w in x], np.int64) for x in passages.words], known, min(settings.copy, settings.paraphrase))
+    held = spark.sparkContext.broadcast((vocabulary, basis, sought, passages, every, index))
+
+    def verify(marks: np.ndarray, found: np.ndarray, at: int, to: int, words: np.ndarray, answer: np.ndarray) -> tuple[float, float, int]:
+        """(share of the passage, share of the answer, start) of the best stretch around these words; zeros
+        where it can't be a copy or a paraphrase, as too few of the passage's or the answer's words are there at all."""
         n, best = len(words), (0.0, 0)
-        a, b = max(0, window * STRIDE - n), min(len(found), window * STRIDE + WINDOW + n)
+        a, b = max(0, at - n), min(len(found), to + n)
         region, span = found[a:b], n + n // 2
         marks[words] = 1
         there = marks[region] > 0
         marks[region[there]] = 2
-        enough = (marks[words] == 2).sum() >= settings.paraphrase * n
+        held = (marks[words] == 2).sum()
+        enough = held >= settings.paraphrase * n and (held >= settings.copy * n or np.isin(answer, region).sum() >= settings.answer * len(answer))
         marks[words] = 0
         if not enough:
             return 0.0, 0.0, 0
@@ -282,7 +339,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
         return best[0], answered, start
 
     def make():
-        vocabulary, basis, sought, passages, every = held.value
+        vocabulary, basis, sought, passages, every, index = held.value
         place = {w: i for i, w in enumerate(every)}
         lookup = Lookup(place)
         unit, length = _unit(sought), np.linalg.norm(sought, axis=1)
@@ -306,22 +363,40 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 window = np.concatenate([p[1] for p in pending])
                 owner = np.repeat(np.arange(len(pending)), [len(p[1]) for p in pending])
                 word = np.concatenate([p[2] for p in pending])
-                starts = np.concatenate([[0], np.flatnonzero((np.diff(window) != 0) | (np.diff(owner) != 0)) + 1])
+                starts = np.concatenate([[0], np.flatnonzero((np.diff(window) != 0) | (np.diff(owner) != 0)) + 1])[: len(word)]
                 latent = segment_sums(basis[word], starts)
                 near = latent @ unit.T
-                least = np.maximum(settings.cosine * np.linalg.norm(latent, axis=1)[:, None], settings.contained * length)
+                norms = np.linalg.norm(latent, axis=1)
+                least = np.maximum(settings.cosine * norms[:, None], settings.contained * length)
                 best: dict[tuple[int, object], tuple] = {}
                 ends = np.append(starts[1:], len(word))
+
+                def check(own: int, j: int, at: int, to: int, cosine) -> None:
+                    key = (own, passages.items[j])
+                    share_so_far = best.get(key, (0,) * 5)[4]
+                    if share_so_far >= 1:
+                        return
+                    row, found = pending[own][0], pending[own][3]
+                    share, answered, start = verify(marks, found, at, to, wanted[j], answers[j])
+                    kind = "copy" if share >= settings.copy else "paraphrase" if share >= settings.paraphrase and answered >= settings.answer else None
+                    if kind and share > share_so_far:
+                        best[key] = (row, passages.items[j], kind, cosine(start), share, start, len(wanted[j]))
+
                 for i, j in zip(*np.nonzero((near >= least) & (near > 0))):
                     own = kept[j]
                     if sum(w in own for w in word[starts[i] : ends[i]].tolist()) < due[j]:
                         continue
-                    row, found = pending[owner[starts[i]]][0], pending[owner[starts[i]]][3]
-                    share, answered, start = verify(marks, found, int(window[starts[i]]), wanted[j], answers[j])
-                    kind = "copy" if share >= settings.copy else "paraphrase" if share >= settings.paraphrase and answered >= settings.answer else None
-                    key = (int(owner[starts[i]]), passages.items[j])
-                    if kind and share > best.get(key, (0,) * 5)[4]:
-                        best[key] = (row, passages.items[j], kind, float(near[i, j] / np.linalg.norm(latent[i])), share, start, len(wanted[j]))
+                    at = int(window[starts[i]]) * STRIDE
+                    check(int(owner[starts[i]]), j, at, at + WINDOW, lambda _: float(near[i, j] / norms[i]))  # noqa: B023
+                place_of = {(o, w): i for i, (o, w) in enumerate(zip(owner[starts].tolist(), window[starts].tolist()))}
+                for own, p in enumerate(pending):
+                    for cell, j in p[4]:
+
+                        def cosine(start: int) -> float:
+                            i = place_of.get((own, start // STRIDE), place_of.get((own, start // STRIDE - 1)))  # noqa: B023
+                            return 0.0 if i is None else float(near[i, j] / max(norms[i], 1e-12))  # noqa: B023
+
+                        check(own, j, cell * REACH, (cell + 2) * REACH, cosine)
                 hits.extend(best.values())
                 pending.clear()
                 size = 0
@@ -330,10 +405,11 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 found = lookup(text)
                 known = number[found]
                 at = np.flatnonzero(known >= 0)
-                if len(at):
+                sure = list(index.candidates(found))
+                if len(at) or sure:
                     window, hit = windows(at, len(found))
                     order = np.argsort(window, kind="stable")
-                    pending.append((row, window[order], known[at][hit[order]], found))
+                    pending.append((row, window[order], known[at][hit[order]], found, sure))
                     size += len(hit)
                 if size >= 25_000:
                     close()

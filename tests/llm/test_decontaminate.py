@@ -78,6 +78,22 @@ def test_against_brute_force(spark):
     assert len(small & brute) >= 0.9 * len(brute) and small <= brute
 
 
+def test_hot_and_short_passages_are_all_found(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(150)]  # all of them common
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([5, 6, 8, 15, 40, 57, 64] * 6)]
+    docs = []
+    for d in range(400):
+        body = [rng.choice(words) for _ in range(rng.randrange(50, 400))]
+        if d % 2:
+            body.insert(rng.randrange(len(body)), items[d % 3 and rng.randrange(len(items))][1])
+        docs.append((d, " ".join(body)))
+    want = {(d, i) for d, t in docs for i, x in items if x in t}
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r for r in leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 200 and want <= set(got)
+
+
 def test_hard_rows(spark):
     item = "the quick brown fox jumps over a lazy dog. who saw that ? the old grey cat did."
     rows = [(1, None), (2, ""), (3, "... -- !"), (4, item), (4, item), (None, item), (5, "x " * 400_000 + item.upper()), (6, "clean text"), (7, "Ж é " + item)]
