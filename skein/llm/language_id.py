@@ -45,13 +45,13 @@ def crc32_of_id(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, learn: Column, bounds: Training = Training()) -> list[tuple[str, bytes]]:
     """(language, dictionary), most frequent first, from rows where ``learn`` holds and text and lang are given.
 
-    The sample's rows are those with the least hash of the text, distinct texts only,
-    so one source's copies don't fill it.
+    The sample's rows are those with the least hash of the text as it is cut, distinct
+    texts only, so one source's copies don't fill it.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(8)), "text")
-    part = rows.select("lang", F.substring("text", 1, bounds.row_chars).alias("text"))
-    sample = part.withColumn("n", F.rank().over(order)).where(F.col("n") <= bounds.rows).select("lang", "text").distinct()
+    part = rows.select("lang", F.substring("text", 1, bounds.row_chars).alias("text")).distinct()
+    sample = part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= bounds.rows).select("lang", "text")
     texts = sample.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts"))
     largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages)
     held = largest.join(texts, "lang").orderBy(F.desc("count"), "lang").collect()  # languages x rows x row_chars at most

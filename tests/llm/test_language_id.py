@@ -33,6 +33,15 @@ def test_hard_rows(spark):
     assert {r.lang_pred for r in single} == {"en", "und"}
 
 
+def test_copies_take_one_place_in_the_sample(spark):
+    texts = spark.createDataFrame([(f"text {chr(97 + i // 26)}{chr(97 + i % 26)}",) for i in range(60)], "text string")
+    least = texts.orderBy(F.xxhash64("text", F.lit(8))).first().text
+    rows = texts.unionByName(spark.range(400).select(F.lit(least).alias("text"))).selectExpr("0L as doc_id", "text", "'en' as lang")
+    [(_, content)] = train(rows, F.lit(True), Training(rows=50))
+    [(_, single)] = train(rows.distinct(), F.lit(True), Training(rows=50))
+    assert content == single and content.count(b"text") == 50
+
+
 def test_long_texts_are_read_whole():
     classify = classifier([("a", b"xyzzy plugh " * 50), ("b", b"lorem ipsum dolor " * 50)], block=100)
     assert classify("xyzzy plugh " + "lorem ipsum dolor " * 100)[0] == "b"
