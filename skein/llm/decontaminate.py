@@ -13,7 +13,8 @@
    see ``Index``.
 5. Candidates are verified on their words: a passage of which ``copy`` is a common
    subsequence of a stretch of the document is a copy; from ``paraphrase`` on it is one
-   if its answer, the last sentence, is found there too.
+   if its answer is found there too: the last sentence, with the words before it if it has
+   under ``ANSWER``, or the last quarter where that sentence is over half of the passage.
 
 Benchmark passages have at most 64 words, so each lies whole in some window; longer
 items are cut. The benchmark is taken in blocks of ``block`` items, so what is
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import table, written
 
 PASSAGE = 64
+ANSWER = 4  # the least words of an answer
 WINDOW, STRIDE = 128, 64
 REACH = PASSAGE + PASSAGE // 2  # the longest stretch that is compared with a passage
 _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -91,14 +93,16 @@ class Passages:
         for item, text in rows:
             sentences = [s for s in map(words_of, _SENTENCE.split(text or "")) if s]
             words = [w for s in sentences for w in s]
-            answer = sentences[-1][-PASSAGE:] if sentences else []
             for i in range(0, len(words), PASSAGE):
                 part = words[i : i + PASSAGE]
                 if i and len(part) < PASSAGE // 4:
                     part = words[-PASSAGE:]
                 out.items.append(item)
                 out.words.append(part)
-                out.answers.append(answer if i + PASSAGE >= len(words) else part[-PASSAGE // 4 :])
+                last = len(sentences[-1])
+                if i + PASSAGE < len(words) or last > len(part) / 2:
+                    last = len(part) // 4
+                out.answers.append(part[-max(ANSWER, last) :])
         return out
 
 
