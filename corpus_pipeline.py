@@ -26,8 +26,8 @@ from skein.llm.common import table, written
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = language_id.train(docs, language_id.crc32_of_id() % 5 != 0)
-    found = language_id.identify(docs.select(*docs.columns), known, keep_columns=True)
-    return found.where("not rejected").select(*docs.columns)
+    found = language_id.identify(docs.select(*docs.columns), known, keep_columns=True, prefix="__")
+    return found.where("not __rejected").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,18 +92,20 @@ def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int
     return classify
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], narrow: float = 0.001, keep_columns: bool = False) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], narrow: float = 0.001, keep_columns: bool = False, prefix: str = "") -> DataFrame:
     """Each row of ``docs`` with ``lang_pred``, ``margin``, ``score`` and ``rejected``.
 
     ``rejected``: the text is null or has no letter (then lang_pred is "und" and score
     0), or the margin is ``narrow`` or less. Only the text is looked at. Without any
     dictionary every row is "und". doc_id and text are what is kept unless
-    ``keep_columns``; an empty table gives no rows.
+    ``keep_columns``; an empty table gives no rows. ``prefix`` goes before the names of
+    the four columns; columns of ``docs`` that have such a name are replaced.
     """
     from pyspark.sql import types as T
 
     kept = docs if keep_columns else docs.select("doc_id", "text")
     fields = {"lang_pred": T.StringType(), "margin": T.DoubleType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
+    fields = {prefix + n: t for n, t in fields.items()}
     if clash := {c.lower() for c in kept.columns} & set(fields):
         kept = kept.drop(*clash)
     at = kept.columns.index("text")
