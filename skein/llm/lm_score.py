@@ -4,20 +4,26 @@ Talbot and Osborne, "Smoothed Bloom filter language models" (2007): an n-gram wi
 quantised count q is entered q times, once for each level up to its own; its count
 is read by probing level after level until one is missing.
 
-Counts come from all training tokens: every pair of neighbours is counted by groupings
-in Spark, and the words' counts and numbers of distinct followers are sums of those.
-What is broadcast is bounded by a share of the tokens: at most ``table`` words can make
-up a 1/``table`` of the tokens each, and at most ``table`` word pairs too, so the table of
-frequent words and the filter have at most that many entries at any input size. That
-share only decides the way a count travels: all other words and pairs are joined with
-their counts, and these are quantised by the filter's own steps, so equal counts give
-equal scores at any input size.
-
-The model is a bigram model with absolute discounting. For a word h with T tokens and f
-distinct followers, and n the quantised count of the pair (h, w),
-    p(w|h) = (max(n - D, 0) + D f p(w)) / T,
-with p(w) = (c + 1) / (N + V + 1) from the counts; after a word that isn't in training,
-p(w). The text's boundary is a token like any other.
+The model is a bigram model with a Dirichlet prior. With q(n) the quantised count of
+an n-gram,
+    p(w|h) = (q(h w) + PRIOR p(w)) / (q(h) + PRIOR),   p(w) = (q(w) + 1) / (N + V + 1),
+and the text's boundary is a token like any other. As a logarithm that is a sum of a
+term of w, one of h and, only for pairs that training has, log10(1 + q(h w) / (PRIOR p(w))).
+
+A filter of all n-grams grows with the corpus and can't be broadcast. So it holds the
+words and pairs that make up 1/``share`` of the tokens each, at most ``share`` of either;
+these are also the keys that could crowd a task. All other tokens are dealt out by
+n-gram, to as many parts as the corpus fills; a part counts its own n-grams exactly,
+quantises the counts by the filter's own steps and returns sums a row. So every n-gram
+counts, however rare, and the share decides only the way that a count travels.
+
+1. One pass counts words, and pairs that are frequent in a block of tokens: any pair
+   over twice the share in all (and OFTEN a block) is found in this way.
+2. One pass deals out the other tokens, and counts the frequent pairs exactly.
+3. One pass scores the frequent words and pairs by probes of the broadcast filter.
+
+A pair's tokens go to one part with the quantised count of w where w is frequent; where
+it is rare they go by w, so w's own count is found there too.
 """
 
 from __future__ import annotations
@@ -33,13 +39,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Memo, table, written
+from skein.llm.common import table, written
 from skein.llm.language_id import crc32_of_id
 
 BOUNDARY = b"\n"  # no word has white space
-DISCOUNT = 0.75
+PRIOR = 4.0
 STEP = 1.2
-FLUSH = 2_000_000
+BLOCK = 4_000_000  # tokens that a task takes at once
+PART = 4_000_000  # tokens of a part
+OFTEN = 4  # the least count in a block of a pair that is looked at as a frequent one
+WORDS = 500_000  # words that are remembered from one block to the next
+_NO_WORD = (1 << 24) - 1
 
 
 def word_hash(word: bytes) -> int:
@@ -53,6 +63,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, one more for each STEP times as many, 0 for less than 1."""
+    counts = np.asarray(counts, float)
+    return np.where(counts >= 1, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(STEP) + 1e-9), 0).astype(np.int64)
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of its range."""
+    return np.where(level > 0, STEP ** (level - 1.0) * (1 + STEP) / 2, 0.0)
+
+
 class LogBloom:
     """Quantised counts of 64-bit keys. ``floor`` is the least count worth a level, or less by under a step."""
 
@@ -69,8 +90,7 @@ class LogBloom:
                 np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
 
     def level(self, counts: np.ndarray) -> np.ndarray:
-        ratio = np.maximum(np.asarray(counts, float) / self.floor, 1e-9)
-        return np.where(ratio >= 1, 1 + np.floor(np.log(ratio) / np.log(STEP) + 1e-9), 0).astype(np.int64)
+        return level(np.asarray(counts, float) / self.floor)
 
     def _places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
@@ -84,198 +104,404 @@ class LogBloom:
         level = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         for j in range(1, self.most + 1):
+            level[alive] = j
             for at in self._places(keys[alive], j):
                 hit = self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
                 if not hit.all():
                     # places of the remaining probes must follow, so mark instead of cutting
                     level[alive[~hit]] = -1
-            alive = alive[level[alive] >= 0]
+            level[level == -1] = j - 1
+            alive = alive[level[alive] == j]
             if not len(alive):
                 break
-            level[alive] = j
-            level[level == -1] = j - 1
-        level[level == -1] = 0
-        return np.where(level > 0, self.floor * STEP ** (level - 1) * (1 + STEP) / 2, 0.0)
+        return self.floor * middle(level)
 
 
 def pair_key(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return (a.astype(np.uint64) << np.uint64(24)) | np.asarray(b).astype(np.uint64)
 
 
-def quantised(n: Column) -> Column:
-    """What LogBloom.count tells of a count."""
-    return F.pow(F.lit(STEP), F.floor(F.log(n) / math.log(STEP) + 1e-9)) * ((1 + STEP) / 2)
+def word_key(a: np.ndarray) -> np.ndarray:
+    return pair_key(a, _NO_WORD)
+
+
+def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(_mix(h.view(np.uint64)) + w.view(np.uint64))
+
+
+def word_term(quantised: np.ndarray) -> np.ndarray:
+    """What a token adds to a score but for the pair that it ends: log10 of (q + 1) PRIOR / (q + PRIOR), as it is h as often as w."""
+    return np.log10((quantised + 1) * PRIOR / (quantised + PRIOR))
+
+
+def pair_term(quantised: np.ndarray, word: np.ndarray, size: float) -> np.ndarray:
+    """log10(1 + q(h w) / (PRIOR p(w))), with q(w) in ``word``; ``size`` is N + V + 1."""
+    return np.log10(1 + quantised * size / (PRIOR * (word + 1)))
+
+
+class _Numbers(dict):
+    """word -> its number, as four bytes; new words get the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(0, np.int64)
+        self._fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        self._fresh.append(word)
+        value = self[word] = struct.pack("<i", len(self))
+        return value
+
+    def all_hashes(self) -> np.ndarray:
+        if self._fresh:
+            new = np.fromiter(map(xxhash.xxh64_intdigest, self._fresh), np.uint64, len(self._fresh))
+            self.hashes = np.concatenate([self.hashes, new.view(np.int64)])
+            self._fresh = []
+        return self.hashes
 
 
 @dataclass
-class Model:
-    """What is broadcast: frequent words by ascending hash, frequent pairs by key, and the filter."""
+class _Block:
+    """Tokens of whole texts: other columns and number of tokens of each text, each token's number, and the numbers' hashes."""
 
+    rows: list[tuple]
+    sizes: np.ndarray
+    at: np.ndarray
     hashes: np.ndarray
-    counts: np.ndarray
-    followers: np.ndarray
-    pairs: np.ndarray
-    tokens: int
-    words: int
-    bloom: LogBloom
 
-    def index(self, hashed: int) -> int:
-        at = int(np.searchsorted(self.hashes, hashed))
-        return at if at < len(self.hashes) and self.hashes[at] == hashed else -1
+    def before(self) -> np.ndarray:
+        """The number before each token; each text ends with the boundary, so the first of all begins after the last."""
+        return np.concatenate([self.at[-1:], self.at[:-1]])
+
+    def per_row(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, np.cumsum(self.sizes) - self.sizes)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], value, width: int) -> Iterator[tuple[list, list[int], bytes]]:
-    """(rows of (other columns), tokens of each, values of all tokens) of as many texts as make FLUSH tokens; text is the last column."""
-    memo = Memo(value, 500_000)
-    end = value(BOUNDARY)
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Block]:
+    """Blocks of ``most`` tokens, or whatever the text that fills one has; text, as binary, is the last column."""
+    numbers = _Numbers()
+    end = numbers[BOUNDARY]
     rows, sizes, parts, n = [], [], [], 0
+
+    def block() -> _Block:
+        return _Block(rows, np.array(sizes), np.frombuffer(b"".join(parts), "<i4"), numbers.all_hashes())
+
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        for k, text in enumerate(texts):
-            words = (text or b"").lower().split()
-            parts.append(b"".join(map(memo.__getitem__, words)) + end)
-            rows.append(tuple(batch.column(i)[k].as_py() for i in range(batch.num_columns - 1)))
-            sizes.append(len(parts[-1]) // width)
+        *others, texts = (c.to_pylist() for c in batch.columns)
+        for row, text in zip(zip(*others), texts):
+            parts.append(b"".join(map(numbers.__getitem__, (text or b"").lower().split())) + end)
+            rows.append(row)
+            sizes.append(len(parts[-1]) // 4)
             n += sizes[-1]
-            if n >= FLUSH:
-                yield rows, sizes, b"".join(parts)
+            if n >= most:
+                yield block()
                 rows, sizes, parts, n = [], [], [], 0
+                if len(numbers) > WORDS:
+                    numbers = _Numbers()
+                    end = numbers[BOUNDARY]
     if rows:
-        yield rows, sizes, b"".join(parts)
+        yield block()
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(h, w, n) of all neighbours in ``texts`` (text as binary); each text begins after, and ends with, the boundary."""
+def counted(given: DataFrame, share: int, block: int) -> DataFrame:
+    """(pair, h, w, train, total) of ``given`` (train, text): all words with w 0, and of pairs those
+    counts that make up 1/``share`` of a block, and are OFTEN at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, values in _tokens(batches, lambda w: struct.pack("<q", word_hash(w)), 8):
-            after = np.frombuffer(values, "<i8")
-            before = np.concatenate([[word_hash(BOUNDARY)], after[:-1]])
-            order = np.lexsort((after, before))
-            h, w = before[order], after[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-            n = np.diff(np.append(first, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h[first], w[first], n)], ["h", "w", "n"])
-
-    return texts.select("text").mapInArrow(run, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n"))
-
+        for b in _blocks(batches, block):
+            n, learnt = len(b.hashes), np.repeat(np.array([r[0] for r in b.rows]), b.sizes)
+            total, train = np.bincount(b.at, minlength=n), np.bincount(b.at[learnt], minlength=n)
+            used = np.flatnonzero(total)
+            yield _count_rows(False, b.hashes[used], np.zeros(len(used), np.int64), train[used], total[used])
+            keys, times = np.unique(b.before().astype(np.int64) * n + b.at, return_counts=True)
+            often = times >= max(OFTEN, len(b.at) / share)
+            keys, times = keys[often], times[often]
+            yield _count_rows(True, b.hashes[keys // n], b.hashes[keys % n], np.zeros_like(times), times)
 
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """(h, n, followers) of every token, the boundary included: each is the first of a pair as often as it occurs."""
-    return pairs.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("followers"))
+    schema = "pair boolean, h long, w long, train long, total long"
+    return given.mapInArrow(run, schema).groupBy("pair", "h", "w").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def train(counts: DataFrame, pairs: DataFrame, share: int) -> tuple[Model, int]:
-    """The model, given the counts of all words and pairs, and the least count of what it holds."""
-    total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
-    tokens = int(total.tokens or 0)
-    least = max(1, -(-tokens // share))
-    held = counts.where(F.col("n") >= least).orderBy("h").toArrow()  # at most ``share`` rows
-    hashes = held["h"].to_numpy()
-    frequent = pairs.where(F.col("n") >= least).toArrow()  # at most ``share`` rows; both words are frequent
-    keys = pair_key(np.searchsorted(hashes, frequent["h"].to_numpy()), np.searchsorted(hashes, frequent["w"].to_numpy()))
-    bloom = LogBloom(keys, frequent["n"].to_numpy(), least)
-    return Model(hashes, held["n"].to_numpy(), held["followers"].to_numpy(), np.sort(keys), tokens, int(total.words), bloom), least
+def _count_rows(pair: bool, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), pair)), *(pa.array(c, pa.int64()) for c in columns)], ["pair", "h", "w", "train", "total"])
 
 
-def with_word(pairs: DataFrame, words: DataFrame, key: str, least: int) -> DataFrame:
-    """``pairs`` with the columns of ``words``; frequent words, at most ``share`` rows, are broadcast, so no pairs gather at one."""
-    frequent, rare = F.broadcast(words.where(F.col("of") >= least)), words.where(F.col("of") < least)
-    others = pairs.join(frequent.select(key), key, "left_anti").join(rare, key)
-    return pairs.join(frequent, key).unionByName(others).drop("of")
+@dataclass
+class Model:
+    """What is broadcast: the frequent words by ascending hash with their counts, the keys of the
+    frequent pairs, and (once these are counted) the filter."""
 
+    hashes: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    tokens: int
+    words: int
+    total: int
+    least: int
+    bloom: LogBloom | None = None
+    low: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))  # keys below the filter's floor, and their quantised counts
+
+    @property
+    def size(self) -> float:
+        return float(self.tokens + self.words + 1)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the frequent words, or -1."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1) if len(self.hashes) else np.full(len(hashes), -1)
+
+    def quantised(self, keys: np.ndarray) -> np.ndarray:
+        """The quantised counts of words and pairs: by probes of the filter, or as listed for those
+        below its floor, which are frequent outside training only."""
+        out = self.bloom.count(keys)
+        at = np.minimum(np.searchsorted(self.low[0], keys), len(self.low[0]) - 1)
+        return np.where(self.low[0][at] == keys, self.low[1][at], out) if len(self.low[0]) else out
+
+    def fill(self, pair_counts: np.ndarray) -> None:
+        """Make the filter, of the words and, given their counts, the pairs."""
+        keys = np.concatenate([word_key(np.arange(len(self.hashes))), self.pairs])
+        counts = np.concatenate([self.counts, pair_counts])
+        self.bloom = LogBloom(keys, counts, max(1, self.least // 2))
+        low = np.flatnonzero(counts < self.bloom.floor)
+        low = low[np.argsort(keys[low])]
+        self.low = keys[low], middle(level(counts[low]))
+
+    def finder(self):
+        """A function from pair keys to their places among the frequent pairs, or -1; most are told apart by a bit table."""
+        bits = 23
+        seen = np.zeros(1 << bits, bool)
+        slot = lambda keys: (_mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+        seen[slot(self.pairs)] = True
+
+        def find(keys: np.ndarray) -> np.ndarray:
+            out = np.full(len(keys), -1, np.int64)
+            maybe = np.flatnonzero(seen[slot(keys)])
+            at = np.minimum(np.searchsorted(self.pairs, keys[maybe]), len(self.pairs) - 1)
+            out[maybe] = np.where(self.pairs[at] == keys[maybe], at, -1) if len(self.pairs) else -1
+            return out
+
+        return find
+
+
+def frequent(counts: DataFrame, share: int) -> Model:
+    """The frequent words and pairs, each at most ``share``, and the boundary in any case."""
+    words = counts.where("not pair")
+    sums = words.agg(F.sum("train").alias("tokens"), F.count_if(F.col("train") > 0).alias("words"), F.sum("total").alias("total")).first()
+    least = max(1, -(-int(sums.total or 0) // share))
+    held = words.where((F.col("total") >= least) | (F.col("h") == word_hash(BOUNDARY))).orderBy("h").select("h", "train").toArrow()  # at most share + 1 rows
+    pairs = counts.where(F.col("pair") & (F.col("total") >= least)).select("h", "w").toArrow()  # at most share rows
+    model = Model(held["h"].to_numpy(), held["train"].to_numpy(), np.zeros(0, np.uint64), int(sums.tokens or 0), int(sums.words), int(sums.total or 0), least)
+    model.pairs = np.sort(pair_key(*(model.places(pairs[c].to_numpy()) for c in ("h", "w"))))  # both words of a frequent pair are frequent
+    return model
+
+
+def _quantised_words(model: Model) -> np.ndarray:
+    return level(model.counts).astype(np.uint8)
+
+
+_DEALT = ("ids", "<i8"), ("marks", "<i8"), ("train", "?"), ("n", "<u4"), ("rare_n", "<u4"), ("keys", "<u8"), ("levels", "u1"), ("rare", "<i8"), ("rare_keys", "<u4"), ("hot", "<u4"), ("hot_n", "<i8")
+
+
+def dealt(given: DataFrame, model: Model, parts: int, block: int) -> DataFrame:
+    """The tokens of ``given`` (train, id, mark, text) that don't end a frequent pair, in packets for each
+    part: rows with id, mark and numbers of tokens; pairs with the level of w; rare words with a key of h;
+    and the counts in training of frequent pairs."""
+    held = given.sparkSession.sparkContext.broadcast(model)
 
-def pair_ratios(pairs: DataFrame, counts: DataFrame, model: Model, least: int) -> DataFrame:
-    """(h, w, ratio) of the pairs that the model doesn't hold: log10 of p(w|h) / p(w)."""
-    first = counts.select("h", F.col("n").alias("of"), F.col("n").alias("total"), "followers")
-    second = counts.select(F.col("h").alias("w"), F.col("n").alias("of"), ((F.col("n") + 1) / F.lit(float(model.tokens + model.words + 1))).alias("chance"))
-    p = F.least(F.lit(1.0), (F.greatest(quantised(F.col("n")) - DISCOUNT, F.lit(0.0)) + F.col("followers") * DISCOUNT * F.col("chance")) / F.col("total"))
-    known = with_word(with_word(pairs.where(F.col("n") < least), first, "h", least), second, "w", least)
-    return known.select("h", "w", F.log10(p / F.col("chance")).alias("ratio"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = held.value
+        find, levels = m.finder(), _quantised_words(m)
+        small = np.uint16 if parts < 1 << 16 else np.int64  # sorted by digits
+        for b in _blocks(batches, block):
+            place, h = m.places(b.hashes), b.before()
+            first, second = place[h], place[b.at]
+            both = np.flatnonzero((first >= 0) & (second >= 0))
+            found = np.full(len(b.at), -1)
+            found[both] = find(pair_key(first[both], second[both]))
+            train, ids, marks = (np.array(x) for x in zip(*b.rows))
+            row = np.repeat(np.arange(len(b.sizes), dtype=np.int32), b.sizes)
+            hot = found[(found >= 0) & train[row]]
+            cold = np.flatnonzero(found < 0)
+            rare = second[cold] < 0
+            keys = pair_hash(b.hashes[h[cold]], b.hashes[b.at[cold]])
+            with np.errstate(over="ignore"):
+                owner = np.where(rare, _mix(b.hashes[b.at[cold]].view(np.uint64)), _mix(keys + np.uint64(1)))
+            part = (owner % np.uint64(parts)).astype(small)
+            order = np.argsort(part, kind="stable")
+            hot, hot_n = np.unique(hot, return_counts=True)
+            order_hot = np.argsort(hot % parts, kind="stable")
+            hot, hot_n = hot[order_hot], hot_n[order_hot]
+            there = np.unique(np.concatenate([part[order], hot % parts]))
+            cuts, ends = (np.searchsorted(x, there, side) for x in (part[order],) for side in ("left", "right"))
+            hot_cuts, hot_ends = (np.searchsorted(hot % parts, there, side) for side in ("left", "right"))
+            out: dict[str, list] = {"part": [], **{name: [] for name, _ in _DEALT}}
+            for k, p in enumerate(there.tolist()):
+                mine, of_hot = order[cuts[k] : ends[k]], slice(hot_cuts[k], hot_ends[k])
+                is_rare, rows, tokens = rare[mine], row[cold[mine]], b.at[cold[mine]]
+                starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                own = rows[starts]
+                n = np.diff(np.append(starts, len(rows)))
+                rare_n = np.add.reduceat(is_rare, starts, dtype=np.int64) if len(starts) else n
+                columns = (
+                    ids[own], marks[own], train[own], n - rare_n, rare_n, keys[mine[~is_rare]], levels[second[cold[mine[~is_rare]]]],
+                    b.hashes[tokens[is_rare]], keys[mine[is_rare]] >> np.uint64(32), hot[of_hot], hot_n[of_hot],
+                )
+                out["part"].append(p)
+                for (name, kind), x in zip(_DEALT, columns):
+                    out[name].append(np.asarray(x).astype(kind).tobytes())
+                if len(out["part"]) == 1_000:
+                    yield _packets(out)
+                    out = {name: [] for name in out}
+            if out["part"]:
+                yield _packets(out)
+
+    return given.mapInArrow(run, "part int, " + ", ".join(f"{name} binary" for name, _ in _DEALT))
+
+
+def _packets(out: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if name == "part" else pa.binary()) for name, x in out.items()], list(out))
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _run_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each element, the sum over its run."""
+    return np.repeat(np.add.reduceat(x, starts), np.diff(np.append(starts, len(x)))) if len(x) else np.zeros(0)
+
+
+def part_sums(packets: dict[str, np.ndarray], size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, logs, more) of each row of a part: known rare words, their log10(c + 1), and what they and the part's pairs add to the score."""
+    rows = len(packets["ids"])
+    train = packets["train"].astype(np.int64)
+    row = np.repeat(np.arange(rows), packets["n"])
+    order = np.argsort(packets["keys"])
+    keys, row = packets["keys"][order], row[order]
+    n = _run_sums(train[row], _starts(keys))
+    term = pair_term(middle(level(n)), middle(packets["levels"][order].astype(np.int64)), size)
+    more = np.bincount(row, term, rows).astype(float)  # of no rows, numpy counts in whole numbers
+    row = np.repeat(np.arange(rows), packets["rare_n"])
+    order = np.lexsort((packets["rare_keys"], packets["rare"]))
+    words, keys, row = packets["rare"][order], packets["rare_keys"][order], row[order]
+    count, n = _run_sums(train[row], _starts(words)), _run_sums(train[row], _starts(words, keys))
+    word = middle(level(count))
+    more += np.bincount(row, word_term(word) + pair_term(middle(level(n)), word, size), rows)
+    return np.bincount(row, count > 0, rows).astype(np.int64), np.bincount(row, np.log10(count + 1), rows).astype(float), more
+
+
+def gathered(packets: DataFrame, parts: int, size: float) -> DataFrame:
+    """(id, mark, known, logs, more) of each row, summed over the parts; with a null mark, the place of a
+    frequent pair as id and its count as known. A part is held in memory; it has PART tokens about, and
+    no n-gram in it over 2/share of all tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        current = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            got = {name: np.frombuffer(b"".join(held.pop(name)), kind) for name, kind in _DEALT}
+            hot = np.unique(got["hot"])
+            n = np.bincount(np.searchsorted(hot, got["hot"]), got["hot_n"], len(hot)).astype(np.int64)
+            known, logs, more = part_sums(got, size)
+            nothing = np.zeros(len(hot))
+            marks = pa.concat_arrays([pa.array(got["marks"]), pa.nulls(len(hot), pa.int64())])
+            columns = [np.concatenate(x) for x in ((got["ids"], hot.astype(np.int64)), (known, n), (logs, nothing), (more, nothing))]
+            whole = pa.RecordBatch.from_arrays([pa.array(columns[0]), marks, *map(pa.array, columns[1:])], ["id", "mark", "known", "logs", "more"])
+            for i in range(0, whole.num_rows, 100_000):
+                yield whole.slice(i, 100_000)
+
+        for batch in batches:
+            columns = batch.to_pydict()
+            for k, part in enumerate(columns["part"]):
+                if part != current and held:
+                    yield from close()
+                current = part
+                for name, _ in _DEALT:
+                    held.setdefault(name, []).append(columns[name][k])
+        if held:
+            yield from close()
+
+    ordered = packets.repartitionById(parts, "part").sortWithinPartitions("part")
+    sums = ordered.mapInArrow(run, "id long, mark long, known long, logs double, more double")
+    return sums.groupBy("id", "mark").agg(*[F.sum(c).alias(c) for c in ("known", "logs", "more")])
+
+
+def scored(given: DataFrame, model: Model, block: int) -> DataFrame:
+    """(doc_id, held_out, id, mark, n_tokens, known, logs, more) of each row of ``given`` (doc_id, held_out,
+    id, mark, text), from its frequent words and pairs by probes of the filter."""
+    held = given.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "held_out", "id", "mark", "n_tokens", "known", "logs", "more"]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
-def score(docs: DataFrame, held_out: Column, share: int = 1_000_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = held.value
+        find, exact = m.finder(), np.append(m.counts, 0)  # the last is for rare words
+        words, pairs = np.full(len(exact), np.nan), np.full(len(m.pairs), np.nan)  # probed when first met
+        words[-1] = 0.0
+
+        def probed(memo: np.ndarray, at: np.ndarray, keys) -> np.ndarray:
+            new = np.flatnonzero((np.bincount(at, minlength=len(memo)) > 0) & np.isnan(memo))
+            memo[new] = m.quantised(keys(new))
+            return memo[at]
+
+        for b in _blocks(batches, block):
+            place, h = m.places(b.hashes), b.before()
+            first, second = place[h], place[b.at]
+            both = np.flatnonzero((first >= 0) & (second >= 0))
+            found = find(pair_key(first[both], second[both]))
+            both, found = both[found >= 0], found[found >= 0]
+            second[second < 0] = len(exact) - 1
+            word = probed(words, second, word_key)
+            more = word_term(word)
+            # no pair is more frequent than its words; the filter may tell a step too much
+            pair = np.minimum(probed(pairs, found, lambda at: m.pairs[at]), np.minimum(word[both], words[first[both]]))
+            more[both] += pair_term(pair, word[both], m.size)
+            count = exact[second]
+            sums = (b.per_row(x) for x in ((count > 0).astype(np.int64), np.log10(count + 1), more))
+            columns = [*zip(*b.rows), b.sizes, *sums]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
+
+    return given.mapInArrow(run, "doc_id long, held_out boolean, id long, mark long, n_tokens long, known long, logs double, more double")
+
+
+def score(docs: DataFrame, held_out: Column, share: int = 1_000_000, part: int = PART, block: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text).
 
     Rows where ``held_out`` is not true train the model. A null text counts as empty: the
     boundary alone. A null doc_id trains and is scored; repeated rows count each. Without
-    training rows every probability is 1. An empty table gives no rows.
+    training rows every probability is 1. An empty table gives no rows. Other columns are
+    not looked at. Rows are told apart by doc_id and a 64-bit hash of the text. A task holds a
+    block or a part in memory, some 30 bytes a token; a packet between them has block/parts
+    tokens, so both are to be raised with memory where there are over 10^12 tokens.
     """
-    spark = docs.sparkSession
     flag = F.coalesce(held_out, F.lit(False)).alias("held_out")
-    given = docs.select(F.col("doc_id").cast("long"), flag, F.col("text").cast("string").cast("binary"))
-    training = given.where(~F.col("held_out")).select("text")
-    pairs = written(pair_counts(training), "pair-counts")
-    counts = written(word_counts(pairs), "word-counts")
-    model, least = train(counts, pairs, share)
-    held = spark.sparkContext.broadcast(model)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, ratio double, rare array<long>, first array<long>, second array<long>"
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m: Model = held.value
-        row = TaskContext.get().partitionId() << 40
-        boundary = word_hash(BOUNDARY)
-        lefts = m.followers * DISCOUNT
-        chance = (m.counts + 1) / (m.tokens + m.words + 1)
-        value = lambda w: struct.pack("<qi", h := word_hash(w), m.index(h))
-        for rows, sizes, values in _tokens(batches, value, 12):
-            got = np.frombuffer(values, np.dtype([("h", "<i8"), ("at", "<i4")]))
-            at = got["at"].astype(np.int64)
-            before = np.concatenate([[m.index(boundary)], at[:-1]])
-            known = at >= 0
-            logs = np.zeros(len(at))  # log10(c + 1) of frequent words; rare ones follow by join
-            logs[known] = np.log10(m.counts[at[known]] + 1)
-            ratio = np.zeros(len(at))  # log10 of p(w|h) / p(w) of frequent pairs; the others follow by join
-            both = np.flatnonzero((before >= 0) & known)
-            pairs, back = np.unique(pair_key(before[both], at[both]), return_inverse=True)
-            held_pair = np.isin(pairs, m.pairs)
-            both, back = both[held_pair[back]], (np.cumsum(held_pair) - 1)[back[held_pair[back]]]
-            pairs = pairs[held_pair]
-            n = m.bloom.count(pairs)
-            a, b = (pairs >> np.uint64(24)).astype(np.int64), (pairs & np.uint64((1 << 24) - 1)).astype(np.int64)
-            p = np.minimum(1.0, (np.maximum(n - DISCOUNT, 0) + lefts[a] * chance[b]) / m.counts[a])
-            ratio[both] = np.log10(p / chance[b])[back]
-            other = np.ones(len(at), bool)
-            other[both] = False
-            other = np.flatnonzero(other)
-            first = np.concatenate([[boundary], got["h"][:-1]])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            sums = lambda x: np.add.reduceat(x, starts[:-1])
-            left = np.flatnonzero(~known)
-            listed = lambda x, place: pa.ListArray.from_arrays(pa.array(np.searchsorted(place, starts).astype(np.int32)), pa.array(x[place], pa.int64()))
-            columns = [
-                pa.array(np.arange(row, row + len(rows)), pa.int64()),
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.bool_()),
-                pa.array(sizes, pa.int64()),
-                pa.array(sums(known.astype(np.int64)), pa.int64()),
-                pa.array(sums(logs), pa.float64()),
-                pa.array(sums(ratio), pa.float64()),
-                listed(got["h"], left),
-                listed(first, other),
-                listed(got["h"], other),
-            ]
-            row += len(rows)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    part = written(given.mapInArrow(run, schema), "scores")
-    rare = part.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
-    more = rare.groupBy("row").agg(F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_logs"))
-    other = part.select("row", F.explode(F.arrays_zip(F.col("first").alias("h"), F.col("second").alias("w"))).alias("p")).select("row", "p.h", "p.w")
-    found = other.join(pair_ratios(pairs, counts, model, least), ["h", "w"], "left")
-    # a row each for the pairs found, and for each first word of pairs that training doesn't have
-    unseen = F.when(F.col("ratio").isNull(), F.col("h")).alias("h")
-    found = written(found.groupBy("row", unseen).agg(F.sum("ratio").alias("ratio"), F.count("*").alias("n")), "pair-scores")
-    left = F.coalesce(F.log10(F.col("followers") * DISCOUNT / F.col("total")), F.lit(0.0)) * F.col("n")
-    backed = found.where("h is not null").drop("ratio").join(counts.select("h", F.col("n").alias("total"), "followers"), "h", "left").select("row", left.alias("ratio"))
-    joined = found.where("h is null").select("row", "ratio").unionByName(backed).groupBy("row").agg(F.sum("ratio").alias("more_ratio"))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.words + 1)))
-    return part.drop("rare", "first", "second").join(more, "row", "left").join(joined, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("ratio") + F.coalesce("more_ratio", F.lit(0.0))).alias("score"),
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    given = docs.select(F.col("doc_id").cast("long"), flag, text.alias("text"))
+    mark = F.xxhash64(F.col("doc_id").isNull(), "text").alias("mark")
+    given = given.select("doc_id", "held_out", F.coalesce("doc_id", F.lit(0)).alias("id"), mark, "text")
+    train = (~F.col("held_out")).alias("train")
+    model = frequent(written(counted(given.select(train, "text"), share, block), "counts"), share)
+    parts = max(1, -(-model.total // part))
+    sums = written(gathered(dealt(given.select(train, "id", "mark", "text"), model, parts, block), parts, model.size), "sums")
+    hot = sums.where("mark is null").select("id", "known").toArrow()  # at most a row a frequent pair
+    n = np.zeros(len(model.pairs), np.int64)
+    n[hot["id"].to_numpy()] = hot["known"].to_numpy()
+    model.fill(n)
+    rows = written(scored(given, model, block), "scores")
+    # repeated rows have been summed together, and have equal shares in that
+    copies = rows.groupBy("id", "mark").agg(F.count("*").alias("copies"))
+    more = sums.join(copies, ["id", "mark"]).select("id", "mark", "copies", *[F.col(c).alias(f"more_{c}") for c in ("known", "logs", "more")])
+    more = more.select("id", "mark", (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"), *[(F.col(c) / F.col("copies")).alias(c) for c in ("more_logs", "more_more")])
+    size = F.col("n_tokens") * F.lit(math.log10(model.size))
+    total = lambda c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0))
+    return rows.join(more, ["id", "mark"], "left").select(
+        "doc_id", "held_out", "n_tokens", total("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (total("logs") - size).alias("base_score"), (total("more") - size).alias("score"),
     )
 
 
