@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,11 +94,21 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", "")
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once, however often ``make`` uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _trigrams(chars: Column) -> Column:
+    n = F.size(chars) - 2
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), F.concat)
+    return F.zip_with(pairs, F.slice(chars, 3, n), F.concat)
+
+
 def grams(text: Column) -> Column:
     """The distinct trigrams of the squeezed text; one shorter gram below three characters, none for an empty one."""
-    s = squeezed(text)
-    each = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s)).otherwise(F.array_distinct(each))
+    few = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s))
+    return _bound(squeezed(text), lambda s: few(s).otherwise(_bound(F.split(s, F.lit("")), lambda c: F.array_distinct(_trigrams(c)))))
 
 
 def next_power_of_two(n: Column) -> Column:
