@@ -45,8 +45,8 @@ from skein.llm.language_id import crc32_of_id
 BOUNDARY = b"\n"  # no word has white space
 PRIOR = 4.0
 STEP = 1.2
-BLOCK = 4_000_000  # tokens that a task takes at once
-PART = 4_000_000  # tokens of a part
+BLOCK = 2_000_000  # tokens that a task takes at once
+PART = 2_000_000  # tokens of a part
 OFTEN = 4  # the least count in a block of a pair that is looked at as a frequent one
 WORDS = 500_000  # words that are remembered from one block to the next
 _NO_WORD = (1 << 24) - 1
@@ -249,7 +249,7 @@ class Model:
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash among the frequent words, or -1."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1) if len(self.hashes) else np.full(len(hashes), -1)
+        return np.where(self.hashes[at] == hashes, at, -1).astype(np.int32) if len(self.hashes) else np.full(len(hashes), -1, np.int32)
 
     def quantised(self, keys: np.ndarray) -> np.ndarray:
         """The quantised counts of words and pairs: by probes of the filter, or as listed for those
@@ -300,7 +300,54 @@ def _quantised_words(model: Model) -> np.ndarray:
     return level(model.counts).astype(np.uint8)
 
 
-_DEALT = ("ids", "<i8"), ("marks", "<i8"), ("train", "?"), ("n", "<u4"), ("rare_n", "<u4"), ("keys", "<u8"), ("levels", "u1"), ("rare", "<i8"), ("rare_keys", "<u4"), ("hot", "<u4"), ("hot_n", "<i8")
+# What a packet holds. Of a block's packets one has the ids and marks of all its rows.
+_DEALT = {
+    "ids": "<i8", "marks": "<i8", "rows": "<u4", "train": "?", "n": "<u4", "rare_n": "<u4", "keys": "<u8", "levels": "u1", "rare": "<i8", "rare_keys": "<u4", "hot": "<u4", "hot_n": "<i8",
+}
+_SUMS = {"ids": "<i8", "marks": "<i8", "rows": "<u4", "known": "<u4", "logs": "<f8", "more": "<f8"}
+
+
+def _packet_schema(kinds: dict[str, str], key: str) -> str:
+    return f"{key}, " + ", ".join(f"{name} binary" for name in kinds)
+
+
+class _Packets:
+    """Packets that go out together."""
+
+    def __init__(self, kinds: dict[str, str], *numbers: str):
+        self._kinds, self._numbers, self.size = kinds, numbers, 0
+        self._columns: list[list] = [[] for _ in (*numbers, *kinds)]
+
+    def add(self, *values) -> None:
+        n = len(self._numbers)
+        for column, x in zip(self._columns, values[:n]):
+            column.append(int(x))
+        for column, x, kind in zip(self._columns[n:], values[n:], self._kinds.values()):
+            column.append(np.asarray(x).astype(kind).tobytes())
+            self.size += len(column[-1])
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self._numbers)
+        arrays = [pa.array(c, pa.int64() if i < n else pa.binary()) for i, c in enumerate(self._columns)]
+        self._columns, self.size = [[] for _ in self._columns], 0
+        return pa.RecordBatch.from_arrays(arrays, [*self._numbers, *self._kinds])
+
+
+def _joined(packets: list[dict], kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    return {name: np.frombuffer(b"".join(p[name] for p in packets), kind) for name, kind in kinds.items()}
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """(key, packets) of rows that are sorted by the key."""
+    held: list[dict] = []
+    for batch in batches:
+        for packet in batch.to_pylist():
+            if held and packet[key] != held[0][key]:
+                yield held[0][key], held
+                held = []
+            held.append(packet)
+    if held:
+        yield held[0][key], held
 
 
 def dealt(given: DataFrame, model: Model, parts: int, block: int) -> DataFrame:
@@ -310,16 +357,20 @@ def dealt(given: DataFrame, model: Model, parts: int, block: int) -> DataFrame:
     held = given.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         m: Model = held.value
         find, levels = m.finder(), _quantised_words(m)
         small = np.uint16 if parts < 1 << 16 else np.int64  # sorted by digits
+        number = TaskContext.get().partitionId() << 32
+        out = _Packets(_DEALT, "part", "block")
         for b in _blocks(batches, block):
             place, h = m.places(b.hashes), b.before()
             first, second = place[h], place[b.at]
             both = np.flatnonzero((first >= 0) & (second >= 0))
-            found = np.full(len(b.at), -1)
+            found = np.full(len(b.at), -1, np.int32)
             found[both] = find(pair_key(first[both], second[both]))
-            train, ids, marks = (np.array(x) for x in zip(*b.rows))
+            train, *names = (np.array(x) for x in zip(*b.rows))
             row = np.repeat(np.arange(len(b.sizes), dtype=np.int32), b.sizes)
             hot = found[(found >= 0) & train[row]]
             cold = np.flatnonzero(found < 0)
@@ -329,38 +380,31 @@ def dealt(given: DataFrame, model: Model, parts: int, block: int) -> DataFrame:
                 owner = np.where(rare, _mix(b.hashes[b.at[cold]].view(np.uint64)), _mix(keys + np.uint64(1)))
             part = (owner % np.uint64(parts)).astype(small)
             order = np.argsort(part, kind="stable")
+            part = part[order]
             hot, hot_n = np.unique(hot, return_counts=True)
-            order_hot = np.argsort(hot % parts, kind="stable")
-            hot, hot_n = hot[order_hot], hot_n[order_hot]
-            there = np.unique(np.concatenate([part[order], hot % parts]))
-            cuts, ends = (np.searchsorted(x, there, side) for x in (part[order],) for side in ("left", "right"))
+            hot_order = np.argsort(hot % parts, kind="stable")
+            hot, hot_n = hot[hot_order], hot_n[hot_order]
+            there = np.unique(np.concatenate([part, hot % parts])) if len(part) + len(hot) else np.zeros(1, np.int64)
+            cuts, ends = (np.searchsorted(part, there, side) for side in ("left", "right"))
             hot_cuts, hot_ends = (np.searchsorted(hot % parts, there, side) for side in ("left", "right"))
-            out: dict[str, list] = {"part": [], **{name: [] for name, _ in _DEALT}}
             for k, p in enumerate(there.tolist()):
                 mine, of_hot = order[cuts[k] : ends[k]], slice(hot_cuts[k], hot_ends[k])
                 is_rare, rows, tokens = rare[mine], row[cold[mine]], b.at[cold[mine]]
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
-                own = rows[starts]
                 n = np.diff(np.append(starts, len(rows)))
                 rare_n = np.add.reduceat(is_rare, starts, dtype=np.int64) if len(starts) else n
-                columns = (
-                    ids[own], marks[own], train[own], n - rare_n, rare_n, keys[mine[~is_rare]], levels[second[cold[mine[~is_rare]]]],
+                own = rows[starts]
+                out.add(
+                    p, number, *(names if k == 0 else (x[:0] for x in names)), own, train[own], n - rare_n, rare_n, keys[mine[~is_rare]], levels[second[cold[mine[~is_rare]]]],
                     b.hashes[tokens[is_rare]], keys[mine[is_rare]] >> np.uint64(32), hot[of_hot], hot_n[of_hot],
                 )
-                out["part"].append(p)
-                for (name, kind), x in zip(_DEALT, columns):
-                    out[name].append(np.asarray(x).astype(kind).tobytes())
-                if len(out["part"]) == 1_000:
-                    yield _packets(out)
-                    out = {name: [] for name in out}
-            if out["part"]:
-                yield _packets(out)
+                if out.size > 1 << 23:
+                    yield out.batch()
+            number += 1
+        if out.size:
+            yield out.batch()
 
-    return given.mapInArrow(run, "part int, " + ", ".join(f"{name} binary" for name, _ in _DEALT))
-
-
-def _packets(out: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if name == "part" else pa.binary()) for name, x in out.items()], list(out))
+    return given.mapInArrow(run, _packet_schema(_DEALT, "part long, block long"))
 
 
 def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -377,7 +421,7 @@ def _run_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def part_sums(packets: dict[str, np.ndarray], size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known, logs, more) of each row of a part: known rare words, their log10(c + 1), and what they and the part's pairs add to the score."""
-    rows = len(packets["ids"])
+    rows = len(packets["rows"])
     train = packets["train"].astype(np.int64)
     row = np.repeat(np.arange(rows), packets["n"])
     order = np.argsort(packets["keys"])
@@ -396,38 +440,44 @@ def part_sums(packets: dict[str, np.ndarray], size: float) -> tuple[np.ndarray,
 
 def gathered(packets: DataFrame, parts: int, size: float) -> DataFrame:
     """(id, mark, known, logs, more) of each row, summed over the parts; with a null mark, the place of a
-    frequent pair as id and its count as known. A part is held in memory; it has PART tokens about, and
-    no n-gram in it over 2/share of all tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        current = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            got = {name: np.frombuffer(b"".join(held.pop(name)), kind) for name, kind in _DEALT}
+    frequent pair as id and its count as known. A part counts its n-grams and answers each block with a
+    packet of sums, which are added up by block. A task holds a part, of PART tokens about and with no
+    n-gram of over 2/share of all tokens, or the answers to a block."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Packets(_SUMS, "block")
+        for part, held in _grouped(batches, "part"):
+            got = _joined(held, _DEALT)
             hot = np.unique(got["hot"])
-            n = np.bincount(np.searchsorted(hot, got["hot"]), got["hot_n"], len(hot)).astype(np.int64)
-            known, logs, more = part_sums(got, size)
-            nothing = np.zeros(len(hot))
-            marks = pa.concat_arrays([pa.array(got["marks"]), pa.nulls(len(hot), pa.int64())])
-            columns = [np.concatenate(x) for x in ((got["ids"], hot.astype(np.int64)), (known, n), (logs, nothing), (more, nothing))]
-            whole = pa.RecordBatch.from_arrays([pa.array(columns[0]), marks, *map(pa.array, columns[1:])], ["id", "mark", "known", "logs", "more"])
+            n = np.bincount(np.searchsorted(hot, got["hot"]), got["hot_n"], len(hot))
+            out.add(-1 - part, [], [], hot, n, [], [])
+            sums = part_sums(got, size)
+            ends = np.cumsum([len(p["rows"]) // 4 for p in held])
+            for p, end in zip(held, ends):
+                mine = slice(end - len(p["rows"]) // 4, end)
+                names = (np.frombuffer(p[c], _SUMS[c]) for c in ("ids", "marks"))
+                out.add(p["block"], *names, got["rows"][mine], *(x[mine] for x in sums))
+                if out.size > 1 << 23:
+                    yield out.batch()
+        if out.size:
+            yield out.batch()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _grouped(batches, "block"):
+            got = _joined(held, _SUMS)
+            if block < 0:
+                hot = got["rows"].astype(np.int64)
+                nothing = np.zeros(len(hot))
+                columns = (hot, pa.nulls(len(hot), pa.int64()), got["known"].astype(np.int64), nothing, nothing)
+            else:
+                known, logs, more = (np.bincount(got["rows"], got[c], len(got["ids"])) for c in ("known", "logs", "more"))
+                columns = (got["ids"], got["marks"], known.astype(np.int64), logs.astype(float), more.astype(float))
+            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "mark", "known", "logs", "more"])
             for i in range(0, whole.num_rows, 100_000):
                 yield whole.slice(i, 100_000)
 
-        for batch in batches:
-            columns = batch.to_pydict()
-            for k, part in enumerate(columns["part"]):
-                if part != current and held:
-                    yield from close()
-                current = part
-                for name, _ in _DEALT:
-                    held.setdefault(name, []).append(columns[name][k])
-        if held:
-            yield from close()
-
-    ordered = packets.repartitionById(parts, "part").sortWithinPartitions("part")
-    sums = ordered.mapInArrow(run, "id long, mark long, known long, logs double, more double")
+    answers = packets.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(count, _packet_schema(_SUMS, "block long"))
+    sums = answers.repartition("block").sortWithinPartitions("block").mapInArrow(add, "id long, mark long, known long, logs double, more double")
     return sums.groupBy("id", "mark").agg(*[F.sum(c).alias(c) for c in ("known", "logs", "more")])
 
 
