@@ -1,15 +1,16 @@
 """Operator 8: language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from its training texts;
-a text belongs to the language whose dictionary compresses it best (Benedetto et
-al., "Language trees and zipping", 2002). Before that, letters are lower-cased and
+Each language has a zstandard raw-content dictionary of training texts; a text
+belongs to the language whose dictionary compresses it best (Benedetto et al.,
+"Language trees and zipping", 2002). Before that, letters are lower-cased and
 everything else becomes single spaces. The training sample is bounded per language
 (``Training``); every text is classified whole, in blocks of ``block`` bytes whose
 sizes are added, so memory doesn't follow the longest text.
 
-Sizes are whole bytes, too coarse for a few words: for a text under ``short`` bytes
-the sizes of the text followed by each of its rotations are added up, which weighs all
-languages alike. A tie goes to the language with more training rows, with margin zero.
+Sizes are whole bytes, too coarse for a few words. So a text is compressed with itself
+behind it, turned round to several starts, as many as make ``enough`` bytes in all and
+one at least, and the sizes are added up. A tie goes to the language with more training
+rows, with margin zero.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Training:
-    """The bounds of the sample: rows a language, characters a row, languages (by rows, then name)."""
+    """The bounds of the sample: whole texts of a language are taken until there are ``rows`` of them
+    or they have ``chars`` characters; those of up to ``usual`` characters come first. More than
+    ``languages`` are an error."""
 
     rows: int = 200
-    row_chars: int = 1_000
-    languages: int = 200
+    chars: int = 200_000
+    usual: int = 5_000
+    languages: int = 1_000
 
 
 def crc32_of_id(column: str = "doc_id") -> Column:
@@ -45,17 +49,21 @@ def crc32_of_id(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, learn: Column, bounds: Training = Training()) -> list[tuple[str, bytes]]:
     """(language, dictionary), most frequent first, from rows where ``learn`` holds and text and lang are given.
 
-    The sample's rows are those with the least hash of the text as it is cut, distinct
-    texts only, so one source's copies don't fill it.
+    The sample is of distinct texts with the least hash, so copies of one text count once.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(8)), "text")
-    part = rows.select("lang", F.substring("text", 1, bounds.row_chars).alias("text")).distinct()
-    sample = part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= bounds.rows).select("lang", "text")
-    texts = sample.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts"))
-    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages)
-    held = largest.join(texts, "lang").orderBy(F.desc("count"), "lang").collect()  # languages x rows x row_chars at most
-    return [(r.lang, plain("\n".join(r.texts)).encode()) for r in held]
+    rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = rows.select("*", (F.length("text") > bounds.usual).alias("late"), F.xxhash64("text", F.lit(8)).alias("h"))
+    first = Window.partitionBy("lang").orderBy("late", "h")
+    least = rows.select("lang", "late", "h").distinct().select("*", F.row_number().over(first).alias("n")).where(F.col("n") <= bounds.rows)
+    found = rows.join(F.broadcast(least.drop("n")), ["lang", "late", "h"], "left_semi").distinct()  # languages x rows hashes at most
+    ranked = found.select("lang", "text", F.row_number().over(first.orderBy("late", "h", "text")).alias("n")).where(F.col("n") <= bounds.rows)
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("n")) - F.length("text")
+    texts = ranked.withColumn("before", before).where(F.col("before") < bounds.chars).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts"))
+    counts = rows.groupBy("lang").count()
+    held = counts.join(texts, "lang").orderBy(F.desc("count"), "lang").limit(bounds.languages + 1).collect()  # bounded by Training, but for each one's last text
+    if len(held) > bounds.languages:
+        raise ValueError(f"more than {bounds.languages} languages")
+    return [(r.lang, plain("\n".join(t.text for t in r.texts)).encode()) for r in held]
 
 
 def plain(text: str) -> str:
@@ -63,7 +71,7 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int = 1 << 20, short: int = 96):
+def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int = 1 << 20, enough: int = 2048):
     """text -> (language, margin, score); margin is the loser's lead in size over the winner, as a share of it."""
     import zstandard
 
@@ -80,10 +88,9 @@ def classifier(dictionaries: list[tuple[str, bytes]], level: int = 6, block: int
 
     def classify(text: str) -> tuple[str, float, float]:
         whole = plain(text).encode()
-        got = sizes(whole)
-        if len(whole) < short:
-            every = [sizes(b" ".join((b"", whole, whole[i:], whole[:i]))) for i in range(0, len(whole), 1 + len(whole) // 64)]
-            got = [sum(x) for x in zip(*every)]
+        starts = range(0, len(whole), max(1, len(whole) * len(whole) // enough))
+        turned = (b" ".join((b"", whole, whole[i:], whole[:i])) for i in starts)
+        got = [sum(x) for x in zip(*map(sizes, turned))]
         best = min(range(len(got)), key=got.__getitem__)
         second = min((s for i, s in enumerate(got) if i != best), default=2 * got[best])
         margin = (second - got[best]) / second
@@ -96,10 +103,11 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], narrow: flo
     """Each row of ``docs`` with ``lang_pred``, ``margin``, ``score`` and ``rejected``.
 
     ``rejected``: the text is null or has no letter (then lang_pred is "und" and score
-    0), or the margin is ``narrow`` or less. Only the text is looked at. Without any
-    dictionary every row is "und". doc_id and text are what is kept unless
-    ``keep_columns``; an empty table gives no rows. ``prefix`` goes before the names of
-    the four columns; columns of ``docs`` that have such a name are replaced.
+    0), or the margin is ``narrow`` or less. Only the text is looked at; repeated rows are
+    judged each. Without any dictionary every row is "und". doc_id and text are what is
+    kept unless ``keep_columns``; an empty table gives no rows. ``prefix`` goes before the
+    names of the four columns; a column of ``docs`` with such a name, in any case, is left
+    out, so choose a prefix that none has to keep them all.
     """
     from pyspark.sql import types as T
 

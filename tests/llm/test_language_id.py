@@ -1,5 +1,8 @@
 from zlib import crc32
 
+import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from skein.llm.language_id import Training, classifier, crc32_of_id, identify, op8_language, train
@@ -19,8 +22,8 @@ def test_held_out_accuracy_on_a_whole_table(spark):
 def test_hard_rows(spark):
     rows = [(1, "the cat and the dog " * 30, "en"), (2, "der hund und die katze " * 30, "de"), (3, None, "en"), (4, "", None), (5, "12 -- 7", "de"), (6, "der hund und", None), (None, "the and", "xx"), (7, "the dog and " * 200_000, "en"), (7, "Ж", "ru"), (8, "the dog", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as score", "1 as margin", "2 as lang_pred")
-    known = train(docs, F.lit(True), Training(languages=3))
-    assert [k for k, _ in known][0] == "en" and len(known) == 3
+    known = train(docs, F.lit(True))
+    assert [k for k, _ in known][0] == "en" and {k for k, _ in known} == {"en", "de", "xx", "ru"}
     got = [(r.doc_id, r.lang_pred, r.rejected) for r in identify(docs, known).collect()]
     assert (3, "und", True) in got and (4, "und", True) in got and (5, "und", True) in got
     assert (6, "de", False) in got and (7, "en", False) in got and len(got) == len(rows)
@@ -42,6 +45,55 @@ def test_copies_take_one_place_in_the_sample(spark):
     assert content == single and content.count(b"text") == 50
 
 
+def test_sample_takes_whole_texts(spark):
+    rows = [(i, c * n, "en") for i, (c, n) in enumerate([("ab ", 50), ("cd ", 60), ("ef ", 70), ("gh ", 9_000), ("ij ", 8_000)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    [(_, content)] = train(docs, F.lit(True), Training(chars=10_000))
+    whole = [t for _, t, _ in rows]
+    assert all(t.strip().encode() in content for t in whole[:3])  # usual texts first, then the one that reaches the bound
+    assert sum(t.strip().encode() in content for t in whole[3:]) == 1
+    [(_, content)] = train(docs.where("doc_id >= 3"), F.lit(True), Training(chars=10))
+    assert content in {t.strip().encode() for t in whole[3:]}  # a first text enters whole
+    with pytest.raises(ValueError):
+        train(docs.selectExpr("doc_id", "text", "cast(doc_id as string) as lang"), F.lit(True), Training(languages=4))
+
+
+def test_same_as_a_plain_loop(spark):
+    """The sample and the sizes of every text, one after the other."""
+    sf = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    learnt = [r for r in rows if r["text"] and r["lang"] and crc32(str(r["doc_id"]).encode()) % 5]
+    found = {}
+    for lang in sorted({r["lang"] for r in learnt}):
+        # the session's xxhash64 is that of the library, with seed 8
+        texts = {r["text"] for r in learnt if r["lang"] == lang}
+        ordered = sorted(texts, key=lambda t: (len(t) > 5_000, (xxhash.xxh64_intdigest(t.encode(), 8) + 2**63) % 2**64, t.encode()))
+        taken, n = [], 0
+        for t in ordered[:200]:
+            if n < 200_000:
+                taken.append(t)
+            n += len(t)
+        content = " ".join("".join(c if c.isalpha() else " " for c in "\n".join(taken).lower()).split()).encode()
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=6)
+        found[lang] = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+    number = {k: sum(r["lang"] == k for r in learnt) for k in found}
+    order = sorted(found, key=lambda k: (-number[k], k))
+    differ = 0
+    for got in op8_language(spark, sf).collect():
+        text = next(r["text"] for r in rows if r["doc_id"] == got.doc_id)
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        w = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        starts = range(0, len(w), max(1, len(w) ** 2 // 2048))
+        size = [sum(len(found[k].compress(b" " + w + b" " + w[i:] + b" " + w[:i])) for i in starts) for k in order]
+        best = size.index(min(size))
+        second = min(s for i, s in enumerate(size) if i != best)
+        differ += got.lang_pred != order[best] or abs(got.score - (0.5 + 0.5 * (second - size[best]) / second)) > 1e-12
+    assert differ == 0
+
+
 def test_long_texts_are_read_whole():
     classify = classifier([("a", b"xyzzy plugh " * 50), ("b", b"lorem ipsum dolor " * 50)], block=100)
     assert classify("xyzzy plugh " + "lorem ipsum dolor " * 100)[0] == "b"
