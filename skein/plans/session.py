@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "skein") -> SparkSession:
-    """A local session with UTC time, adaptive execution and one shuffle partition a core."""
+    """A local session with UTC time, adaptive execution, one shuffle partition a core, and a folder for intermediate tables."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
         SparkSession.builder.master(f"local[{n}]")
@@ -17,6 +18,7 @@ def local_session(cpus: int | None = None, name: str = "skein") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
