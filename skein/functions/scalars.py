@@ -94,21 +94,38 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", "")
 
 
-def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
     """``make`` of a value that is computed once, however often ``make`` uses it."""
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def running(values: Column, both: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The running totals of an array under ``both``, which takes a total and a value, or two totals. A step
+    copies what is there so far, so parts of about the root of the size come first, and what stands before
+    each part is added to it."""
+    last = lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), zero)
+    grown = lambda acc, x: F.concat(acc, F.array(both(last(acc), x)))
+    none = F.slice(F.array(zero), 1, 0)
+
+    def parts(size: Column) -> Column:
+        starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), size)).otherwise(F.array().cast("array<int>"))
+        each = F.transform(starts, lambda i: F.aggregate(F.slice(values, i, size), none, grown))
+        before = lambda e: F.aggregate(e, F.array(zero), lambda acc, p: grown(acc, last(p)))
+        return bound(each, lambda e: F.flatten(F.zip_with(e, before(e), lambda p, b: F.transform(F.coalesce(p, none), lambda x: both(b, x)))))
+
+    return bound(F.greatest(F.lit(1), F.sqrt(F.size(values)).cast("int")), parts)
+
+
 def _trigrams(chars: Column) -> Column:
     n = F.size(chars) - 2
-    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), F.concat)
-    return F.zip_with(pairs, F.slice(chars, 3, n), F.concat)
+    joined = lambda a, b: F.concat(a, b)
+    return F.zip_with(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), joined), F.slice(chars, 3, n), joined)
 
 
 def grams(text: Column) -> Column:
     """The distinct trigrams of the squeezed text; one shorter gram below three characters, none for an empty one."""
     few = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s))
-    return _bound(squeezed(text), lambda s: few(s).otherwise(_bound(F.split(s, F.lit("")), lambda c: F.array_distinct(_trigrams(c)))))
+    return bound(squeezed(text), lambda s: few(s).otherwise(bound(F.split(s, F.lit("")), lambda c: F.array_distinct(_trigrams(c)))))
 
 
 def next_power_of_two(n: Column) -> Column:

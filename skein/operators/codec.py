@@ -1,20 +1,12 @@
-"""Number sequences as differences, and back."""
+"""Number sequences as differences and back, and as Parquet stores them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import unzigzag, zigzag
 
-#: Fixed value: numbers of a bit-plane block.
-BLOCK = 64
-
-
 def deltas(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """``rows`` with ``delta``: each value's zig-zag difference to the one before (the first to 0)."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -27,107 +19,17 @@ def restored(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFra
     return rows.withColumn(name, F.sum(unzigzag(F.col("delta"))).over(w))
 
 
-def varint(values: np.ndarray) -> bytes:
-    """Differences, zig-zag, seven bits a byte. Differences wrap at 64 bits."""
-    with np.errstate(over="ignore"):
-        d = np.diff(values.astype(np.int64), prepend=np.int64(0))
-    z = (d.view(np.uint64) << np.uint64(1)) ^ (d >> 63).view(np.uint64)
-    size = np.maximum(1, np.ceil(np.log2(z.astype(np.float64) + 1) / 7 + 1e-12)).astype(np.int64)
-    for k in range(1, 10):  # rounding in the logarithm is put right here
-        size = np.where((size <= k) & (z >> np.uint64(7 * k) > 0), k + 1, size)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(10):
-        rows = np.flatnonzero(size > k)
-        byte = (z[rows] >> np.uint64(7 * k)) & np.uint64(127)
-        out[ends[rows] - size[rows] + k] = byte | np.where(size[rows] > k + 1, 128, 0).astype(np.uint64)
-    return out.tobytes()
-
-
-def unvarint(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    last = b < 128
-    owner = np.cumsum(last) - last
-    starts = np.flatnonzero(np.concatenate([[True], last[:-1]])) if len(b) else np.zeros(0, np.int64)
-    shift = (np.arange(len(b)) - starts[owner]) * 7 if len(b) else np.zeros(0, np.int64)
-    z = np.zeros(int(last.sum()), np.uint64)
-    np.bitwise_or.at(z, owner, (b & 127).astype(np.uint64) << shift.astype(np.uint64))
-    with np.errstate(over="ignore"):
-        return np.cumsum(((z >> np.uint64(1)) ^ (np.uint64(0) - (z & np.uint64(1)))).view(np.int64))
-
-
-def bit_planes(values: np.ndarray) -> bytes:
-    """Blocks of 64: the block's first value, the number of planes, then one 64-bit word a bit of the zig-zag differences."""
-    out = [np.array([len(values)], "<i8").tobytes()]
-    for i in range(0, len(values), BLOCK):
-        part = values[i : i + BLOCK].astype(np.int64)
-        with np.errstate(over="ignore"):
-            d = np.diff(part, prepend=part[:1])
-        z = (d.view(np.uint64) << np.uint64(1)) ^ (d >> 63).view(np.uint64)
-        planes = int(z.max()).bit_length()
-        bits = np.zeros((planes, BLOCK), np.uint8)
-        for k in range(planes):
-            bits[k, : len(z)] = (z >> np.uint64(k)) & np.uint64(1)
-        out += [part[:1].astype("<i8").tobytes(), bytes([planes]), np.packbits(bits, axis=1).tobytes()]
-    return b"".join(out)
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    n, at, parts = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
-    for i in range(0, n, BLOCK):
-        first, planes = np.frombuffer(data, "<i8", 1, at)[0], data[at + 8]
-        at += 9
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, planes * 8, at).reshape(planes, 8), axis=1)
-        at += planes * 8
-        z = np.zeros(BLOCK, np.uint64)
-        for k in range(planes):
-            z |= bits[k].astype(np.uint64) << np.uint64(k)
-        d = ((z >> np.uint64(1)) ^ (np.uint64(0) - (z & np.uint64(1)))).view(np.int64)
-        with np.errstate(over="ignore"):
-            parts.append((first + np.cumsum(d))[: min(BLOCK, n - i)])
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-CODECS = {"varint": (varint, unvarint), "bit_planes": (bit_planes, from_planes)}
-
-
-def encoded(rows: DataFrame, key: str, order: str, value: str, codec: str, chunk: int = 1 << 16) -> DataFrame:
-    """(key, part, n, data): each key's values in order, in parts of ``chunk`` numbers."""
-    encode = CODECS[codec][0]
-    dealt = rows.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v"))
-    dealt = dealt.withColumn("part", F.floor(F.col("o") / chunk)).repartition("key", "part").sortWithinPartitions("key", "part", "o")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-
-        def out(groups) -> pa.RecordBatch:
-            rows_ = [(k[0], k[1], sum(map(len, v)), encode(np.concatenate(v))) for k, v in groups]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["key", "part", "n", "data"])
-
-        for batch in batches:
-            keys, parts, values = batch.column("key").to_pylist(), batch.column("part").to_numpy(), batch.column("v").to_numpy()
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or parts[i] != parts[i - 1]], len(keys)]
-            for i, j in zip(cuts, cuts[1:]):
-                if i < j:
-                    group = (keys[i], int(parts[i]))
-                    if held and group not in held:
-                        yield out(held.items())
-                        held = {}
-                    held.setdefault(group, []).append(values[i:j])
-        if held:
-            yield out(held.items())
-
-    return dealt.mapInArrow(run, "key string, part long, n long, data binary")
-
-
-def decoded(parts: DataFrame, codec: str) -> DataFrame:
-    """(key, part, position, value) of encoded parts."""
-    decode = CODECS[codec][1]
+#: How Parquet is asked to write numbers: differences in as many bits as they need, or numbers of a
+#: dictionary in as many bits as it needs.
+ENCODINGS = {
+    "varint": {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"},
+    "bit_planes": {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true"},
+}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                v = decode(data)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(v)), pa.array(np.full(len(v), part)), pa.array(np.arange(len(v))), pa.array(v)], ["key", "part", "position", "value"])
 
-    return parts.select("key", "part", "data").mapInArrow(run, "key string, part long, position long, value long")
+def stored(rows: DataFrame, key: str, order: str, value: str, encoding: str, path: str) -> DataFrame:
+    """(key, position, value): each key's numbers, written in order in this encoding and read back.
+    Sorted numbers lie next to each other, so differences are small."""
+    numbers = rows.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("position"), F.col(value).cast("long").alias("value"))
+    numbers.repartitionByRange("key", "position").sortWithinPartitions("key", "position").write.options(**ENCODINGS[encoding]).parquet(path)
+    return rows.sparkSession.read.schema(numbers.schema).parquet(path)

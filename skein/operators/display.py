@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.scalars import html_escape, millis_iso
+from skein.functions.scalars import bound, html_escape, millis_iso, running
 
 
 def log_row() -> Column:
@@ -103,11 +103,12 @@ _PART = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"?|[{}\[\],:]|[-0-9][0-9.eE+-]*|true|false
 
 def json_tokens(lines: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, token, kind) of each part of JSON text. A string is a key until a colon has
-    come after the last opening bracket or comma."""
-    parts = lines.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_PART), F.lit(0))).alias("position", "token"))
+    come after the last opening bracket or comma. Each text is read within its row."""
+    opens = lambda t: F.when(t.isin("{", "[", ",", ":"), t).otherwise(F.lit(""))
+    last = lambda tokens: running(F.transform(tokens, opens), lambda a, x: F.when(x != "", x).otherwise(a), F.lit(""))
+    pairs = bound(F.regexp_extract_all(F.col(text), F.lit(_PART), F.lit(0)), lambda t: F.zip_with(t, last(t), lambda x, y: F.struct(x.alias("token"), y.alias("last"))))
+    parts = lines.select(key, F.posexplode(pairs).alias("position", "part")).select(key, "position", "part.token", "part.last")
     token = F.col("token")
-    order = Window.partitionBy(key).orderBy("position")
-    last = F.last(F.when(token.isin("{", "[", ",", ":"), token), ignorenulls=True).over(order)
-    kind = F.when(token.isin(*"{}[],:"), F.lit("structure")).when(token.startswith('"'), F.when(last == ":", F.lit("string")).otherwise(F.lit("key")))
+    kind = F.when(token.isin(*"{}[],:"), F.lit("structure")).when(token.startswith('"'), F.when(F.col("last") == ":", F.lit("string")).otherwise(F.lit("key")))
     kind = kind.when(token.rlike("^[-0-9]"), F.lit("number")).when(token.isin("true", "false", "null"), F.lit("literal")).when(token.rlike(r"^[ \t\n\r]"), F.lit("space"))
     return parts.select(key, "position", "token", kind.otherwise(F.lit("other")).alias("kind"))

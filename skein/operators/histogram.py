@@ -15,21 +15,26 @@ def bounds(lines: DataFrame, bins: int) -> DataFrame:
     return ends.select("start_ms", "end_ms", F.greatest(F.lit(1), F.floor(span / max(1, bins))).cast("long").alias("interval_ms"))
 
 
+def _placed(lines: DataFrame, bins: int) -> DataFrame:
+    """(bin, level, start_ms, interval_ms, n) where there are lines."""
+    at = F.floor((F.col("timestamp_ms") - F.col("start_ms")) / F.col("interval_ms"))
+    placed = lines.select("timestamp_ms", "level").join(F.broadcast(bounds(lines, bins)), F.lit(True))  # one row
+    return placed.groupBy(clamp(at, F.lit(0), F.lit(bins - 1)).cast("int").alias("bin"), "level", "start_ms", "interval_ms").agg(F.count("*").alias("n"))
+
+
 def histogram(lines: DataFrame, bins: int) -> DataFrame:
     """(bin, level, n) where there are lines."""
-    bins = max(1, bins)
-    at = F.floor((F.col("timestamp_ms") - F.col("start_ms")) / F.col("interval_ms"))
-    placed = lines.select("timestamp_ms", "level").join(F.broadcast(bounds(lines, bins)), F.lit(True))
-    return placed.groupBy(clamp(at, F.lit(0), F.lit(bins - 1)).cast("int").alias("bin"), "level").agg(F.count("*").alias("n"))
+    return _placed(lines, max(1, bins)).select("bin", "level", "n")
 
 
 def dense(lines: DataFrame, bins: int) -> DataFrame:
     """(bin, time_ms, total) of every bin, empty ones included; no bins of no lines."""
     bins = max(1, bins)
-    every = lines.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    totals = histogram(lines, bins).groupBy("bin").agg(F.sum("n").alias("n"))
-    timed = every.join(F.broadcast(bounds(lines, bins).where("start_ms is not null")), F.lit(True))
-    return timed.join(totals, "bin", "left").select("bin", (F.col("start_ms") + F.col("interval_ms") * F.col("bin")).alias("time_ms"), F.coalesce("n", F.lit(0)).alias("total"))
+    totals = _placed(lines, bins).groupBy("start_ms", "interval_ms", "bin").agg(F.sum("n").alias("n"))
+    held = totals.groupBy("start_ms", "interval_ms").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))  # one row, an entry a bin
+    every = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    total = F.coalesce(F.try_element_at("held", F.col("bin")), F.lit(0))
+    return every.select("bin", (F.col("start_ms") + F.col("interval_ms") * F.col("bin")).alias("time_ms"), total.alias("total"))
 
 
 def header(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.levels import DEFAULT_LEVELS
@@ -41,6 +41,18 @@ def search(lines: DataFrame, query: str | Query = "", levels: Sequence[str] | No
     return found if limit is None else found.limit(limit)
 
 
+def search_by_time(lines: DataFrame, query: str | Query = "", levels: Sequence[str] | None = DEFAULT_LEVELS, as_of_seq: int | None = None, where: Column | None = None, offset: int = 0, limit: int = PAGE, bucket_ms: int = 3_600_000) -> DataFrame:
+    """The same page for very many tasks: lines are counted by time first, and only those not older than
+    where the page ends are ranked, instead of the best offset + limit rows of every task."""
+    found = matches(lines, query, levels, as_of_seq, where)
+    bucket = F.floor(F.col("timestamp_ms") / bucket_ms)
+    newer = F.sum("n").over(Window.orderBy(F.desc("bucket"))) - F.col("n")
+    counts = found.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))  # a row an hour
+    oldest = counts.select("bucket", newer.alias("newer")).where(F.col("newer") < offset + limit).agg(F.min("bucket").alias("__oldest"))
+    near = found.join(F.broadcast(oldest), bucket >= F.col("__oldest")).drop("__oldest").orderBy(*newest_first())  # one row
+    return (near.offset(offset) if offset > 0 else near).limit(limit)
+
+
 def visible(page: DataFrame, length: int) -> DataFrame:
     """The first ``length`` rows of a page, oldest first."""
     return page.orderBy(*newest_first()).limit(length).orderBy(*NEWEST)

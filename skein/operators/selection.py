@@ -23,6 +23,11 @@ def changes(old: DataFrame, new: DataFrame, column: str = "name") -> DataFrame:
     return stop.unionByName(new.join(old, column, "left_anti").select(column, F.lit("start").alias("action")))
 
 
+def of_topics(partitions: DataFrame, topics: list[str]) -> DataFrame:
+    """The partitions of these topics."""
+    return partitions.where(F.col("topic").isin(*topics)) if topics else partitions.where("false")
+
+
 def without(assigned: DataFrame, topics: DataFrame) -> DataFrame:
     """Assigned partitions less those of these topics."""
     return assigned.join(topics, "topic", "left_anti")

@@ -1,24 +1,30 @@
-"""Stored lines: partitioned tables, clearing, counting, and a key-value log."""
+"""Stored lines: partitioned tables, clearing, counting, and the latest entries of a log."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.sources.decode import numbered
+
 #: Fixed value: lines of a block.
 BLOCK = 4096
 
 
-def write_lines(lines: DataFrame, path: str, mode: str = "append", rows_per_file: int = 0) -> None:
-    """Store lines by source and level, so that both are read only where they are asked for. Rows of
-    one source and level are spread by a hash of seq, so a large one isn't one task's."""
-    spread = F.pmod(F.xxhash64("seq"), F.lit(16))
+def write_lines(lines: DataFrame, path: str, part: str | None = None, rows_per_file: int = 0) -> None:
+    """Store lines by source and level, so that both are read only where they are asked for. Rows of one
+    source and level are spread by a hash of seq, over as many tasks as the session shuffles to. What is
+    stored under a name ``part`` takes the place of what was, so a repeated write changes nothing."""
+    spread = F.pmod(F.xxhash64("seq"), F.lit(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = lines.repartition("index_identifier", "level", spread).sortWithinPartitions("index_identifier", "level", "seq")
-    dealt.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("index_identifier", "level").parquet(path)
+    where = f"{path}/part={part or 'p-' + uuid.uuid4().hex}"
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("index_identifier", "level").parquet(where)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("part")
 
 
 def clear_source(lines: DataFrame, name: str) -> DataFrame:
@@ -36,18 +42,26 @@ def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("index_identifier").agg(F.count("*").alias("n"))
 
 
-def block_numbers(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_numbers(lines: DataFrame, block: int = BLOCK, shard: int = 1 << 20) -> DataFrame:
     """(index_identifier, level, block, n, min_seq, max_seq, max_timestamp) of blocks by arrival."""
-    order = Window.partitionBy("index_identifier", "level").orderBy("seq")
-    numbered = lines.select("index_identifier", "level", "seq", "timestamp_ms", F.floor((F.row_number().over(order) - 1) / block).alias("block"))
+    keys = ["index_identifier", "level"]
+    placed = numbered(lines.select(*keys, "seq", "timestamp_ms"), F.col("seq"), shard, keys, "__n")
     ends = (F.count("*").alias("n"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.max("timestamp_ms").alias("max_timestamp"))
-    return numbered.groupBy("index_identifier", "level", "block").agg(*ends)
+    return placed.groupBy(*keys, F.floor(F.col("__n") / block).alias("block")).agg(*ends)
 
 
-def late_dropped(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Lines that aren't older than any line before them of the same keys. ``order`` is that of arrival."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("__newest", F.max("timestamp_ms").over(before)).where("__newest is null or timestamp_ms >= __newest").drop("__newest")
+def late_dropped(lines: DataFrame, keys: list[str], order: list[str], shard: int = 1 << 20) -> DataFrame:
+    """Lines that aren't older than any line before them of the same keys. ``order`` is that of arrival, a
+    number first. Maxima combine: each range of arrivals carries that of the ranges before it, so a large
+    key is worked on by range."""
+    sharded = lines.withColumn("__shard", F.floor(F.col(order[0]) / shard))
+    place = [*keys, "__shard"]
+    earlier = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sharded.groupBy(*place).agg(F.max("timestamp_ms").alias("__max")).select(*place, F.max("__max").over(earlier).alias("__carried"))  # a row a range
+    before = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = sharded.withColumn("__newest", F.max("timestamp_ms").over(before)).join(carried, place)
+    newest = F.greatest("__newest", "__carried")
+    return seen.where(newest.isNull() | (F.col("timestamp_ms") >= newest)).select(*lines.columns)
 
 
 def point(lines: DataFrame, topic: str, partition: int, offset: int) -> DataFrame:
@@ -55,56 +69,6 @@ def point(lines: DataFrame, topic: str, partition: int, offset: int) -> DataFram
     return lines.where((F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") == offset))
 
 
-class KeyValueLog:
-    """A key-value store as an append-only table of (key, value, deleted, version).
-
-    The latest version of a key counts, whatever it is; setting a key after its removal
-    brings it back, also when the table is opened again.
-    """
-
-    SCHEMA = "key string, value binary, deleted boolean, version long"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path
-        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(path)
-
-    def _log(self) -> DataFrame:
-        return self._spark.read.schema(self.SCHEMA).parquet(self._path)
-
-    def _append(self, rows: DataFrame, deleted: bool) -> None:
-        top = self._log().agg(F.coalesce(F.max("version"), F.lit(0)).alias("top")).first().top
-        value = F.lit(None).cast("binary") if deleted else F.col("value").cast("binary")
-        rows.select(F.col("key").cast("string").alias("key"), value.alias("value"), F.lit(deleted).alias("deleted"), F.lit(top + 1).cast("long").alias("version")).write.mode("append").parquet(self._path)
-
-    def set(self, rows: DataFrame) -> None:
-        """Put each (key, value); of a key's several rows in one call the largest value holds."""
-        self._append(rows.groupBy("key").agg(F.max("value").alias("value")), False)
-
-    def remove(self, keys: DataFrame) -> DataFrame:
-        """Remove keys; returns those that were there."""
-        there = self.items().join(keys.select("key").distinct(), "key", "left_semi").select("key")
-        there = self._spark.createDataFrame(there.toArrow())  # the log changes under it
-        self._append(keys.select("key").distinct(), True)
-        return there
-
-    def items(self) -> DataFrame:
-        """(key, value) of what is there."""
-        return latest(self._log())
-
-    def get(self, key: str) -> bytes | None:
-        row = self.items().where(F.col("key") == key).first()
-        return None if row is None else bytes(row.value)
-
-    def clear(self) -> None:
-        self._spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self._path)
-
-    def compact(self, path: str) -> KeyValueLog:
-        """A new store at ``path`` with only what is there."""
-        new = KeyValueLog(self._spark, path)
-        new.set(self.items())
-        return new
-
-
 def latest(log: DataFrame) -> DataFrame:
     """(key, value) of each key's latest entry in (key, value, deleted, version), removed keys left out."""
     best = log.groupBy("key").agg(F.max_by(F.struct("value", "deleted"), "version").alias("last"))

@@ -89,12 +89,23 @@ _search("search_phrase_not", f"{_DEFAULT} AND {_has('user 7')} AND NOT {_has('cl
 _search("search_punctuation", f"{_DEFAULT} AND {_has('-')} AND {_has('.')}", "- .", limit=10_000)
 _search("search_short_term", f"{_DEFAULT} AND {_has('up')}", "up", limit=10_000)
 _search("search_kafka_null", _has("null"), "null", source="kafs", limit=10_000)
-_search("search_as_of", f"{_DEFAULT} AND {_has('user')} AND seq <= 700", "user", as_of_seq=700, limit=10_000)
 _search("search_where", f"{_DEFAULT} AND {_has('error')} AND timestamp_ms % 2 = 0", "error", where=lambda: F.col("timestamp_ms") % 2 == 0, limit=10_000)
 _search("page_offset", f"{_DEFAULT} AND {_has('user')}", "user", offset=510, limit=50)
 _search("page_first", f"{_DEFAULT} AND {_has('purchase')}", "purchase", limit=10_000)
 
 
+@query("search_as_of", f"WITH {_LOG} SELECT seq, level, timestamp_ms, message FROM logs WHERE {_DEFAULT} AND {_has('user')} AND seq <= (SELECT max(event_id) // 2 FROM events) ORDER BY timestamp_ms DESC, seq DESC LIMIT 10000")
+def _search_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    newest = lines.agg(F.max("seq")).first()[0] or 0
+    return search.search(lines, "user", as_of_seq=newest // 2).select("seq", "level", "timestamp_ms", "message")
+
+
+@query("page_by_time", f"WITH {_LOG} SELECT seq, level, timestamp_ms, message FROM logs WHERE {_DEFAULT} AND {_has('purchase')} ORDER BY timestamp_ms DESC, seq DESC LIMIT 500 OFFSET 100")
+def _page_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_by_time(_lines(spark, sf_dir), "purchase", offset=100, limit=500).select("seq", "level", "timestamp_ms", "message")
+
+
 @query("page_visible_reversed", f"WITH {_LOG} SELECT row_number() OVER (ORDER BY timestamp_ms, seq) AS row_no, seq FROM (SELECT * FROM logs WHERE {_DEFAULT} ORDER BY timestamp_ms DESC, seq DESC LIMIT 40)")
 def _page_visible_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.visible(search.search(_lines(spark, sf_dir)), 40)
@@ -156,19 +167,26 @@ _LATE = "late AS (SELECT *, max(timestamp_ms) OVER (PARTITION BY topic, \"partit
 
 @query("late_drop", f"WITH {_BASE}, {_KAFKA}, {_LATE} SELECT seq, timestamp_ms FROM late WHERE newest IS NULL OR timestamp_ms >= newest")
 def _late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fixtures.late_arrivals(fixtures.kafka_lines(spark, sf_dir))
+    lines = fixtures.late_arrivals(fixtures.record_times(spark, sf_dir))
     return store.late_dropped(lines, ["topic", "partition"], ["arrival", "seq"]).select("seq", "timestamp_ms")
 
 
 @query("late_drop_fold", f"WITH {_BASE}, {_KAFKA}, {_LATE} SELECT seq, timestamp_ms FROM late WHERE newest IS NULL OR timestamp_ms >= newest")
 def _late_drop_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fixtures.late_arrivals(fixtures.kafka_lines(spark, sf_dir)).select("seq", "timestamp_ms", "index_identifier", "level", "arrival")
+    lines = fixtures.late_arrivals(fixtures.record_times(spark, sf_dir))
     return drop_late(lines, ["arrival", "seq"], block=1 << 40).select("seq", "timestamp_ms")
 
 
-@query("late_drop_blocks")
+@query("late_drop_blocks", f"""WITH RECURSIVE {_BASE}, {_KAFKA},
+o AS (SELECT seq, timestamp_ms, index_identifier, row_number() OVER (PARTITION BY index_identifier ORDER BY seq + (seq * 7919) % 50, seq) AS n FROM kafs),
+f AS (SELECT index_identifier, n, seq, timestamp_ms, true AS ok, timestamp_ms AS newest, 1 AS held FROM o WHERE n = 1
+ UNION ALL SELECT o.index_identifier, o.n, o.seq, o.timestamp_ms, f.held >= 64 OR o.timestamp_ms >= f.newest,
+  CASE WHEN f.held >= 64 OR o.timestamp_ms >= f.newest THEN o.timestamp_ms ELSE f.newest END,
+  CASE WHEN f.held >= 64 THEN 1 WHEN o.timestamp_ms >= f.newest THEN f.held + 1 ELSE f.held END
+ FROM f JOIN o ON o.index_identifier = f.index_identifier AND o.n = f.n + 1)
+SELECT seq, timestamp_ms FROM f WHERE ok""")
 def _late_drop_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fixtures.late_arrivals(fixtures.kafka_lines(spark, sf_dir)).select("seq", "timestamp_ms", "index_identifier", "level", "arrival")
+    lines = fixtures.late_arrivals(fixtures.record_times(spark, sf_dir))
     return drop_late(lines, ["arrival", "seq"], block=64).select("seq", "timestamp_ms")
 
 
@@ -291,14 +309,12 @@ def _column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lag.column_widths(_lag(spark, sf_dir).select("group_id", "topic", "lag"))
 
 
-_SINCE = 1_706_400_000_000
-
-
-@query("start_offsets", f"""WITH {_LAG}, {_KAFKA}, t AS (SELECT topic, "partition", min("offset") AS o FROM kafs WHERE timestamp_ms >= {_SINCE} AND user_id_even GROUP BY ALL),
-e AS (SELECT * FROM ends WHERE topic <> 'view') SELECT a.topic, a."partition", CAST(coalesce(t.o, e.end_offset, 0) AS BIGINT) AS start_offset FROM ends a LEFT JOIN t USING (topic, "partition") LEFT JOIN e USING (topic, "partition")""".replace(" AND user_id_even", " AND \"partition\" % 2 = 0"))
+@query("start_offsets", f"""WITH {_LAG}, {_KAFKA}, t AS (SELECT topic, "partition", min("offset") AS o FROM kafs WHERE timestamp_ms >= (SELECT max(ms) - 3600000 FROM base) GROUP BY ALL),
+e AS (SELECT * FROM ends WHERE topic <> 'view') SELECT a.topic, a."partition", CAST(coalesce(t.o, e.end_offset, 0) AS BIGINT) AS start_offset FROM ends a LEFT JOIN t USING (topic, "partition") LEFT JOIN e USING (topic, "partition")""")
 def _start_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = fixtures.end_offsets(spark, sf_dir)
-    by_time = lag.offsets_since(fixtures.kafka_lines(spark, sf_dir).where("partition % 2 = 0"), F.lit(_SINCE))
+    newest = fixtures.record_times(spark, sf_dir).agg(F.max("timestamp_ms")).first()[0] or 0
+    by_time = lag.offsets_since(fixtures.kafka_lines(spark, sf_dir), F.lit(newest - 3_600_000))
     return lag.start_offsets(ends.select("topic", "partition"), by_time, ends.where("topic <> 'view'"))
 
 
@@ -314,14 +330,19 @@ def _names(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").where(condition).select(F.col("c_name").alias("name"))
 
 
-@query("selection_carry", "SELECT c_name AS name, c_custkey % 3 = 0 AS selected FROM customer WHERE c_custkey % 2 = 0")
+@query("selection_carry", "SELECT c_name AS name, c_nationkey < 8 AS selected FROM customer WHERE c_acctbal > 0")
 def _selection_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.carried_over(_names(spark, sf_dir, "c_custkey % 2 = 0"), _names(spark, sf_dir, "c_custkey % 3 = 0"))
+    return selection.carried_over(_names(spark, sf_dir, "c_acctbal > 0"), _names(spark, sf_dir, "c_nationkey < 8"))
 
 
-@query("selection_diff", "SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'stop' ELSE 'start' END AS action FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
+@query("selection_diff", "SELECT c_name AS name, CASE WHEN c_acctbal > 0 THEN 'stop' ELSE 'start' END AS action FROM customer WHERE (c_acctbal > 0) <> (c_nationkey < 8)")
 def _selection_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.changes(_names(spark, sf_dir, "c_custkey % 2 = 0"), _names(spark, sf_dir, "c_custkey % 3 = 0"))
+    return selection.changes(_names(spark, sf_dir, "c_acctbal > 0"), _names(spark, sf_dir, "c_nationkey < 8"))
+
+
+@query("topic_subset", f"WITH {_LAG} SELECT topic, \"partition\" FROM ends WHERE topic IN ('click', 'view')")
+def _topic_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.of_topics(fixtures.end_offsets(spark, sf_dir), ["click", "view"]).select("topic", "partition")
 
 
 @query("unassign", f"WITH {_LAG} SELECT topic, \"partition\" FROM ends WHERE topic NOT IN ('click', 'error')")
@@ -477,8 +498,9 @@ def _zigzag_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _codec(name: str) -> None:
     @query(f"codec_{name}", "SELECT event_type AS key, CAST(sum(event_id) AS BIGINT) AS total, count(*) AS n, max(event_id) AS most FROM events GROUP BY 1")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parts = codec.encoded(fixtures.events(spark, sf_dir), "event_type", "event_id", "event_id", name)
-        return codec.decoded(parts, name).groupBy("key").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.max("value").alias("most"))
+        path = stream_query.fresh_path(spark, name)
+        held = codec.stored(fixtures.events(spark, sf_dir), "event_type", "event_id", "event_id", name, path)
+        return held.groupBy("key").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.max("value").alias("most"))
 
 
 _codec("varint")
@@ -493,6 +515,11 @@ def _kafka_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decode_records(fixtures.kafka_records(spark, sf_dir))
 
 
+@query("ecs_rejected", f"WITH {_LOG} SELECT seq, 'no time before the text' AS reason FROM logs WHERE seq % 4 = 3")
+def _ecs_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.undecodable(stream_query.raw_lines(_lines(spark, sf_dir))).select("seq", "reason")
+
+
 @query("ecs_decode", f"""WITH {_LOG} SELECT seq, CASE seq % 4 WHEN 2 THEN 'UNKNOWN' ELSE level END AS level, timestamp_ms, message, CASE seq % 4 WHEN 2 THEN '' ELSE thread_name END AS thread_name, CASE seq % 4 WHEN 2 THEN '' ELSE service_name END AS service_name,
  CASE seq % 4 WHEN 2 THEN '' ELSE service_version END AS service_version, CASE seq % 4 WHEN 2 THEN '' ELSE logger END AS logger, CASE seq % 4 WHEN 2 THEN NULL ELSE correlation_id END AS correlation_id, CASE seq % 4 WHEN 2 THEN NULL ELSE request_id END AS request_id,
  CASE seq % 4 WHEN 2 THEN NULL ELSE error_message END AS error_message, CASE seq % 4 WHEN 2 THEN NULL ELSE stacktrace END AS stacktrace FROM logs WHERE seq % 4 < 3""")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from skein.functions.levels import DEFAULT_LEVELS, LEVELS, toggled
 from skein.operators import clusters, histogram, lag, search, selection, store
+from skein.streaming.ingest import Sources
 
 
 @dataclass
@@ -40,14 +43,16 @@ class History:
 
 
 class Engine:
-    """Lines (and, where given, lag rows and pods) with the state of a search over them.
+    """Lines (and, where given, lag rows and pods) with the state of a search over them. With ``sources``
+    and ``begin``, which starts the stream of a pod, pods can be listened to.
 
     Paging away from the newest lines fixes a snapshot: later lines don't shift the pages.
     Going back to offset 0 releases it. A page is kept until anything it depends on changes.
     """
 
-    def __init__(self, lines: DataFrame, lag_rows: DataFrame | None = None, pods: DataFrame | None = None):
+    def __init__(self, lines: DataFrame, lag_rows: DataFrame | None = None, pods: DataFrame | None = None, sources: Sources | None = None, begin: Callable[[str], StreamingQuery] | None = None):
         self.lines, self.lag_rows, self.pods = lines, lag_rows, pods
+        self.sources, self.begin = sources, begin
         self.levels: tuple[str, ...] = DEFAULT_LEVELS
         self.history = History()
         self.query, self.offset, self.as_of = "", 0, None
@@ -123,28 +128,37 @@ class Engine:
         """The answer, as JSON, to a request in JSON: {"action": ..., ...}."""
         r = json.loads(text)
         action = r.get("action")
+        offset, length = max(0, int(r.get("offset", 0))), min(max(0, int(r.get("length", search.PAGE))), search.PAGE)
+        page = lambda df: df.offset(offset).limit(length)
         as_json = lambda df: [json.loads(x.j) for x in df.select(F.to_json(F.struct("*")).alias("j")).collect()]  # noqa: E731  a page at most
         if action == "search":
             levels = r.get("levels")
-            found = search.search(self.lines, r.get("query", ""), self.levels if levels is None else levels, offset=int(r.get("offset", 0)), limit=min(int(r.get("length", 100)), search.PAGE))
+            found = search.search(self.lines, r.get("query", ""), self.levels if levels is None else levels, offset=offset, limit=min(int(r.get("length", 100)), search.PAGE))
             return json.dumps({"type": "logs", "logs": as_json(found.orderBy(*search.NEWEST))})
         if action == "listPods" and self.pods is not None:
             shown = selection.picked(self.pods, r.get("filter", "")).orderBy("name")
-            return json.dumps({"type": "pods", "pods": as_json(shown)})
+            return json.dumps({"type": "pods", "pods": as_json(page(shown))})
         if action == "listTopics" and "topic" in self.lines.columns:
             shown = self.lines.where("topic is not null").select("topic").distinct().orderBy("topic")
-            return json.dumps({"type": "topics", "topics": [x["topic"] for x in as_json(shown)]})
+            return json.dumps({"type": "topics", "topics": [x["topic"] for x in as_json(page(shown))]})
         if action == "listLag" and self.lag_rows is not None:
-            return json.dumps({"type": "lagInfo", "lag": as_json(lag.lagging(self.lag_rows) if r.get("hideZero") else self.lag_rows)})
+            shown = lag.lagging(self.lag_rows) if r.get("hideZero") else self.lag_rows
+            return json.dumps({"type": "lagInfo", "lag": as_json(page(shown.orderBy("group_id", "topic", "partition")))})
         if action == "refreshLogGroups":
-            return json.dumps({"type": "logClusters", "clusters": as_json(clusters.clusters(self.lines).limit(1000))})
+            return json.dumps({"type": "logClusters", "clusters": as_json(page(clusters.clusters(self.lines)))})
         if action == "setKafkaDays":
             self.kafka_days = max(0, int(r.get("days", 1)))
             return json.dumps({"type": "stats", "kafkaDays": self.kafka_days})
         if action in ("listenPod", "unlistenPod"):
+            pod = r["pod"]
+            if action == "listenPod" and self.sources is not None and self.begin is not None:
+                self.sources.start(pod, lambda: self.begin(pod))
             if action == "unlistenPod":
-                self.clear(r["pod"])
-            return json.dumps({"type": "stats", "lines": self.lines.count()})
+                if self.sources is not None:
+                    self.sources.stop(pod)
+                self.clear(pod)
+            listened = self.sources.names() if self.sources is not None else []
+            return json.dumps({"type": "stats", "lines": self.lines.count(), "listened": listened})
         if action == "ping":
             return json.dumps({"type": "welcome"})
         raise ValueError(f"no action {action!r}")

@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import millis_iso
+from skein.plans.scratch import fresh_path
 from skein.streaming.late import stream_drop_late
 
-_OWN: dict[str, str] = {}
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the folder of ``spark.checkpoint.dir``, or in one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not named and app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="skein-")
-    return f"{(named or _OWN[app]).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The late drop as a stream over the event table, into a table that is then read."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"  # a file, or a folder of them
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path)
     lines = events.select(
         F.col("event_id").alias("seq"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),

@@ -8,7 +8,9 @@ be one of ours exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.levels import LEVELS
@@ -82,6 +84,15 @@ def decode_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.select(*rest, best.alias("__decoded")).where("__decoded is not null").select(*rest, "__decoded.*")
 
 
+def undecodable(lines: DataFrame, line: str = "value") -> DataFrame:
+    """The rows that decode_lines drops, as they are, with the ``reason``."""
+    stamp, payload = split_prefix(F.col(line))
+    json = payload.startswith("{")
+    best = F.coalesce(F.when(json, flat_ecs(payload)), F.when(json, nested_ecs(payload)), raw_line(stamp, payload))
+    reason = F.when(F.coalesce(F.col(line), F.lit("")) == "", F.lit("empty line")).otherwise(F.lit("no time before the text"))
+    return lines.select("*", best.isNull().alias("__bad")).where("__bad").drop("__bad").withColumn("reason", reason)
+
+
 def header(headers: Column, name: str) -> Column:
     """The last header of this exact name, as text."""
     return F.try_element_at(F.filter(headers, lambda h: h["key"] == name), F.lit(-1))["value"].cast("string")
@@ -114,15 +125,14 @@ def decode_records(records: DataFrame, avro_text: Column | None = None) -> DataF
     )
 
 
-def numbered(lines: DataFrame, order: Column, shard: int = 1 << 20) -> DataFrame:
-    """``lines`` with ``seq`` from 0 in this order, before anything is dropped: counted per range of
-    the order first, so no task numbers more than a range."""
-    from pyspark.sql import Window
-
-    ranged = lines.withColumn("__order", order)
-    sharded = ranged.withColumn("__shard", F.floor(F.col("__order") / shard))
-    before = sharded.groupBy("__shard").count()
-    shift = F.coalesce(F.sum("count").over(Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("__shard").orderBy("__order")) - 1
-    placed = sharded.withColumn("__own", own).join(before.select("__shard", shift.alias("__shift")), "__shard")
-    return placed.select(*lines.columns, (F.col("__own") + F.col("__shift")).cast("long").alias("seq"))
+def numbered(lines: DataFrame, order: Column, shard: int = 1 << 20, keys: Sequence[str] = (), name: str = "seq") -> DataFrame:
+    """``lines`` with their number from 0 in this order (of each key, where there are any), before anything
+    is dropped: counted per range of the order first, so no task numbers more than a range."""
+    sharded = lines.withColumn("__order", order).withColumn("__shard", F.floor(F.col("__order") / shard))
+    place = [*keys, "__shard"]
+    earlier = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__shift")
+    before = sharded.groupBy(*place).count().select(*place, shift)  # a row a range
+    own = F.row_number().over(Window.partitionBy(*place).orderBy("__order")) - 1
+    placed = sharded.withColumn("__own", own).join(before, place)
+    return placed.select(*lines.columns, (F.col("__own") + F.col("__shift")).cast("long").alias(name))

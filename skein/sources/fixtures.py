@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.decode import numbered
+
 #: Searchable fields in order.
 LOG_FIELDS = ("seq", "level", "timestamp_ms", "message", "index_identifier", "thread_name", "service_name", "service_version", "logger", "correlation_id", "request_id", "error_message", "stacktrace")
 KAFKA_FIELDS = ("seq", "level", "timestamp_ms", "message", "index_identifier", "topic", "key", "offset", "partition", "headers", "correlation_id", "request_id", "composite_event_id")
@@ -51,30 +53,38 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("search_text", log_text())
 
 
+def _with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the partition and the offset of their records."""
+    e = events(spark, sf_dir).withColumn("partition", (F.col("user_id") % 4).cast("int"))
+    return numbered(e, F.col("event_id"), keys=["event_type", "partition"], name="offset")
+
+
 def kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as rows of Spark's Kafka source, headers included, with ``seq``."""
-    partition = (F.col("user_id") % 4).cast("int")
-    order = Window.partitionBy("event_type", partition).orderBy("event_id")
     header = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("binary").alias("value"))
     request = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("rq-"), "event_id"))
-    return events(spark, sf_dir).select(
+    return _with_offsets(spark, sf_dir).select(
         F.col("event_id").alias("seq"),
         F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).cast("binary").alias("key"),
         F.col("props").cast("binary").alias("value"),
         F.col("event_type").alias("topic"),
-        partition.alias("partition"),
-        (F.row_number().over(order) - 1).cast("long").alias("offset"),
+        "partition",
+        "offset",
         F.timestamp_millis("ms").alias("timestamp"),
         F.filter(F.array(header("X-Correlation-Id", F.col("k")), F.when(request.isNotNull(), header("X-Request-Id", request))), lambda h: h.isNotNull()).alias("headers"),
     )
 
 
+def record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, timestamp_ms, index_identifier, level, topic, partition) of the records, for what needs no offset."""
+    partition = (F.col("user_id") % 4).cast("int").alias("partition")
+    e = events(spark, sf_dir).select("event_id", "ms", "event_type", partition)
+    return e.select(F.col("event_id").alias("seq"), F.col("ms").alias("timestamp_ms"), F.concat_ws("#", "event_type", "partition").alias("index_identifier"), F.lit("KAFKA").alias("level"), F.col("event_type").alias("topic"), "partition")
+
+
 def kafka_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as lines with ``search_text``."""
-    partition = (F.col("user_id") % 4).cast("int")
-    order = Window.partitionBy("event_type", partition).orderBy("event_id")
-    base = events(spark, sf_dir).select("*", partition.alias("partition"), (F.row_number().over(order) - 1).cast("long").alias("offset"))
-    lines = base.select(
+    lines = _with_offsets(spark, sf_dir).select(
         F.col("event_id").alias("seq"),
         F.lit("KAFKA").alias("level"),
         F.col("ms").alias("timestamp_ms"),

@@ -22,6 +22,12 @@ def security(user: str = "", password: str = "") -> dict[str, str]:
     return {"kafka.security.protocol": "SASL_SSL", "kafka.sasl.mechanism": "PLAIN", "kafka.sasl.jaas.config": login}
 
 
+def registry(url: str, user: str = "", password: str = "") -> dict[str, str]:
+    """Where schemas are, with basic authentication where there is a user."""
+    login = {"basic.auth.credentials.source": "USER_INFO", "basic.auth.user.info": f"{user}:{password}"} if user.strip() else {}
+    return {"schema.registry.url": url, **login}
+
+
 def stream_options(servers: str, topics: Sequence[str], since_ms: int | None, user: str = "", password: str = "") -> dict[str, str]:
     """All partitions of ``topics`` from a time on; partitions without a later record start at their end."""
     if not topics:

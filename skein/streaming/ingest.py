@@ -2,26 +2,62 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators.store import write_lines
+from skein.sources.decode import decode_lines, decode_records, undecodable
+from skein.sources.fixtures import kafka_text, log_text
 
 
 def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Store a stream's lines by source and level. ``then`` is called with each batch once it is
-    stored: a followed search runs again there. With ``once``, what is there is taken and the query ends."""
+    stored: a followed search runs again there. With ``once``, what is there is taken and the query ends.
+    A batch is stored under its number and the checkpoint's, so one that is repeated replaces itself."""
+    own = md5(checkpoint.encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
         kept = rows.persist()
-        write_lines(kept, path)
+        write_lines(kept, path, f"{own}-{number}")
         if then is not None:
             then(kept)
         kept.unpersist()
 
-    writer = lines.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return _begun(lines, checkpoint, name, once, batch)
+
+
+def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False) -> StreamingQuery:
+    """Decode a stream of raw pod lines (value, index_identifier) and store them; a line that can't be
+    decoded is stored alone, with the reason, below ``rejected``. Lines are numbered as they come."""
+    own = md5(checkpoint.encode()).hexdigest()[:12]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        kept = rows.withColumn("seq", F.lit(number << 40) + F.monotonically_increasing_id()).persist()
+        write_lines(decode_lines(kept).withColumn("search_text", log_text()), path, f"{own}-{number}")
+        undecodable(kept).write.mode("overwrite").parquet(f"{rejected}/part={own}-{number}")
+        kept.unpersist()
+
+    return _begun(raw, checkpoint, name, once, batch)
+
+
+def start_records(records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None) -> StreamingQuery:
+    """Decode a stream of rows like the Kafka source's and store them; the order of a partition is its offsets'."""
+    own = md5(checkpoint.encode()).hexdigest()[:12]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        numbered_rows = rows.drop("seq").withColumn("seq", F.lit(number << 40) + F.monotonically_increasing_id())
+        write_lines(decode_records(numbered_rows, avro_text).withColumn("search_text", kafka_text()), path, f"{own}-{number}")
+
+    return _begun(records, checkpoint, name, once, batch)
+
+
+def _begun(rows: DataFrame, checkpoint: str, name: str, once: bool, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    writer = rows.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
@@ -31,6 +67,7 @@ class Sources:
     def __init__(self, spark: SparkSession):
         self._spark = spark
         self._running: dict[str, StreamingQuery] = {}
+        self._begin: dict[str, Callable[[], StreamingQuery]] = {}
 
     def names(self) -> list[str]:
         return sorted(n for n, q in self._running.items() if q.isActive)
@@ -38,8 +75,18 @@ class Sources:
     def start(self, name: str, begin: Callable[[], StreamingQuery]) -> None:
         """Start ``name`` unless it runs; a stopped one begins again from its checkpoint."""
         if name not in self.names():
+            self._begin[name] = begin
             self._running[name] = begin()
 
+    def revive(self, wait: float = 2.0) -> list[str]:
+        """Begin those again, after ``wait`` seconds, that an error has ended; returns their names."""
+        failed = [n for n, q in self._running.items() if not q.isActive and q.exception() is not None]
+        if failed:
+            time.sleep(wait)
+        for name in failed:
+            self._running[name] = self._begin[name]()
+        return failed
+
     def stop(self, *names: str) -> None:
         for name in names:
             query = self._running.pop(name, None)

@@ -59,7 +59,9 @@ def drop_late(lines: DataFrame, order: list[str], block: int = BLOCK, keys: tupl
 
 
 def stream_drop_late(lines: DataFrame, order: list[str], block: int = BLOCK, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The accepted lines of a stream; newest time and count of each key are its state."""
+    """The accepted lines of a stream; newest time and count of each key are its state. Batches follow
+    each other as their files do. Of a batch, a task holds one key's rows at a time, to sort them:
+    bound batches (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) where a key may have very many."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest, held = state.get if state.exists else (0, 0)

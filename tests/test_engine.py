@@ -1,9 +1,11 @@
 import json
 
 from skein.operators import lag
+from skein.operators.store import read_lines
 from skein.plans.engine import Engine, History
 from skein.sources import fixtures
-from skein.sources.pods import inventory
+from skein.sources.pods import inventory, tail
+from skein.streaming.ingest import Sources, start_raw
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,4 +58,20 @@ def test_requests(spark):
     assert ask(action="listPods", filter="POD-1")["pods"][0]["name"] == "pod-1"
     assert all(x["lag"] > 0 for x in ask(action="listLag", hideZero=True)["lag"])
     assert ask(action="setKafkaDays", days=-3)["kafkaDays"] == 0 and ask(action="ping")["type"] == "welcome"
+    assert len(ask(action="listLag", length=3)["lag"]) == 3 and len(ask(action="listPods", length=2, offset=1)["pods"]) == 2
     assert ask(action="refreshLogGroups")["clusters"][0]["n"] > 0 and ask(action="unlistenPod", pod="click#0")["lines"] < 1000
+
+
+def test_pods_can_be_listened_to(spark, tmp_path):
+    (tmp_path / "logs" / "pod-x").mkdir(parents=True)
+    (tmp_path / "logs" / "pod-x" / "0.log").write_text("2024-01-01T00:00:00Z hello\n")
+    paths = [str(tmp_path / n) for n in ("out", "bad", "cp")]
+    e = Engine(fixtures.log_lines(spark, SF), sources=Sources(spark), begin=lambda pod: start_raw(tail(spark, str(tmp_path / "logs")), *paths, pod))
+    ask = lambda **r: json.loads(e.request(json.dumps(r)))
+    assert ask(action="listenPod", pod="pod-x")["listened"] == ["pod-x"]
+    e.sources._running["pod-x"].processAllAvailable()
+    e.replace_lines(read_lines(spark, paths[0]))
+    assert [x["message"] for x in ask(action="search", query="hello")["logs"]] == []  # text lines are of an unknown level
+    e.all_levels()
+    assert e.lines.where("message = 'hello'").count() == 1
+    assert ask(action="unlistenPod", pod="pod-x") == {"type": "stats", "lines": 0, "listened": []}

@@ -1,49 +1,41 @@
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from skein.operators import codec, display, store
 from skein.operators.clusters import clusters
 from skein.plans import stream_query
 from skein.sources import config, fixtures, kafka
-from skein.sources.pods import backfill
-from skein.streaming.ingest import Sources, start
+from skein.sources.pods import backfill, tail
+from skein.streaming.ingest import Sources, start, start_raw, start_records
 from skein.streaming.late import drop_late, fold
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_key_value_log(spark, tmp_path):
-    kv = store.KeyValueLog(spark, str(tmp_path / "kv"))
-    frame = lambda **x: spark.createDataFrame([(k, v.encode()) for k, v in x.items()], "key string, value binary")
-    kv.set(frame(key1="value1", key2="value2"))
-    assert kv.get("key1") == b"value1" and kv.get("missing") is None
-    kv.set(frame(key1="again"))
-    assert [r.key for r in kv.remove(frame(key1="", other="")).collect()] == ["key1"] and kv.get("key1") is None
-    kv.set(frame(key1="back"))
-    assert store.KeyValueLog(spark, str(tmp_path / "kv")).get("key1") == b"back"
-    small = kv.compact(str(tmp_path / "small"))
-    assert {(r.key, bytes(r.value)) for r in small.items().collect()} == {("key1", b"back"), ("key2", b"value2")}
-    kv.clear()
-    assert kv.items().count() == 0
+@pytest.mark.parametrize("encoding", codec.ENCODINGS)
+def test_numbers_are_stored_small(spark, tmp_path, encoding):
+    rows = spark.range(0, 1_000_000, 10).selectExpr("'k' as key", "id as o", "cast(id div 50000 as long) as v").coalesce(1)
+    back = codec.stored(rows, "key", "o", "v", encoding, str(tmp_path / encoding))
+    assert back.exceptAll(rows.selectExpr("key", "o as position", "v as value")).count() == 0 and back.count() == 100_000
+    size = sum(f.stat().st_size for f in (tmp_path / encoding).glob("*.parquet"))
+    assert size < 8 * 100_000 / 2  # two columns of 8 bytes, a quarter of them or less
+    assert codec.stored(rows.where("false"), "key", "o", "v", encoding, str(tmp_path / "none")).count() == 0
 
 
-LONGS = st.integers(-(2**63), 2**63 - 1)
+def test_stored_parts_replace_themselves(spark, tmp_path):
+    lines, path = fixtures.log_lines(spark, SF), str(tmp_path / "lines")
+    for part in ("a-0", "a-1", "a-1"):
+        store.write_lines(lines.where("seq < 100" if part == "a-0" else "seq >= 100"), path, part)
+    back = store.read_lines(spark, path)
+    assert back.count() == lines.count() and "part" not in back.columns
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(LONGS, st.integers(-300, 300)), max_size=200))
-def test_codecs_round_trip(values):
-    v = np.array(values, np.int64)
-    for encode, decode in codec.CODECS.values():
-        assert decode(encode(v)).tolist() == values
-
-
-def test_codecs_shrink_regular_numbers():
-    v = np.arange(0, 1_000_000, 10)
-    assert len(codec.varint(v)) <= 100_010 and len(codec.bit_planes(v)) < 200_000
-    assert codec.unvarint(codec.varint(v)).tolist() == v.tolist() == codec.from_planes(codec.bit_planes(v)).tolist()
+def test_ranges_change_nothing(spark):
+    lines = fixtures.late_arrivals(fixtures.record_times(spark, SF))
+    want = {r.seq for r in store.late_dropped(lines, ["topic", "partition"], ["arrival", "seq"]).collect()}
+    for shard in (1, 7, 64):
+        assert {r.seq for r in store.late_dropped(lines, ["topic", "partition"], ["arrival", "seq"], shard).collect()} == want
+    whole = sorted(map(tuple, store.block_numbers(lines, 16).collect()))
+    assert whole == sorted(map(tuple, store.block_numbers(lines, 16, 5).collect())) and len(want) < lines.count()
 
 
 def test_pruning_reaches_the_scan(spark, tmp_path):
@@ -83,6 +75,55 @@ def test_ingest_stream(spark, tmp_path):
     assert sources.names() == []
 
 
+def test_pod_stream_from_files_to_stored_lines(spark, tmp_path):
+    logs, out, bad, cp = (str(tmp_path / n) for n in ("logs", "out", "bad", "cp"))
+    good = lambda pod, i: f'2024-01-01T00:00:0{i}Z {{"@timestamp": "2024-01-01T00:00:0{i}Z", "log.level": "WARN", "process.thread.name": "t", "service.name": "s", "log.logger": "l", "message": "{pod} {i}"}}'
+    write = lambda pod, name, lines: ((tmp_path / "logs" / pod).mkdir(parents=True, exist_ok=True), (tmp_path / "logs" / pod / name).write_text("\n".join(lines) + "\n"))
+    write("a", "0.log", [good("a", 0), "no time here", good("a", 1)])
+    begin = lambda: start_raw(tail(spark, logs), out, bad, cp, "pods", once=True)
+    begin().awaitTermination()  # what is there comes first
+    write("b", "0.log", [good("b", 2), "2024-01-01T00:00:09Z plain text"])
+    write("a", "1.log", [good("a", 3)])
+    begin().awaitTermination()  # then what has come since, new pods too, and nothing twice
+    got = sorted((r.index_identifier, r.level, r.message) for r in store.read_lines(spark, out).collect())
+    assert got == [("a", "WARN", "a 0"), ("a", "WARN", "a 1"), ("a", "WARN", "a 3"), ("b", "UNKNOWN", "plain text"), ("b", "WARN", "b 2")]
+    assert [(r.value, r.reason) for r in spark.read.parquet(bad).collect()] == [("no time here", "no time before the text")]
+
+
+def test_record_stream_to_stored_lines(spark, tmp_path):
+    records = fixtures.kafka_records(spark, SF)
+    records.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(records.schema).parquet(str(tmp_path / "in"))
+    start_records(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "records", once=True).awaitTermination()
+    held = store.read_lines(spark, str(tmp_path / "out"))
+    assert held.count() == records.count() == held.select("seq").distinct().count()
+    assert {(r.composite_event_id, r.message) for r in held.collect()} == {(r.composite_event_id, r.message) for r in fixtures.kafka_lines(spark, SF).collect()}
+
+
+def test_failed_sources_begin_again(spark, tmp_path):
+    fixtures.log_lines(spark, SF).write.parquet(str(tmp_path / "in"))
+    schema, calls, sources = fixtures.log_lines(spark, SF).schema, [], Sources(spark)
+
+    def then(batch):
+        calls.append(1)
+        if len(calls) == 1:
+            raise ValueError("once")
+
+    sources.start("x", lambda: start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "x", once=True, then=then))
+    with pytest.raises(Exception, match="once"):
+        sources._running["x"].awaitTermination()
+    assert sources.revive(0) == ["x"]
+    sources._running["x"].awaitTermination()
+    assert store.read_lines(spark, str(tmp_path / "out")).count() == 1000  # the repeated batch replaced itself
+    assert sources.revive(0) == []
+
+
+def test_stream_reads_a_folder_of_files(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.seq for r in stream_query.stream_late_drop(spark, str(tmp_path)).collect()}
+    assert got == {r.seq for r in stream_query.stream_late_drop(spark, SF).collect()}
+
+
 def test_settings(tmp_path):
     path = tmp_path / "conf"
     path.write_text("a=1\nno line\nb=x=y\na=2\n")
@@ -101,6 +142,7 @@ def test_kafka_options():
     assert o["subscribe"] == "a,b" and o["startingTimestamp"] == "5000" and o["startingOffsetsByTimestampStrategy"] == "latest" and "kafka.security.protocol" not in o
     assert kafka.security("u", 'p"')["kafka.sasl.jaas.config"].endswith('password="p\\"";') and kafka.security("  ", "p") == {}
     assert kafka.point_options("h", "t", 2, 7)["endingOffsets"] == '{"t": {"2": 8}}'
+    assert kafka.registry("http://r", " ") == {"schema.registry.url": "http://r"} and kafka.registry("http://r", "u", "p")["basic.auth.user.info"] == "u:p"
     assert kafka.start_of(1_000_000_999, 1) == 913_600_000 and kafka.start_of(5_999, -4) == 5_000
     with pytest.raises(ValueError):
         kafka.stream_options("h", [], None)
