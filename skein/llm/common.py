@@ -1,51 +1,18 @@
-"""What the operators share: tables, the shared folder, and memoised word tables."""
+"""What the operators share: tables, intermediate tables in the shared folder, and memoised word tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from skein.plans.scratch import forget, fresh_path, shared_dir, written
 
+__all__ = ["Memo", "forget", "fresh_path", "shared_dir", "table", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="skein-")
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: the lineage ends here,
-    and a lost executor costs a read instead of the work."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store that no later step reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Memo(dict):
     """word -> bytes, filled on demand by ``make`` and emptied at ``limit`` entries.
 

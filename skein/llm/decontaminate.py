@@ -10,15 +10,15 @@
 4. Windows and benchmark passages are compared by the cosine of their latent vectors; a
    window must also hold ``contained`` of the passage's own latent vector. Beside that, an
    inverted index of each passage's rarest words finds every stretch that can be verified:
-   see ``Index``.
+   see ``Index``. Both kinds of candidates pass a filter without loss before verification.
 5. Candidates are verified on their words: a passage of which ``copy`` is a common
    subsequence of a stretch of the document is a copy; from ``paraphrase`` on it is one
    if its answer is found there too: the last sentence, with the words before it if it has
    under ``ANSWER``, or the last quarter where that sentence is over half of the passage.
 
 Benchmark passages have at most 64 words, so each lies whole in some window; longer
-items are cut. The benchmark is taken in blocks of ``block`` items, so what is
-broadcast is bounded; documents are never shuffled.
+items are cut. Distinct passages are taken in blocks of about ``block``, so what is
+collected and broadcast is bounded; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table, written
+from skein.llm.common import forget, fresh_path, table, written
 
 PASSAGE = 64
 ANSWER = 4  # the least words of an answer
@@ -58,7 +59,7 @@ class Settings:
     copy: float = 0.8
     paraphrase: float = 0.55
     answer: float = 0.8
-    block: int = 2_000
+    block: int = 2_000  # passages
 
 
 def words_of(text: str) -> list[bytes]:
@@ -89,20 +90,55 @@ class Passages:
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> Passages:
+        """The passages of items (id, text)."""
+        return cls.from_rows((item, b" ".join(words), n) for item, text in rows for words, n in cut(text or ""))
+
+    @classmethod
+    def from_rows(cls, rows) -> Passages:
+        """From (item, words joined by spaces, number of the answer's words)."""
         out = cls()
-        for item, text in rows:
-            sentences = [s for s in map(words_of, _SENTENCE.split(text or "")) if s]
-            words = [w for s in sentences for w in s]
-            for i in range(0, len(words), PASSAGE):
-                part = words[i : i + PASSAGE]
-                if i and len(part) < PASSAGE // 4:
-                    part = words[-PASSAGE:]
-                out.items.append(item)
-                out.words.append(part)
-                last = len(sentences[-1])
-                if i + PASSAGE < len(words) or last > len(part) / 2:
-                    last = len(part) // 4
-                out.answers.append(part[-max(ANSWER, last) :])
+        for item, joined, answer in rows:
+            words = bytes(joined).split(b" ")
+            out.items.append(item)
+            out.words.append(words)
+            out.answers.append(words[-answer:])
+        return out
+
+
+def cut(text: str) -> Iterator[tuple[list[bytes], int]]:
+    """(words, number of the answer's words) of each passage of an item."""
+    sentences = [s for s in map(words_of, _SENTENCE.split(text)) if s]
+    words = [w for s in sentences for w in s]
+    for i in range(0, len(words), PASSAGE):
+        part = words[i : i + PASSAGE]
+        if i and len(part) < PASSAGE // 4:
+            part = words[-PASSAGE:]
+        last = len(sentences[-1])
+        if i + PASSAGE < len(words) or last > len(part) / 2:
+            last = len(part) // 4
+        yield part, min(len(part), max(ANSWER, last))
+
+
+class Sparse:
+    """A matrix by the places and values of what isn't zero; rows by columns."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int):
+        key, inverse = np.unique(row.astype(np.int64) << 32 | column, return_inverse=True)
+        self.row, self.column, self.rows = key >> 32, key & (1 << 32) - 1, rows
+        self.value = np.bincount(inverse, value, len(key))
+        self._by_column = np.argsort(self.column, kind="stable")
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """The product with ``x``."""
+        out = np.zeros((self.rows, x.shape[1]))
+        there, starts = np.unique(self.row, return_index=True)
+        out[there] = segment_sums(x[self.column] * self.value[:, None], starts)
+        return out
+
+    def transposed_times(self, x: np.ndarray, columns: int) -> np.ndarray:
+        order, out = self._by_column, np.zeros((columns, x.shape[1]))
+        there, starts = np.unique(self.column[order], return_index=True)
+        out[there] = segment_sums(x[self.row[order]] * self.value[order][:, None], starts)
         return out
 
 
@@ -113,8 +149,7 @@ class Lookup:
         self._get = {w: struct.pack("<i", i) for w, i in vocabulary.items()}.get
 
     def __call__(self, text: str | None) -> np.ndarray:
-        get, other = self._get, b"\xff\xff\xff\xff"
-        return np.frombuffer(b"".join([get(w, other) for w in words_of(text or "")]), "<i4")
+        return np.frombuffer(b"".join(map(self._get, words_of(text or ""), repeat(b"\xff\xff\xff\xff"))), "<i4")
 
 
 def segment_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -127,6 +162,14 @@ def segment_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums.astype(rows.dtype)
 
 
+DENSE = 4096  # up to so many words, counts by window and word are a full matrix
+
+
+def counts_of(window: np.ndarray, word: np.ndarray, n: int, words: int) -> np.ndarray:
+    """The matrix of counts by window and word."""
+    return np.bincount(window * words + word, minlength=n * words).astype(np.float32).reshape(n, words)
+
+
 def windows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, which hit) for hits at these word positions of a text of n words; all lie in one or two windows."""
     last = max(0, -(-(n - WINDOW) // STRIDE))
@@ -141,9 +184,17 @@ class Index:
     """Candidates without loss. A stretch that holds ``share`` of a passage's n words misses m = (1 - share) n
     at most, so of its m + k rarest words it holds k; only those are indexed, whatever their frequency."""
 
-    SURE, ENTRIES = 8, 2_000_000
-
-    def __init__(self, passages: list[np.ndarray], frequency: np.ndarray, share: float):
+    SURE, ENTRIES, PIECE = 8, 2_000_000, 24
+
+    def __init__(self, passages: list[np.ndarray], answers: list[np.ndarray], frequency: np.ndarray, settings: Settings):
+        share, size = min(settings.copy, settings.paraphrase), np.array([len(x) for x in passages])
+        self.words = np.full((len(passages), PASSAGE), len(frequency) + 1)  # padded with what no text has
+        for i, x in enumerate(passages):
+            self.words[i, : len(x)] = x
+        answer, place = np.array([len(x) for x in answers]), np.arange(PASSAGE)
+        self.in_answer = (place >= (size - answer)[:, None]) & (place < size[:, None])
+        self.least_words, self.copied, self.answered = settings.paraphrase * size, settings.copy * size, settings.answer * answer
+        self.blocks = -(-(size + size // 2 - 1) // self.PIECE) + 1  # that a stretch to be verified can lie in
         lists: dict[int, list[tuple[int, int]]] = {}
         self.least = np.zeros(len(passages), np.int64)
         for j, words in enumerate(passages):
@@ -159,8 +210,34 @@ class Index:
         entries = [e for w in sorted(lists) for e in lists[w]]
         self.passage, self.times = (np.array([e[i] for e in entries], np.int64) for i in (0, 1))
 
-    def candidates(self, found: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(cell, passage): the passages that may be in the 2 x REACH words from cell x REACH on; any REACH words lie whole in such a stretch."""
+    def verifiable(self, line: np.ndarray, start: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Whether a stretch in the 2 x REACH words from each start on can be verified as the passage. Some row of
+        PIECEs that it can lie in must hold enough of the passage's words and of its answer's, and what the
+        passage has in common with all these words, in order, is long enough: bit by bit (Hyyrö, 2004), for all at once."""
+        out, pieces = np.zeros(len(start), bool), 2 * REACH // self.PIECE
+        for k in range(0, len(start), 500):
+            p = passage[k : k + 500]
+            same = line[start[k : k + 500, None] + np.arange(2 * REACH)][:, :, None] == self.words[p][:, None, :]
+            there = same.reshape(len(p), pieces, self.PIECE, PASSAGE).any(2)
+            upto = np.concatenate([np.zeros((len(p), 1, PASSAGE), np.int8), np.cumsum(there, axis=1, dtype=np.int8)], axis=1)
+            end = np.minimum(np.arange(pieces) + self.blocks[p][:, None], pieces)
+            inside = np.take_along_axis(upto, end[:, :, None], 1) > upto[:, :-1]
+            held, answered = inside.sum(2), (inside & self.in_answer[p][:, None, :]).sum(2)
+            enough = (held >= self.copied[p][:, None]) | (answered >= self.answered[p][:, None])
+            left = np.flatnonzero(((held >= self.least_words[p][:, None]) & enough).any(1))
+            where = np.packbits(same[left], axis=2, bitorder="little").view("<u8")[:, :, 0]
+            row = np.full(len(left), 2**64 - 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for t in np.ascontiguousarray(where.T):
+                    u = row & t
+                    row = row + u | row - u
+            out[k + left] = PASSAGE - np.bitwise_count(row) >= self.least_words[p[left]]
+        return out
+
+    def candidates(self, line: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(cell, passage): the passages that may be in the 2 x REACH words from cell x REACH on; any REACH words lie
+        whole in such a stretch. The line ends with 2 x REACH words of no passage."""
+        found = line[: len(line) - 2 * REACH]
         at = np.flatnonzero(self.size[found] > 0)
         if not len(at):
             return
@@ -180,7 +257,9 @@ class Index:
             counts = np.bincount(np.repeat(cells[a:b] - base, n) * len(self.least) + self.passage[entry], self.times[entry])
             there = np.flatnonzero(counts)
             there = there[counts[there] >= self.least[there % len(self.least)]]
-            yield from zip((there // len(self.least) + base).tolist(), (there % len(self.least)).tolist())
+            cell, passage = there // len(self.least) + base, there % len(self.least)
+            good = self.verifiable(line, cell * REACH, passage)
+            yield from zip(cell[good].tolist(), passage[good].tolist())
 
 
 def window_words(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -221,7 +300,24 @@ def document_frequency(passages: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _gram(passages: DataFrame, renumber: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def kept_words(passages: DataFrame, renumber: np.ndarray) -> DataFrame:
+    """Rows of window_words under new numbers; words with the number -1 are left out, and rows without any other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for window, word in zip(*(c.to_pylist() for c in batch.columns)):
+                new = renumber[np.frombuffer(word, "<i4")]
+                stays = new >= 0
+                if stays.any():
+                    rows.append((np.frombuffer(window, "<i4")[stays].tobytes(), new[stays].astype("<i4").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows)], ["windows", "words"])
+
+    return passages.mapInArrow(run, "windows binary, words binary")
+
+
+def _gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
     """A'(A X) for the weighted basis: its rows are weight x X's rows; the result is weighted once by the caller."""
     held = passages.sparkSession.sparkContext.broadcast(basis)
     size, rank = basis.shape
@@ -235,15 +331,19 @@ def _gram(passages: DataFrame, renumber: np.ndarray, basis: np.ndarray) -> np.nd
                 window.append(at)
                 word.append(np.frombuffer(v, "<i4"))
                 shift = int(at[-1]) + 1
-            window, word = np.concatenate(window), renumber[np.concatenate(word)]
-            window, word = window[word >= 0], word[word >= 0]
-            if not len(word):
+            if not word:
                 continue
+            window, word = np.concatenate(window), np.concatenate(word)
             starts = np.concatenate([[0], np.flatnonzero(np.diff(window)) + 1])
-            for k in range(0, len(starts), 10_000):  # bounds the dense part
-                a, b = starts[k], starts[k + 10_000] if k + 10_000 < len(starts) else len(window)
+            step = (1 << 22) // size if size <= DENSE else 10_000  # bounds what is held at once
+            for k in range(0, len(starts), step):
+                a, b = starts[k], starts[k + step] if k + step < len(starts) else len(window)
                 own = word[a:b]
-                cut = starts[k : k + 10_000] - a
+                cut = starts[k : k + step] - a
+                if size <= DENSE:
+                    held_words = counts_of(np.repeat(np.arange(len(cut)), np.diff(np.append(cut, b - a))), own, len(cut), size)
+                    out += held_words.T @ (held_words @ x)
+                    continue
                 latent = segment_sums(x[own], cut)
                 back = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, b - a)))
                 order = np.argsort(own, kind="stable")
@@ -268,14 +368,14 @@ def _gram(passages: DataFrame, renumber: np.ndarray, basis: np.ndarray) -> np.nd
     return out
 
 
-def latent_basis(passages: DataFrame, renumber: np.ndarray, weight: np.ndarray, extra: np.ndarray, settings: Settings) -> np.ndarray:
-    """Weighted right singular vectors of the windows' TF-IDF matrix, the benchmark's own rows (``extra``) included."""
+def latent_basis(passages: DataFrame, weight: np.ndarray, extra: Sparse, share: float, settings: Settings) -> np.ndarray:
+    """Weighted right singular vectors of the windows' TF-IDF matrix, the benchmark's own rows (``extra``, times ``share``) included."""
     size = len(weight)
     rank = min(settings.rank, size)
     q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(size, rank)))
     small = np.eye(rank)
     for _ in range(settings.passes):
-        z = weight[:, None] * _gram(passages, renumber, weight[:, None] * q) + extra.T @ (extra @ q)
+        z = weight[:, None] * _gram(passages, weight[:, None] * q) + share**2 * extra.transposed_times(extra.times(q), size)
         small = q.T @ z
         basis = q
         q, _ = np.linalg.qr(z)
@@ -294,7 +394,8 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     own = Counter(w for words in passages.words for w in set(words))
     rarest = {w for words in passages.words for w in sorted(set(words), key=lambda w: (own[w], w))[: settings.least_words]}
     tried = sorted(w for w in every if own[w] <= settings.max_passages * len(passages.words) or w in rarest)
-    held_words = written(window_words(docs, {w: i for i, w in enumerate(tried)}), "windows")
+    path = fresh_path(spark, "windows")
+    held_words = written(window_words(docs, {w: i for i, w in enumerate(tried)}), path=path)
     frequency, rows = document_frequency(held_words, len(tried)), docs.count()
     number = {w: i for i, w in enumerate(tried)}
     needed = {w for words in passages.words for w in sorted({w for w in words if w in number}, key=lambda w: (frequency[number[w]], w))[: settings.least_words]}
@@ -302,20 +403,21 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     vocabulary = {tried[i]: k for k, i in enumerate(kept)}
     renumber = np.full(len(tried), -1, np.int32)
     renumber[kept] = np.arange(len(kept))
+    held_words = written(kept_words(held_words, renumber), "kept-windows")
+    forget(spark, path)
     weight = np.log((1 + rows) / (1 + frequency[kept])) + 1e-3
-    extra = np.zeros((len(passages.words), len(vocabulary)), np.float32)
-    for i, words in enumerate(passages.words):
-        for w in words:
-            if w in vocabulary:
-                extra[i, vocabulary[w]] += weight[vocabulary[w]]
+    places = [(i, vocabulary[w]) for i, words in enumerate(passages.words) for w in words if w in vocabulary]
+    row, column = (np.array(x, np.int64) for x in zip(*places)) if places else (np.zeros(0, np.int64),) * 2
+    extra = Sparse(row, column, weight[column], len(passages.words))
     # the benchmark's own rows get as much weight as all windows together, or rare words would be lost
-    share = np.sqrt((weight**2 * frequency[kept]).sum() / max(1e-9, (extra**2).sum()) + 1)
-    basis = latent_basis(held_words, renumber, weight, share * extra, settings)
-    sought = (extra / weight) @ basis
+    share = np.sqrt((weight**2 * frequency[kept]).sum() / max(1e-9, (extra.value**2).sum()) + 1)
+    basis = latent_basis(held_words, weight, extra, share, settings)
+    sought = Sparse(row, column, np.ones(len(row)), len(passages.words)).times(basis).astype(np.float32)
     # words that weren't counted are common in the benchmark itself
     known = np.array([frequency[number[w]] if w in number else rows for w in every], np.int64)
     place = {w: i for i, w in enumerate(every)}
-    index = Index([np.array([place[w] for w in x], np.int64) for x in passages.words], known, min(settings.copy, settings.paraphrase))
+    numbered = lambda lists: [np.array([place[w] for w in x], np.int64) for x in lists]
+    index = Index(numbered(passages.words), numbered(passages.answers), known, settings)
     held = spark.sparkContext.broadcast((vocabulary, basis, sought, passages, every, index))
 
     def verify(marks: np.ndarray, found: np.ndarray, at: int, to: int, words: np.ndarray, answer: np.ndarray) -> tuple[float, float, int]:
@@ -328,16 +430,18 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
         there = marks[region] > 0
         marks[region[there]] = 2
         held = (marks[words] == 2).sum()
-        enough = held >= settings.paraphrase * n and (held >= settings.copy * n or np.isin(answer, region).sum() >= settings.answer * len(answer))
+        enough = held >= settings.paraphrase * n and (held >= settings.copy * n or (marks[answer] == 2).sum() >= settings.answer * len(answer))
         marks[words] = 0
         if not enough:
             return 0.0, 0.0, 0
         mine, running = words.tolist(), np.concatenate([[0], np.cumsum(there)])
-        for i in range(0, max(1, len(region) - span + n // 2), max(1, n // 4)):
-            j = min(len(region), i + span)
-            if running[j] - running[i] > best[0] * n and running[j] - running[i] >= settings.paraphrase * n:
-                part = region[i:j][there[i:j]].tolist()
-                best = max(best, (common_subsequence(mine, part) / n, -a - i))
+        starts = np.arange(0, max(1, len(region) - span + n // 2), max(1, n // 4))
+        ends = np.minimum(len(region), starts + span)
+        enough = running[ends] - running[starts]
+        for k in np.flatnonzero(enough >= settings.paraphrase * n).tolist():
+            if enough[k] > best[0] * n:
+                i, j = int(starts[k]), int(ends[k])
+                best = max(best, (common_subsequence(mine, region[i:j][there[i:j]].tolist()) / n, -a - i))
         start = -best[1]
         answered = common_subsequence(answer.tolist(), found[start : start + span].tolist()) / max(1, len(answer))
         return best[0], answered, start
@@ -351,9 +455,6 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
         marks = np.zeros(len(every) + 1, np.int8)  # the last is for words of no passage
         wanted = [np.array([place[w] for w in x], np.int32) for x in passages.words]
         answers = [np.array([place[w] for w in x], np.int32) for x in passages.answers]
-        kept = [{vocabulary[w] for w in x if w in vocabulary} for x in passages.words]
-        # of a passage's words that are looked for, a paraphrase has so many; half of them in one window at least
-        due = [(sum(w in vocabulary for w in x) - (1 - settings.paraphrase) * len(x)) / 2 for x in passages.words]
 
         def search(texts: list[str | None]) -> list[tuple]:
             hits: list[tuple] = []
@@ -368,12 +469,19 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 owner = np.repeat(np.arange(len(pending)), [len(p[1]) for p in pending])
                 word = np.concatenate([p[2] for p in pending])
                 starts = np.concatenate([[0], np.flatnonzero((np.diff(window) != 0) | (np.diff(owner) != 0)) + 1])[: len(word)]
-                latent = segment_sums(basis[word], starts)
+                if len(basis) <= DENSE:
+                    step = (1 << 22) // max(1, len(basis))
+                    own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(word))))
+                    cuts = range(0, len(starts), step)
+                    ends = [int(starts[k + step]) if k + step < len(starts) else len(word) for k in cuts]
+                    parts = [counts_of(own[starts[k] : e] - k, word[starts[k] : e].astype(np.int64), min(step, len(starts) - k), len(basis)) @ basis for k, e in zip(cuts, ends)]
+                    latent = np.concatenate([np.zeros((0, basis.shape[1]), np.float32), *parts])
+                else:
+                    latent = segment_sums(basis[word], starts)
                 near = latent @ unit.T
                 norms = np.linalg.norm(latent, axis=1)
                 least = np.maximum(settings.cosine * norms[:, None], settings.contained * length)
                 best: dict[tuple[int, object], tuple] = {}
-                ends = np.append(starts[1:], len(word))
 
                 def check(own: int, j: int, at: int, to: int, cosine) -> None:
                     key = (own, passages.items[j])
@@ -386,21 +494,28 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                     if kind and share > share_so_far:
                         best[key] = (row, passages.items[j], kind, cosine(start), share, start, len(wanted[j]))
 
-                for i, j in zip(*np.nonzero((near >= least) & (near > 0))):
-                    own = kept[j]
-                    if sum(w in own for w in word[starts[i] : ends[i]].tolist()) < due[j]:
-                        continue
+                # all texts one after the other, each from a new cell on, with an empty one before the next
+                cells = np.array([-(-len(p[3]) // REACH) + 1 for p in pending])
+                first_cell = np.cumsum(cells) - cells
+                line = np.full((int(cells.sum()) + 2) * REACH, -1)
+                for p, c in zip(pending, first_cell.tolist()):
+                    line[c * REACH : c * REACH + len(p[3])] = p[3]
+                i, j = np.nonzero((near >= least) & (near > 0))
+                around = first_cell[owner[starts[i]]] * REACH + window[starts[i]] * STRIDE - (REACH - STRIDE)
+                good = index.verifiable(line, np.maximum(around, 0), j)
+                for i, j in zip(i[good].tolist(), j[good].tolist()):
                     at = int(window[starts[i]]) * STRIDE
                     check(int(owner[starts[i]]), j, at, at + WINDOW, lambda _: float(near[i, j] / norms[i]))  # noqa: B023
                 place_of = {(o, w): i for i, (o, w) in enumerate(zip(owner[starts].tolist(), window[starts].tolist()))}
-                for own, p in enumerate(pending):
-                    for cell, j in p[4]:
+                for at_cell, j in index.candidates(line):
+                    own = int(np.searchsorted(first_cell, at_cell, "right")) - 1
+                    cell = at_cell - int(first_cell[own])
 
-                        def cosine(start: int) -> float:
-                            i = place_of.get((own, start // STRIDE), place_of.get((own, start // STRIDE - 1)))  # noqa: B023
-                            return 0.0 if i is None else float(near[i, j] / max(norms[i], 1e-12))  # noqa: B023
+                    def cosine(start: int) -> float:
+                        i = place_of.get((own, start // STRIDE), place_of.get((own, start // STRIDE - 1)))  # noqa: B023
+                        return 0.0 if i is None else float(near[i, j] / max(norms[i], 1e-12))  # noqa: B023
 
-                        check(own, j, cell * REACH, (cell + 2) * REACH, cosine)
+                    check(own, j, cell * REACH, (cell + 2) * REACH, cosine)
                 hits.extend(best.values())
                 pending.clear()
                 size = 0
@@ -409,12 +524,11 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 found = lookup(text)
                 known = number[found]
                 at = np.flatnonzero(known >= 0)
-                sure = list(index.candidates(found))
-                if len(at) or sure:
+                if len(at) or (index.size[found] > 0).any():
                     window, hit = windows(at, len(found))
                     order = np.argsort(window, kind="stable")
-                    pending.append((row, window[order], known[at][hit[order]], found, sure))
-                    size += len(hit)
+                    pending.append((row, window[order], known[at][hit[order]], found))
+                    size += max(len(hit), len(found) // 4)
                 if size >= 25_000:
                     close()
             close()
@@ -428,12 +542,22 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
 HIT = "item_id long, kind string, cosine double, lcs double, start_word long, passage_words long"
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> Iterator[Passages]:
+def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[Passages]:
+    """The distinct passages of the benchmark, dealt into blocks by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(item, b" ".join(words), n) for item, text in zip(*(c.to_pylist() for c in batch.columns)) for words, n in cut(text)]
+            for i in range(0, len(rows), 10_000):
+                columns = zip(zip(*rows[i : i + 10_000]), (pa.int64(), pa.binary(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["item", "words", "answer"])
+
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    blocks = max(1, -(-items.count() // settings.block))
+    held = written(items.mapInArrow(run, "item long, words binary, answer int").distinct(), "passages")
+    blocks = -(-held.count() // settings.block)
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        passages = Passages.of(sorted({(r.item_id, r.text) for r in part.collect()}, key=str))  # bounded by the block
+        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
+        passages = Passages.from_rows(sorted(map(tuple, part.collect()), key=str))  # bounded by the block
         if passages.words:
             yield passages
 
@@ -462,12 +586,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
         return given.mapInArrow(run, schema)
 
-    parts = [found(_searcher(given, p, settings)) for p in _blocks(docs, benchmark, settings)]
+    parts = [found(_searcher(given, p, settings)) for p in _blocks(benchmark, settings)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no benchmark item is found."""
+    """The rows of ``docs``, with all their columns, in which no benchmark item is found.
+
+    Null and empty texts stay, rows without doc_id are judged like others and repeated rows
+    each for itself. With an empty benchmark all rows stay; an empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def kept(left: DataFrame, make) -> DataFrame:
@@ -481,7 +609,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
         return left.mapInArrow(run, docs.schema)
 
     given = docs.select(F.col("text").cast("string"))
-    for passages in _blocks(docs, benchmark, settings):
+    for passages in _blocks(benchmark, settings):
         docs = kept(docs, _searcher(given, passages, settings))
     return docs
 

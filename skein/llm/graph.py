@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import forget, fresh_path, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -31,10 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Loops and repeated edges are harmless; rows with a null end are ignored. No edges give no rows.
     """
     held = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") < F.col("b")).distinct()
-    held = written(held, "edges")
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    held = written(held, path=path)
     before = None
     for _ in range(rounds):
-        held = written(_star(_star(held, small=False), small=True), "edges")
+        last, path = path, fresh_path(spark, "edges")
+        held = written(_star(_star(held, small=False), small=True), path=path)
+        forget(spark, last)
         now = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
