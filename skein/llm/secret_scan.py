@@ -21,6 +21,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import bound, running
 from skein.llm.common import table, written
 
 BLOCK = 4096
@@ -138,16 +139,14 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
         F.transform(found, F.length).alias("size"),
         F.transform(kept, lambda x: F.length(x) >= rule.least).alias("kept"),
     )
-    kind = "struct<at:int,out:array<struct<start:int,kind:int,end:int>>>"
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")).cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        here = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["kept"], F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out")).cast(kind)
+    def placed(steps: Column) -> Column:
+        ends = running(F.transform(steps, lambda x: x["gap"] + x["size"]), lambda a, x: a + x, F.lit(0))
+        span = lambda x, end: F.struct((end - x["size"]).alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["kept"].alias("kept"))
+        spans = F.filter(F.zip_with(steps, ends, span), lambda x: x["kept"])
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    return F.aggregate(steps, nothing, step, lambda acc: acc["out"])
+    return bound(steps, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -187,20 +186,39 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(ours, rules), 256).alias("base_sha256"), _listed(F.col("__spans"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret replaced by ``mask`` (overlapping ones by one); n_chars follows where there is one."""
-    found = scan(docs, rules)
-    text = F.col("text").cast("string")
-    kind = "struct<at:int,out:string>"
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind)
+def _without(text: Column, spans: Column, mask: str, block: int = 1024) -> Column:
+    """``text`` with the spans, sorted by start, replaced by ``mask``; overlapping ones together by one.
+    The text is cut into blocks once, and what stays is put together from their ends and whole blocks."""
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+        first, last = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+        apart = F.concat(F.substring(at(first), a % block + 1, F.lit(block)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(at(last), F.lit(1), b % block))
+        return F.when(first == last, F.substring(at(first), a % block + 1, b - a)).otherwise(apart)
+
+    def joined(blocks: Column) -> Column:
+        def cut(reached: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(reached, 1, F.size(reached) - 1))
+            gaps = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(b.alias("a"), s["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+            kept = F.transform(gaps, lambda g: piece(blocks, g["a"], g["b"]))
+            return F.array_join(F.concat(kept, F.array(piece(blocks, F.element_at(reached, -1), F.length(text)))), mask)
+
+        return bound(running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0)), cut)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]), fresh).otherwise(acc["out"]).alias("out")).cast(kind)
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), joined)
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = found.withColumn("__clean", F.when(F.size("__spans") > 0, clean))
-    columns = {c: F.col(c) for c in docs.columns}
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret replaced by ``mask`` (overlapping ones by one); n_chars follows where there is one.
+
+    All rows and columns are kept, whatever their names; repeated rows, and rows without
+    doc_id, are redacted each. A text without secrets stays as it is, null ones too. An
+    empty table gives an empty one.
+    """
+    found = scan(docs, rules)
+    clean = F.when(F.size("__spans") > 0, _without(F.col("text").cast("string"), F.col("__spans"), mask))
+    found = found.withColumn("__clean", clean)
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
     columns["text"] = F.coalesce("__clean", "text")
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("__clean").isNotNull(), F.length("__clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
