@@ -116,7 +116,13 @@ def running(values: Column, both: Callable[[Column, Column], Column], zero: Colu
     return bound(F.greatest(F.lit(1), F.sqrt(F.size(values)).cast("int")), parts)
 
 
-def _trigrams(chars: Column) -> Column:
+def _trigrams(text: Column) -> Column:
+    """All trigrams, by a match of no width at each character; where characters take two units of the JVM's text, from three shifted slices."""
+    matched = F.regexp_extract_all(text, F.lit("(?=(.{3}))"), F.lit(1))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), bound(F.split(text, F.lit("")), _zipped)).otherwise(matched)
+
+
+def _zipped(chars: Column) -> Column:
     n = F.size(chars) - 2
     joined = lambda a, b: F.concat(a, b)
     return F.zip_with(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), joined), F.slice(chars, 3, n), joined)
@@ -125,7 +131,7 @@ def _trigrams(chars: Column) -> Column:
 def grams(text: Column) -> Column:
     """The distinct trigrams of the squeezed text; one shorter gram below three characters, none for an empty one."""
     few = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s))
-    return bound(squeezed(text), lambda s: few(s).otherwise(bound(F.split(s, F.lit("")), lambda c: F.array_distinct(_trigrams(c)))))
+    return bound(squeezed(text), lambda s: few(s).otherwise(F.array_distinct(_trigrams(s))))
 
 
 def next_power_of_two(n: Column) -> Column:

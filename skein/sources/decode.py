@@ -9,12 +9,14 @@ be one of ours exactly.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.levels import LEVELS
-from skein.functions.scalars import iso_millis
+from skein.functions.scalars import bound, iso_millis
 
 #: The two layouts.
 FLAT = (
@@ -38,15 +40,17 @@ def split_prefix(line: Column) -> tuple[Column, Column]:
 
 
 def _record(values: dict[str, Column], required: list[Column]) -> Column:
-    ok = values["level"].isin(*LEVELS) & values["timestamp_ms"].isNotNull()
-    for c in required:
-        ok = ok & c.isNotNull()
-    return F.when(ok, F.struct(*[values[f].alias(f) for f in FIELDS]))
+    there = [values["level"].isin(*LEVELS), *(c.isNotNull() for c in required)]
+    whole = F.struct(*[values[f].alias(f) for f in FIELDS])
+    return F.when(reduce(and_, there), bound(whole, lambda x: F.when(x["timestamp_ms"].isNotNull(), x)))
 
 
 def flat_ecs(payload: Column) -> Column:
     """The line's fields as a struct, null unless the payload is flat ECS JSON."""
-    j = F.from_json(payload, FLAT)
+    return bound(F.from_json(payload, FLAT), _from_flat)
+
+
+def _from_flat(j: Column) -> Column:
     got = {p: j.getField(p) for p in _FLAT_PATHS}
     names = dict(zip(FIELDS, ("log.level", "@timestamp", "message", "process.thread.name", "service.name", "service.version", "log.logger", "correlation.id", "request.id", "error.message", "error.stack_trace")))
     values = {f: got[p] for f, p in names.items()}
@@ -58,7 +62,10 @@ def flat_ecs(payload: Column) -> Column:
 
 def nested_ecs(payload: Column) -> Column:
     """The line's fields as a struct, null unless the payload is nested ECS JSON."""
-    j = F.from_json(payload, NESTED)
+    return bound(F.from_json(payload, NESTED), _from_nested)
+
+
+def _from_nested(j: Column) -> Column:
     values = {
         "level": j["log"]["level"], "timestamp_ms": iso_millis(j.getField("@timestamp")), "message": j["message"],
         "thread_name": j["process"]["thread"]["name"], "service_name": j["service"]["name"], "service_version": j["service"]["version"],
@@ -77,20 +84,24 @@ def raw_line(stamp: Column, payload: Column) -> Column:
 
 def decode_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """``lines`` with the decoded fields in place of the column ``line``; undecodable rows are dropped."""
-    stamp, payload = split_prefix(F.col(line))
-    json = payload.startswith("{")
-    best = F.coalesce(F.when(json, flat_ecs(payload)), F.when(json, nested_ecs(payload)), raw_line(stamp, payload))
     rest = [c for c in lines.columns if c != line]
-    return lines.select(*rest, best.alias("__decoded")).where("__decoded is not null").select(*rest, "__decoded.*")
+    # as rows of an array the fields are computed once, whatever is read of them
+    return lines.select(*rest, F.inline(F.filter(F.array(_decoded(line)), lambda x: x.isNotNull())))
+
+
+def _decoded(line: str) -> Column:
+    def best(stamp: Column, payload: Column) -> Column:
+        json = payload.startswith("{")
+        return F.coalesce(F.when(json, flat_ecs(payload)), F.when(json, nested_ecs(payload)), raw_line(stamp, payload))
+
+    stamp, payload = split_prefix(F.col(line))
+    return bound(F.struct(stamp.alias("stamp"), payload.alias("payload")), lambda x: best(x["stamp"], x["payload"]))
 
 
 def undecodable(lines: DataFrame, line: str = "value") -> DataFrame:
     """The rows that decode_lines drops, as they are, with the ``reason``."""
-    stamp, payload = split_prefix(F.col(line))
-    json = payload.startswith("{")
-    best = F.coalesce(F.when(json, flat_ecs(payload)), F.when(json, nested_ecs(payload)), raw_line(stamp, payload))
     reason = F.when(F.coalesce(F.col(line), F.lit("")) == "", F.lit("empty line")).otherwise(F.lit("no time before the text"))
-    return lines.select("*", best.isNull().alias("__bad")).where("__bad").drop("__bad").withColumn("reason", reason)
+    return lines.select("*", _decoded(line).isNull().alias("__bad")).where("__bad").drop("__bad").withColumn("reason", reason)
 
 
 def header(headers: Column, name: str) -> Column:

@@ -68,3 +68,12 @@ def test_selection_state(spark):
     assert on == {"aa": True, "ab": True, "b": True}
     assert {r.selected for r in selection.cleared(items).collect()} == {False}
     assert {r.name for r in selection.picked(items, "B").collect()} == {"ab", "b"}
+
+
+def test_grams_are_slices_of_the_squeezed_text(spark):
+    texts = ["", "a", "Ab", "a-b c", "Füße, 12 ÄÖ", "x\U0001d400\U0001d401y z\U00010400", "the the the cat", "日本語テキスト", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.grams(F.col("t")).alias("g")).collect()
+    for r in rows:
+        s = "".join(c for c in (r.t or "").lower() if c.isalpha() or c.isdecimal())
+        want = [] if not s else [s] if len(s) < 3 else list(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))
+        assert (r.g or []) == want, r.t
