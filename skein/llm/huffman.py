@@ -113,6 +113,8 @@ class Codec:
 def write_block(codec: Codec, doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
     ids = np.concatenate(parts)
     offsets, payload = codec.encode(ids)
+    if len(payload) >= 1 << 29:
+        raise ValueError(f"a block of {len(ids)} ids is longer than its bit offsets can tell; split the document")
     return b"".join([
         _HEAD.pack(b"TKB1", len(parts), len(ids), len(payload)),
         bytes(d is None for d in doc_ids),
@@ -177,7 +179,9 @@ def id_counts(ids: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int) -> None:
-    """Write the ids of ``docs`` (doc_id, text) below ``path``, in ascending doc_id order (nulls first, equal ids by content)."""
+    """Write the ids of ``docs`` (doc_id, text) below ``path``, in ascending doc_id order (nulls first, equal ids by
+    content). Ranges are cut by doc_id and the content's first bytes, so of nulls and repeated ids only
+    rows that begin alike lie in one task."""
     spark = docs.sparkSession
     held = fresh_path(spark, "ids")
     tokenised(docs, tokenizer, kind, end_id).write.parquet(held)
@@ -208,7 +212,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int) ->
         if parts:
             yield out()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.repartitionByRange("doc_id", F.substring("ids", 1, 64)).sortWithinPartitions("doc_id", "ids")
     rawfiles.write(ordered.mapInArrow(run, "unit binary"), "unit", f"{path}/blocks", BLOCKS_PER_FILE)
     forget(spark, held)
 
@@ -241,7 +245,8 @@ def round_trip(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int
     """(doc_id, start, n_tokens, ids_crc32) of every row, from the files written for ``docs`` (doc_id, text).
 
     A null text counts as empty: the end id alone. Rows without doc_id come first; repeated
-    ids lie side by side and are returned each. An empty table gives no rows.
+    ids lie side by side and are returned each. Other columns are not looked at. A text of over
+    2^28 ids about is an error. An empty table gives no rows.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "token-files")

@@ -55,6 +55,13 @@ class Ids:
         self._dtype = dtype
         self._memo = Memo(self._piece, limit)
         self._model, self._letters = self._one.model, _byte_letters()
+        self._known = self._same_cut()
+
+    def _same_cut(self) -> bool:
+        """Whether the file cuts and normalises like the pattern: else the library takes whole texts."""
+        probe = "It's A  b1234 ÄÖ--x\t\n y's we'll 12.5 ﬁ…!? \u00a0z  ".replace("ﬁ", "fi").replace("…", "...")
+        whole = self._encode(probe)
+        return whole == b"".join(map(self._piece, self._cut(probe.lower() if self._lower else probe)))
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token, from the file's model without the steps before it."""
@@ -65,6 +72,6 @@ class Ids:
         return np.array(self._one.encode(text, add_special_tokens=False).ids, self._dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _WIDER.search(text) or any(s in text.lower() for s in self._special):
+        if not self._known or _WIDER.search(text) or any(s in text.lower() for s in self._special):
             return self._encode(text)
         return b"".join(map(self._memo.__getitem__, self._cut(text.lower() if self._lower else text)))

@@ -36,18 +36,18 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([*means, *spread], axis=1) if parts else np.zeros((len(x), 1))
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of each query's best k of the block, best first, ties to smaller ids; its own id left out."""
+def search_block(own: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of each query's best k of the block, best first, ties to smaller ids; its own row left out."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    rows, ids, vectors = rows[order], ids[order], vectors[order]
     exact = vectors.astype(np.float64)  # sums of integer products below 2^53 are exact
     mine = queries.astype(np.float64)
     whole = float(np.abs(exact).max(initial=0)) * float(np.abs(mine).max(initial=0)) * max(1, exact.shape[1]) < 2**53
     held = [(statistics(mine, n), statistics(exact, n)) for n in levels]
     out = []
-    for i in range(len(query_ids)):
+    for i in range(len(own)):
         score = (lambda rows: exact[rows] @ mine[i]) if whole else (lambda rows: np.array([int(sum(int(a) * int(b) for a, b in zip(v, queries[i]))) for v in vectors[rows]], dtype=object))
-        left = np.flatnonzero(ids != query_ids[i])
+        left = np.flatnonzero(rows != own[i])
         if len(left) > k:
             bound = held[0][1][left] @ held[0][0][i]
             first = left[np.argpartition(-bound, k - 1)[: 4 * k]]
@@ -74,18 +74,21 @@ def quantised(vectors: DataFrame, factor: int = 64) -> DataFrame:
 def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 4096, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score) of each row of ``vectors`` (vec_id, v: integer array) where ``is_query`` holds.
 
-    The score is the inner product; candidates are all rows with another id and the same
-    number of components. Repeated rows are candidates each, and a repeated query is
-    answered once. Rows without id take no part. An empty table gives no rows.
+    The score is the inner product; candidates are all rows but the query's own with the same
+    number of components. Repeated rows are candidates each, and a repeated query id is answered
+    once, for its least vector. Rows without id take no part. Other columns, whatever their
+    names, are not looked at. An empty table gives no rows. A task holds a block of queries and
+    one of candidates; rows are dealt to blocks by number, so equal ids spread.
     """
-    held = written(vectors.where("vec_id is not null").select("vec_id", "v"), "vectors")
-    queries = held.where(is_query).dropDuplicates(["vec_id"])
+    held = written(vectors.where("vec_id is not null").select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    least = held.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "row")).alias("least"))
+    queries = least.select("vec_id", "least.v", "least.row")
     counts = held.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     n_blocks, q_blocks = max(1, -(-counts.n // block)), max(1, -(-counts.q // query_block))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "v", dealt(q_blocks).alias("q"), every(n_blocks).alias("c"))
-    right = held.select("vec_id", "v", dealt(n_blocks).alias("c"), every(q_blocks).alias("q"))
+    left = queries.select("vec_id", "v", "row", dealt(q_blocks).alias("q"), every(n_blocks).alias("c"))
+    right = held.select("vec_id", "v", "row", dealt(n_blocks).alias("c"), every(q_blocks).alias("q"))
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -95,7 +98,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 4096, bl
                 continue
             stack = lambda df: np.stack(df["v"].to_numpy()).astype(np.int64)
             ids = mine["vec_id"].to_numpy()
-            for query, (found, scores) in zip(ids, search_block(ids, stack(mine), theirs["vec_id"].to_numpy(), stack(theirs), k)):
+            for query, (found, scores) in zip(ids, search_block(mine["row"].to_numpy(), stack(mine), theirs["row"].to_numpy(), theirs["vec_id"].to_numpy(), stack(theirs), k)):
                 parts.append(pd.DataFrame({"query_id": query, "vec_id": found, "score": scores.astype(np.int64)}))
         return pd.concat(parts) if parts else pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "vec_id", "score")})
 

@@ -4,7 +4,8 @@ Of records with equal payloads of at least ``least`` bytes, that with the larges
 page_id keeps the payload (``response``); the others refer to it (``revisit``).
 The reader inflates a member in pieces of 64 kB, takes headers and block by their
 lengths, and compares block and payload digests; a damaged record is an error.
-Archives are cut after ``PER_FILE`` records, so that a task never holds a large file.
+Records are written in units of ``UNIT`` bytes, or of one record that is longer, and a file has
+``PER_FILE`` units at most, so that a task never holds a large file.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import rawfiles
-from skein.llm.common import fresh_path, table
+from skein.llm.common import fresh_path, table, written
 
-PER_FILE = 2_000
+UNIT, PER_FILE = 4 << 20, 8
+BROADCAST_OWNERS = 500_000
 PIECE = 1 << 16
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -32,12 +34,15 @@ END = b"\r\n\r\n"
 
 
 def classified(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """(page_id, url, html, bytes, digest, owner): owner is the page that a revisit refers to, else null."""
+    """(page_id, url, html, bytes, digest, owner): owner is the page that a revisit refers to, else null.
+    Digests alone are grouped; bodies move only where more payloads repeat than can be broadcast."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     base = base.select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha1("html").alias("digest"))
     owners = base.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
     owners = owners.where("n > 1 and owner is not null").select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "owner")
+    owners = written(owners, "owners")
+    owners = F.broadcast(owners) if owners.count() <= BROADCAST_OWNERS else owners
     joined = base.join(owners, (base["digest"] == owners["of_digest"]) & (base["bytes"] == owners["of_bytes"]), "left")
     owner = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
     return joined.select("page_id", "url", F.when(owner.isNull(), F.col("html")).alias("html"), "bytes", "digest", owner.alias("owner"))
@@ -109,9 +114,17 @@ def write(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-0
     """Archive ``pages`` (page_id, url, html) below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array([make_record(*r, date) for r in rows], pa.binary())], ["unit"])
+            for k in range(batch.num_rows):
+                held.append(make_record(*(c[k].as_py() for c in batch.columns), date))
+                size += len(held[-1])
+                if size >= UNIT:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["unit"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["unit"])
 
     rawfiles.write(classified(pages, least).mapInArrow(run, "unit binary"), "unit", path, PER_FILE)
 

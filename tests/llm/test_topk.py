@@ -26,7 +26,7 @@ def test_bounds_hold_and_get_finer():
 
 def test_large_components_stay_exact():
     big = np.array([[2**31, 1], [2**31, 0], [5, 5]])
-    ((ids, scores),) = search_block(np.array([9]), np.array([[2**31 - 1, 1]]), np.array([1, 2, 3]), big, 2)
+    ((ids, scores),) = search_block(np.array([9]), np.array([[2**31 - 1, 1]]), np.array([5, 6, 7]), np.array([1, 2, 3]), big, 2)
     assert ids.tolist() == [1, 2] and [int(s) for s in scores] == [2**31 * (2**31 - 1) + 1, 2**31 * (2**31 - 1)]
 
 
@@ -41,6 +41,13 @@ def test_hard_rows(spark):
     assert top_k(quantised(table.where("false")), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids(spark):
+    rows = [(20, [3, 0]), (20, [1, 1]), (20, [1, 1]), (5, [2, 2]), (5, [2, 2]), (7, [0, 1])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 20).collect()
+    # the query is one row with [1, 1]; its other rows are candidates
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 5, 4), (2, 5, 4), (3, 20, 3), (4, 20, 2), (5, 7, 1)]
+
+
 def test_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     assert {tuple(r) for r in op7_topk(spark, "/root/testdata/sf0.01").collect()} == plain(rows)
