@@ -48,7 +48,7 @@ STEP = 1.2
 BLOCK = 2_000_000  # tokens that a task takes at once
 PART = 2_000_000  # tokens of a part
 OFTEN = 4  # the least count in a block of a pair that is looked at as a frequent one
-WORDS = 500_000  # words that are remembered from one block to the next
+WORDS = 200_000  # words that are remembered from one block to the next
 _NO_WORD = (1 << 24) - 1
 
 
