@@ -13,6 +13,7 @@ from skein.llm.language_id import op8_language
 from skein.llm.lm_score import op5_lm_score
 from skein.llm.packing import op1_packing
 from skein.llm.secret_scan import op4_secrets
+from skein.llm.sharding import op11_sharding
 from skein.llm.simhash import op2_simhash
 from skein.llm.topk import op7_topk
 from skein.llm.url_filter import op6_url_filter
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLES: dict[str, str] = {
