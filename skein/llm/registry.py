@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import topk, url_filter, warc
+from skein.llm import lexical, topk, url_filter, warc
 from skein.llm.decontaminate import op3_decontamination
 from skein.llm.huffman import op10_token_files
 from skein.llm.language_id import op8_language
+from skein.llm.lexical import op12_lexical
 from skein.llm.lm_score import op5_lm_score
 from skein.llm.packing import op1_packing
 from skein.llm.secret_scan import op4_secrets
@@ -31,10 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
     "op11_sharding": op11_sharding,
+    "op12_lexical": op12_lexical,
 }
 
 ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter.ORACLE,
     "op7_topk": topk.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op12_lexical": lexical.ORACLE,
 }
