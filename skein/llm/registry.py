@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import lexical, topk, url_filter, warc
+from skein.llm import conversation, lexical, topk, url_filter, warc
+from skein.llm.conversation import op13_conversations
 from skein.llm.decontaminate import op3_decontamination
 from skein.llm.huffman import op10_token_files
 from skein.llm.language_id import op8_language
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_sharding": op11_sharding,
     "op12_lexical": op12_lexical,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -40,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op7_topk": topk.ORACLE,
     "op9_warc": warc.ORACLE,
     "op12_lexical": lexical.ORACLE,
+    "op13_conversations": conversation.ORACLE,
 }
