@@ -98,10 +98,21 @@ def _decoded(line: str) -> Column:
     return bound(F.struct(stamp.alias("stamp"), payload.alias("payload")), lambda x: best(x["stamp"], x["payload"]))
 
 
+def decoded_or_kept(lines: DataFrame, line: str = "value") -> DataFrame:
+    """All of ``lines``: with the decoded fields and no ``line``, or, where it can't be decoded, with the line, its ``reason`` and no fields."""
+    rest = [c for c in lines.columns if c != line]
+    tried = lines.select(*rest, line, F.explode(F.array(_decoded(line))).alias("__line"))
+    bad = F.col("__line").isNull()
+    return tried.select(*rest, F.when(bad, F.col(line)).alias(line), F.when(bad, _reason(line)).alias("reason"), "__line.*")
+
+
+def _reason(line: str) -> Column:
+    return F.when(F.coalesce(F.col(line), F.lit("")) == "", F.lit("empty line")).otherwise(F.lit("no time before the text"))
+
+
 def undecodable(lines: DataFrame, line: str = "value") -> DataFrame:
     """The rows that decode_lines drops, as they are, with the ``reason``."""
-    reason = F.when(F.coalesce(F.col(line), F.lit("")) == "", F.lit("empty line")).otherwise(F.lit("no time before the text"))
-    return lines.select("*", _decoded(line).isNull().alias("__bad")).where("__bad").drop("__bad").withColumn("reason", reason)
+    return lines.select("*", _decoded(line).isNull().alias("__bad")).where("__bad").drop("__bad").withColumn("reason", _reason(line))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -115,12 +126,18 @@ def flat_headers(headers: Column) -> Column:
     return F.array_join(each, " | ")
 
 
-def decode_records(records: DataFrame, avro_text: Column | None = None) -> DataFrame:
-    """Rows of the Kafka source as lines. ``avro_text`` is the decoded value where a registry can decode it; else the value is text."""
+def misplaced() -> Column:
+    """Why a row like the Kafka source's can't be stored; null where it can."""
+    nowhere = F.col("topic").isNull() | F.col("partition").isNull() | F.col("offset").isNull()
+    return F.when(nowhere, F.lit("no place in a topic")).when(F.col("timestamp").isNull(), F.lit("no time"))
+
+
+def decode_records(records: DataFrame, avro_text: Column | None = None, keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Rows of the Kafka source as lines. ``avro_text`` is the decoded value where a registry can decode it; else the value is text. Columns named in ``keep`` stay."""
     value = F.col("value").cast("string")
     headers = F.coalesce(F.col("headers"), F.array().cast("array<struct<key:string,value:binary>>"))
     return records.select(
-        *[c for c in records.columns if c == "seq"],
+        *[c for c in records.columns if c in keep],
         F.lit("KAFKA").alias("level"),
         F.unix_millis("timestamp").alias("timestamp_ms"),
         (value if avro_text is None else F.coalesce(avro_text, value)).alias("message"),

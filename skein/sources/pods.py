@@ -1,4 +1,4 @@
-"""Pod inventory and shipped pod logs."""
+"""Pod inventory and shipped pod logs; logs that grow are in ``tail``."""
 
 from __future__ import annotations
 
@@ -17,12 +17,6 @@ def inventory(pods: DataFrame) -> DataFrame:
     return pods.select("name", after_last_colon(F.col("image")).alias("version"), own.alias("container"))
 
 
-def tail(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of log files as they arrive below ``folder``, a folder a pod; new pods are found as they come."""
-    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").load(folder)
-    return lines.select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("index_identifier"))
-
-
 def backfill(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that are already there."""
     lines = spark.read.format("text").option("recursiveFileLookup", "true").load(folder)

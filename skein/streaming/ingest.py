@@ -10,16 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.store import write_lines
-from skein.sources.decode import decode_lines, decode_records, undecodable
+from skein.operators.store import BLOCK, write_lines
+from skein.sources.decode import decode_records, decoded_or_kept, misplaced
 from skein.sources.fixtures import kafka_text, log_text
+from skein.streaming.late import stream_marked
+from skein.streaming.numbers import Ledger, numbered
+
+
+#: Why a line is not stored although it was understood.
+LATE = "older than the newest of its block"
 
 
 def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Store a stream's lines by source and level. ``then`` is called with each batch once it is
-    stored: a followed search runs again there. With ``once``, what is there is taken and the query ends.
+    stored: a followed search goes on there. With ``once``, what is there is taken and the query ends.
     A batch is stored under its number and the checkpoint's, so one that is repeated replaces itself."""
-    own = md5(checkpoint.encode()).hexdigest()[:12]
+    own = _own(checkpoint)
 
     def batch(rows: DataFrame, number: int) -> None:
         kept = rows.persist()
@@ -31,29 +37,61 @@ def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool =
     return _begun(lines, checkpoint, name, once, batch)
 
 
-def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False) -> StreamingQuery:
-    """Decode a stream of raw pod lines (value, index_identifier) and store them; a line that can't be
-    decoded is stored alone, with the reason, below ``rejected``. Lines are numbered as they come."""
-    own = md5(checkpoint.encode()).hexdigest()[:12]
+def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Decode a stream of raw pod lines (value, index_identifier, part, line; see ``sources.tail``) and store them.
+    They are numbered by the store's ledger in the order of part and line. A line that can't be decoded, and one
+    older than the newest of its source's and level's block (of ``block`` lines; with None none is late), is stored
+    alone, with the reason, below ``rejected``. ``then`` is called with the stored lines of each batch."""
+    lines = decoded_or_kept(raw.select("index_identifier", "value", "part", "line"))
+    return _kept(lines, log_text(), path, rejected, checkpoint, name, once, block, then, "value", ["part"], "line")
+
+
+def start_records(
+    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK, then: Callable[[DataFrame], None] | None = None
+) -> StreamingQuery:
+    """Decode a stream of rows like the Kafka source's and store them, numbered and late lines dropped as in
+    ``start_raw``; the order of a partition is its offsets'. Below ``rejected``, if that is given, a record
+    without a place or a time is stored alone, as JSON with the reason, and so is the text of a late one."""
+    rows = records.drop("seq")
+    whole = F.to_json(F.struct(*(F.col(c) for c in rows.columns)))
+    lines = decode_records(rows.select("*", misplaced().alias("reason"), F.when(misplaced().isNotNull(), whole).alias("record")), avro_text, keep=("reason", "record"))
+    return _kept(lines, kafka_text(), path, rejected, checkpoint, name, once, block, then, "record", ["topic", "partition"], "offset")
+
+
+def _kept(
+    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame], None] | None, raw: str, parts: list[str], within: str
+) -> StreamingQuery:
+    """Store a stream of lines, numbered by ``parts`` and the number ``within``; those with a ``reason`` and late ones aren't stored."""
+    own, ledger = _own(checkpoint), Ledger(lines.sparkSession, path)
+    keyed = lines.withColumn("level", F.when(F.col("reason").isNull(), F.col("level")))
+    marked = keyed.withColumn("late", F.lit(False)) if block is None else stream_marked(keyed, [*parts, within], block)
 
     def batch(rows: DataFrame, number: int) -> None:
-        kept = rows.withColumn("seq", F.lit(number << 40) + F.monotonically_increasing_id()).persist()
-        write_lines(decode_lines(kept).withColumn("search_text", log_text()), path, f"{own}-{number}")
-        undecodable(kept).write.mode("overwrite").parquet(f"{rejected}/part={own}-{number}")
+        kept = rows.persist()
+        all_rows = numbered(kept, ledger, own, number, parts, within)
+        gone = ("reason", "late", raw, *(("part", "line") if raw == "value" else ()))
+        good = all_rows.where("reason is null and not late").drop(*gone).withColumn("search_text", search_text)
+        write_lines(good, path, f"{own}-{number}")
+        if rejected is not None:
+            bad = all_rows.where("reason is not null or late").select("seq", "index_identifier", F.coalesce(raw, "message").alias("value"), F.coalesce("reason", F.lit(LATE)).alias("reason"))
+            bad.write.mode("overwrite").parquet(f"{rejected}/part={own}-{number}")
+        if then is not None:
+            then(good)
         kept.unpersist()
 
-    return _begun(raw, checkpoint, name, once, batch)
+    return _begun(marked, checkpoint, name, once, batch)
 
 
-def start_records(records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None) -> StreamingQuery:
-    """Decode a stream of rows like the Kafka source's and store them; the order of a partition is its offsets'."""
-    own = md5(checkpoint.encode()).hexdigest()[:12]
+def _own(checkpoint: str) -> str:
+    return md5(checkpoint.encode()).hexdigest()[:12]
 
-    def batch(rows: DataFrame, number: int) -> None:
-        numbered_rows = rows.drop("seq").withColumn("seq", F.lit(number << 40) + F.monotonically_increasing_id())
-        write_lines(decode_records(numbered_rows, avro_text).withColumn("search_text", kafka_text()), path, f"{own}-{number}")
 
-    return _begun(records, checkpoint, name, once, batch)
+def drained(query: StreamingQuery) -> None:
+    """Take all that is there, in as many batches as the source cuts it into, and end."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def _begun(rows: DataFrame, checkpoint: str, name: str, once: bool, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:

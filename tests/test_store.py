@@ -4,7 +4,8 @@ from skein.operators import codec, display, store
 from skein.operators.clusters import clusters
 from skein.plans import stream_query
 from skein.sources import config, fixtures, kafka
-from skein.sources.pods import backfill, tail
+from skein.sources.pods import backfill
+from skein.sources.tail import tail
 from skein.streaming.ingest import Sources, start, start_raw, start_records
 from skein.streaming.late import drop_late, fold
 
@@ -80,7 +81,7 @@ def test_pod_stream_from_files_to_stored_lines(spark, tmp_path):
     good = lambda pod, i: f'2024-01-01T00:00:0{i}Z {{"@timestamp": "2024-01-01T00:00:0{i}Z", "log.level": "WARN", "process.thread.name": "t", "service.name": "s", "log.logger": "l", "message": "{pod} {i}"}}'
     write = lambda pod, name, lines: ((tmp_path / "logs" / pod).mkdir(parents=True, exist_ok=True), (tmp_path / "logs" / pod / name).write_text("\n".join(lines) + "\n"))
     write("a", "0.log", [good("a", 0), "no time here", good("a", 1)])
-    begin = lambda: start_raw(tail(spark, logs), out, bad, cp, "pods", once=True)
+    begin = lambda: start_raw(tail(spark, logs, str(tmp_path / "progress")), out, bad, cp, "pods", once=True)
     begin().awaitTermination()  # what is there comes first
     write("b", "0.log", [good("b", 2), "2024-01-01T00:00:09Z plain text"])
     write("a", "1.log", [good("a", 3)])
@@ -94,7 +95,7 @@ def test_record_stream_to_stored_lines(spark, tmp_path):
     records = fixtures.kafka_records(spark, SF)
     records.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(records.schema).parquet(str(tmp_path / "in"))
-    start_records(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "records", once=True).awaitTermination()
+    start_records(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "records", once=True, block=None).awaitTermination()
     held = store.read_lines(spark, str(tmp_path / "out"))
     assert held.count() == records.count() == held.select("seq").distinct().count()
     assert {(r.composite_event_id, r.message) for r in held.collect()} == {(r.composite_event_id, r.message) for r in fixtures.kafka_lines(spark, SF).collect()}
