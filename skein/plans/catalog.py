@@ -194,6 +194,18 @@ QUERIES["stream_late_drop"] = stream_query.stream_late_drop
 ORACLES["stream_late_drop"] = ORACLES["late_drop"]
 
 
+_FOLD = """n AS (SELECT *, row_number() OVER (PARTITION BY index_identifier, level ORDER BY arrival, seq) AS n FROM o),
+f AS (SELECT *, true AS ok, timestamp_ms AS newest, 1 AS held FROM n WHERE n = 1
+ UNION ALL SELECT n.*, f.held >= 4096 OR n.timestamp_ms >= f.newest, CASE WHEN f.held >= 4096 OR n.timestamp_ms >= f.newest THEN n.timestamp_ms ELSE f.newest END,
+  CASE WHEN f.held >= 4096 THEN 1 WHEN n.timestamp_ms >= f.newest THEN f.held + 1 ELSE f.held END
+ FROM f JOIN n ON n.index_identifier = f.index_identifier AND n.level = f.level AND n.n = f.n + 1)"""
+
+QUERIES["ingest_raw_lines"] = stream_query.ingest_raw_lines
+ORACLES["ingest_raw_lines"] = f"""WITH RECURSIVE {_LOG},
+o AS (SELECT index_identifier, CASE seq % 4 WHEN 2 THEN 'UNKNOWN' ELSE level END AS level, timestamp_ms, message, seq, seq + (seq * 7919) % 50 AS arrival FROM logs WHERE seq % 4 < 3),
+{_FOLD} SELECT index_identifier, level, timestamp_ms, message FROM f WHERE ok"""
+
+
 @query("block_numbers", f"WITH {_LOG}, b AS (SELECT *, (row_number() OVER (PARTITION BY index_identifier, level ORDER BY seq) - 1) // 4096 AS block FROM logs) SELECT index_identifier, level, block, count(*) AS n, min(seq) AS min_seq, max(seq) AS max_seq, max(timestamp_ms) AS max_timestamp FROM b GROUP BY ALL")
 def _block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.block_numbers(_lines(spark, sf_dir))

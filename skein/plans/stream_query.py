@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import millis_iso
-from skein.plans.scratch import fresh_path
+from skein.operators.store import read_lines
+from skein.plans.scratch import forget, fresh_path
+from skein.sources import fixtures
+from skein.sources.tail import tail
+from skein.streaming.ingest import drained, start_raw
 from skein.streaming.late import stream_drop_late
 
+
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The late drop as a stream over the event table, into a table that is then read."""
     path = f"{sf_dir}/events.parquet"  # a file, or a folder of them
@@ -27,8 +32,8 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(lines.schema).parquet(path).select("seq", "timestamp_ms")
 
 
-def raw_lines(lines: DataFrame) -> DataFrame:
-    """(seq, value): log lines as they are shipped; by seq modulo 4 flat JSON, nested JSON, text, and
+def raw_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """(seq, value) and what else to ``keep``: log lines as they are shipped; by seq modulo 4 flat JSON, nested JSON, text, and
     text without a time, which no decoder takes."""
     stamp = millis_iso(F.col("timestamp_ms"))
     col = F.col
@@ -44,4 +49,24 @@ def raw_lines(lines: DataFrame) -> DataFrame:
     kind = F.col("seq") % 4
     payload = F.when(kind == 0, flat).when(kind == 1, nested).otherwise(col("message"))
     prefix = F.when(kind == 3, F.lit("2024-01-01")).otherwise(F.concat(stamp, F.lit("")))
-    return lines.select("seq", F.concat_ws(" ", prefix, payload).alias("value"))
+    return lines.select("seq", F.concat_ws(" ", prefix, payload).alias("value"), *keep)
+
+
+def ship(lines: DataFrame, folder: str) -> None:
+    """Write (index_identifier, value, arrival, seq) as log files in a folder a source, in order of arrival."""
+    ordered = lines.repartitionByRange("arrival", "seq").sortWithinPartitions("index_identifier", "arrival", "seq")
+    ordered.select("index_identifier", "value").write.mode("append").partitionBy("index_identifier").text(folder)
+
+
+def ingest_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines, shipped in two steps, followed by a tail that is stopped between them, in some batches each; lines
+    that can't be decoded and late ones stay out. What is stored then."""
+    logs, out, bad, progress, checkpoint = (fresh_path(spark, n) for n in ("logs", "lines", "rejected", "progress", "checkpoint"))
+    raw = raw_lines(fixtures.late_arrivals(fixtures.log_lines(spark, sf_dir)), "index_identifier", "arrival")
+    n = raw.count()
+    half = F.col("arrival") < n // 2
+    for step in (raw.where(half), raw.where(~half)):
+        ship(step, logs)
+        drained(start_raw(tail(spark, logs, progress, max_bytes=max(1 << 16, 60 * n)), out, bad, checkpoint, "ingest_raw_lines"))
+    forget(spark, logs)
+    return read_lines(spark, out).select("index_identifier", "level", "timestamp_ms", "message")
