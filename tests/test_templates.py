@@ -1,0 +1,82 @@
+"""Templates of messages, against the same rules written out message by message."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from skein.operators.clusters import MASKS
+from skein.operators.templates import template_of, templates
+
+
+def masked(message):
+    for pattern, mark in MASKS:
+        message = re.sub(pattern, mark, message or "")
+    return message
+
+
+def join(groups, words, share):
+    """Joins the words to one of the templates in ``groups``; its number."""
+    alike = [sum(a == b for a, b in zip(t, words)) for t in groups]
+    if alike and max(alike) >= share * len(words):
+        k = alike.index(max(alike))
+        groups[k] = [a if a == b else "<*>" for a, b in zip(groups[k], words)]
+        return k
+    groups.append(list(words))
+    return len(groups) - 1
+
+
+def want(messages, share=0.5, limit=100_000):
+    distinct = sorted({masked(m) for m in messages})
+    leaf = {m: (len(m.split(" ")), *m.split(" ")[:1]) for m in distinct}
+    for depth in range(2, 5):
+        sizes = {}
+        for x in leaf.values():
+            sizes[x] = sizes.get(x, 0) + 1
+        leaf = {m: (x[0], *m.split(" ")[:depth]) if sizes[x] > limit else x for m, x in leaf.items()}
+    shares, place, finals, final = {}, {}, {}, {}
+    for m in sorted(distinct, key=lambda m: (hashlib.md5(m.encode()).hexdigest()[0], m)):
+        key = leaf[m], hashlib.md5(m.encode()).hexdigest()[0]
+        place[m] = key, join(shares.setdefault(key, []), m.split(" "), share)
+    for key in sorted(shares, key=lambda k: k[1]):
+        for i, words in enumerate(shares[key]):
+            final[key, i] = key[0], join(finals.setdefault(key[0], []), words, share)
+    of = {m: final[place[m]] for m in distinct}
+    return [" ".join(finals[of[masked(m)][0]][of[masked(m)][1]]) for m in messages], [of[masked(m)] for m in messages]
+
+
+def frame(spark, messages):
+    return spark.createDataFrame(list(enumerate(messages)), "seq long, message string").selectExpr("*", "'x' as leaf", "1 as n").repartition(3)
+
+
+def test_messages_that_differ_in_a_word_are_one_cluster(spark):
+    errors = frame(spark, ["Error in module A", "Error in module B", "Warning in module A"])
+    assert sorted((r.message_pattern, r.n, r.first_seq) for r in templates(errors).collect()) == [("Error in module <*>", 2, 0), ("Warning in module A", 1, 2)]
+    users = frame(spark, ["User 123 logged in", "User 456 logged out", "User 789 logged in"])
+    assert [(r.message_pattern, r.words, r.n) for r in templates(users).collect()] == [("User <num> logged <*>", 4, 3)]
+    ids = frame(spark, [f"Error in module {i}ff93c88-08ed-4b9c-9e9a-0c820b793d48" for i in (4, 6, 2)])
+    assert [r.message_pattern for r in templates(ids).collect()] == ["Error in module <uuid>"]
+
+
+def test_every_line_keeps_its_text_and_has_its_cluster(spark):
+    messages = ["Error in module X", "Error in module Y", None, "", "a  b", "Error in module X", "Ü ü", "word " * 5000]
+    got = {r.seq: (r.message, r.message_pattern) for r in template_of(frame(spark, messages)).collect()}
+    patterns, _ = want(messages)
+    assert got == {i: (m, patterns[i]) for i, m in enumerate(messages)}
+    assert templates(frame(spark, messages).where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("share", "limit"), [(0.5, 100_000), (0.7, 100_000), (0.5, 20), (0.5, 2)])
+def test_many_messages(spark, share, limit):
+    rng = random.Random(7)
+    words = ["open", "close", "file", "user", "alice", "bob", "carol", "failed", "done", "at", "<*>"]
+    messages = [" ".join(rng.choice(words) if rng.random() < 0.6 else f"w{rng.randrange(400)}x" for _ in range(rng.randrange(1, 7))) for _ in range(900)]
+    messages += [f"request {i} from host h{i % 7} took {i * 3} ms" for i in range(100)]
+    patterns, of = want(messages, share, limit)
+    assert [r.message_pattern for r in template_of(frame(spark, messages), share, limit).orderBy("seq").collect()] == patterns
+    counts = {}
+    for x, p in zip(of, patterns):
+        counts[x, p] = counts.get((x, p), 0) + 1
+    got = [(r.message_pattern, r.n) for r in templates(frame(spark, messages), share, limit).collect()]
+    assert sorted(got) == sorted((p, n) for (_, p), n in counts.items())
