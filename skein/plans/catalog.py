@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars
 from skein.functions.levels import level_of_name, level_of_ordinal
-from skein.operators import clusters, codec, display, histogram, lag, search, selection, store
+from skein.operators import clusters, codec, display, histogram, lag, search, selection, store, templates
 from skein.plans import stream_query
 from skein.sources import decode, fixtures, kafka
 from skein.sources.pods import inventory
@@ -498,6 +498,43 @@ def _log_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(_lines(spark, sf_dir))
 
 
+def _templates_sql(start: str, lines: str) -> str:
+    """The templates of ``lines`` (seq, message): messages join one after the other, then the shares' templates do."""
+    alike = "list_transform(t, lambda x: len(list_filter(range(1, len(w) + 1), lambda j: x[j] = w[j])))"
+    joined = "CASE WHEN list_max(alike) >= 0.5 * len(w) THEN list_position(alike, list_max(alike)) ELSE len(t) + 1 END"
+    grown = """CASE WHEN k > len(t) THEN list_append(t, w) ELSE list_transform(range(1, len(t) + 1), lambda q: CASE WHEN q = k THEN
+  list_transform(range(1, len(w) + 1), lambda j: CASE WHEN t[q][j] = w[j] THEN w[j] ELSE '<*>' END) ELSE t[q] END) END"""
+
+    def fold(name: str, rows: str, keys: str) -> str:
+        same = " AND ".join(f"o.{k} = f.{k}" for k in keys.split(", "))
+        return f"""{name} AS (SELECT *, [w] AS t, CAST(1 AS BIGINT) AS k FROM {rows} WHERE i = 1 UNION ALL
+ SELECT * EXCLUDE (t, k, alike), {grown} AS t, k FROM (SELECT *, CAST({joined} AS BIGINT) AS k FROM (SELECT *, {alike} AS alike FROM (SELECT o.*, f.t FROM {name} f JOIN {rows} o ON {same} AND o.i = f.i + 1))))"""
+
+    return f"""WITH RECURSIVE {start},
+masked AS (SELECT seq, regexp_replace(regexp_replace(regexp_replace(coalesce(message, ''), '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}', '<uuid>', 'g'), '\\b0[xX][0-9a-fA-F]+\\b', '<hex>', 'g'), '[0-9]+(\\.[0-9]+)?', '<num>', 'g') AS m FROM {lines}),
+d AS (SELECT m, string_split(m, ' ') AS w, substr(md5(m), 1, 1) AS share, count(*) AS n, min(seq) AS first_seq FROM masked GROUP BY m),
+o1 AS (SELECT *, len(w) || ' ' || w[1] AS leaf, row_number() OVER (PARTITION BY len(w), w[1], share ORDER BY m) AS i FROM d),
+{fold("f1", "o1", "leaf, share")},
+s AS (SELECT leaf, share, unnest(t) AS w, generate_subscripts(t, 1) AS number FROM (SELECT leaf, share, arg_max(t, i) AS t FROM f1 GROUP BY leaf, share)),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY share, number) AS i FROM s),
+{fold("f2", "o2", "leaf")},
+p AS (SELECT leaf, arg_max(t, i) AS t FROM f2 GROUP BY leaf)
+SELECT array_to_string(p.t[f2.k], ' ') AS message_pattern, len(any_value(p.t[f2.k])) AS words, CAST(sum(n) AS BIGINT) AS n, min(first_seq) AS first_seq
+FROM f1 JOIN f2 ON f1.leaf = f2.leaf AND f1.share = f2.share AND f1.k = f2.number JOIN p ON p.leaf = f1.leaf GROUP BY f1.leaf, f2.k, p.t[f2.k]""".replace("\\\\", "\\")
+
+
+@query("log_templates", _templates_sql(_LOG, "logs"))
+def _log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.templates(_lines(spark, sf_dir))
+
+
+@query("text_templates", _templates_sql("l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)", "(SELECT doc_id * 1000000 + generate_subscripts(x, 1) - 1 AS seq, unnest(x) AS message FROM l)"))
+def _text_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n"))).select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"), F.col("col").alias("message"))
+    return templates.templates(lines)
+
+
 # --- numbers ----------------------------------------------------------------
 
 
