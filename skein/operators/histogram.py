@@ -67,6 +67,29 @@ def date_markers(lines: DataFrame, bins: int) -> DataFrame:
     return dated.withColumn("before", F.lag("date").over(order)).where("before is null or before <> date").select("bin", "date")
 
 
+def width_for(start_ms: int, end_ms: int, bins: int) -> int:
+    """The least power of two, in milliseconds, at which bins that begin at its multiples are no more than ``bins``."""
+    width = 1
+    while end_ms // width - start_ms // width + 1 > max(1, bins):
+        width *= 2
+        if start_ms < 0 <= end_ms and width > end_ms and width >= -start_ms:
+            break  # what lies on both sides of 0 takes two bins at any width
+    return width
+
+
+def aligned(lines: DataFrame, bins: int) -> DataFrame:
+    """(time_ms, width_ms, level, n): bins of a power of two milliseconds, beginning at its multiples, as narrow as ``bins``
+    of them (two at least, where times lie on both sides of 0) can be. When the range grows bins only merge in pairs, so counts can be kept up to date."""
+    ends = lines.agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b")).first()
+    width = 1 if ends.a is None else width_for(ends.a, ends.b, bins)
+    return binned(lines.where("timestamp_ms is not null"), width)
+
+
+def binned(lines: DataFrame, width: int) -> DataFrame:
+    begin = F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(width).cast("long"))
+    return lines.groupBy(begin.alias("time_ms"), F.lit(width).cast("long").alias("width_ms"), "level").agg(F.count("*").alias("n"))
+
+
 def next_scale(highest_now: int, scale: int) -> int:
     """The chart's scale: it follows a maximum over 1.5 times, or under a third of, itself."""
     if scale <= 0 or highest_now > 1.5 * scale or highest_now < scale / 3:

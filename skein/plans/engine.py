@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skein.functions.levels import DEFAULT_LEVELS, LEVELS, toggled
 from skein.operators import clusters, histogram, lag, search, selection, store
+from skein.streaming.follow import Followed
 from skein.streaming.ingest import Sources
 
 
@@ -50,9 +51,10 @@ class Engine:
     Going back to offset 0 releases it. A page is kept until anything it depends on changes.
     """
 
-    def __init__(self, lines: DataFrame, lag_rows: DataFrame | None = None, pods: DataFrame | None = None, sources: Sources | None = None, begin: Callable[[str], StreamingQuery] | None = None):
+    def __init__(self, lines: DataFrame, lag_rows: DataFrame | None = None, pods: DataFrame | None = None, sources: Sources | None = None, begin: Callable[[str], StreamingQuery] | None = None, followed: Followed | None = None):
         self.lines, self.lag_rows, self.pods = lines, lag_rows, pods
         self.sources, self.begin = sources, begin
+        self.followed = followed
         self.levels: tuple[str, ...] = DEFAULT_LEVELS
         self.history = History()
         self.query, self.offset, self.as_of = "", 0, None
@@ -102,7 +104,10 @@ class Engine:
             self.as_of = max(0, min(int(top), (int(top) if self.as_of is None else self.as_of) - lines_back))
 
     def page(self, limit: int = search.PAGE) -> DataFrame:
-        """The lines at the current place, newest first."""
+        """The lines at the current place, newest first. Where the search is followed, its newest lines are at hand."""
+        f = self.followed
+        if f is not None and self.offset == 0 and (f.query, f.levels) == (self.query, self.levels) and limit <= f.limit and f.started():
+            return f.page().limit(limit)
         key = (self.query, self.levels, self.offset, self.as_of, limit)
         if self._page is None or self._page[0] != key:
             self._forget()
@@ -133,7 +138,7 @@ class Engine:
         as_json = lambda df: [json.loads(x.j) for x in df.select(F.to_json(F.struct("*")).alias("j")).collect()]  # noqa: E731  a page at most
         if action == "search":
             levels = r.get("levels")
-            found = search.search(self.lines, r.get("query", ""), self.levels if levels is None else levels, offset=offset, limit=min(int(r.get("length", 100)), search.PAGE))
+            found = search.search(self.lines, r.get("query", ""), self.levels if levels is None else levels, offset=offset, limit=length if "length" in r else 100)
             return json.dumps({"type": "logs", "logs": as_json(found.orderBy(*search.NEWEST))})
         if action == "listPods" and self.pods is not None:
             shown = selection.picked(self.pods, r.get("filter", "")).orderBy("name")

@@ -21,9 +21,9 @@ from skein.streaming.numbers import Ledger, numbered
 LATE = "older than the newest of its block"
 
 
-def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Store a stream's lines by source and level. ``then`` is called with each batch once it is
-    stored: a followed search goes on there. With ``once``, what is there is taken and the query ends.
+def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Store a stream's lines by source and level. ``then`` is called with each batch and its number once it is
+    stored: a followed search goes on there (see ``follow``). With ``once``, what is there is taken and the query ends.
     A batch is stored under its number and the checkpoint's, so one that is repeated replaces itself."""
     own = _own(checkpoint)
 
@@ -31,23 +31,23 @@ def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool =
         kept = rows.persist()
         write_lines(kept, path, f"{own}-{number}")
         if then is not None:
-            then(kept)
+            then(kept, number)
         kept.unpersist()
 
     return _begun(lines, checkpoint, name, once, batch)
 
 
-def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Decode a stream of raw pod lines (value, index_identifier, part, line; see ``sources.tail``) and store them.
     They are numbered by the store's ledger in the order of part and line. A line that can't be decoded, and one
     older than the newest of its source's and level's block (of ``block`` lines; with None none is late), is stored
-    alone, with the reason, below ``rejected``. ``then`` is called with the stored lines of each batch."""
+    alone, with the reason, below ``rejected``. ``then`` is called with the stored lines of each batch and its number."""
     lines = decoded_or_kept(raw.select("index_identifier", "value", "part", "line"))
     return _kept(lines, log_text(), path, rejected, checkpoint, name, once, block, then, "value", ["part"], "line")
 
 
 def start_records(
-    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK, then: Callable[[DataFrame], None] | None = None
+    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None
 ) -> StreamingQuery:
     """Decode a stream of rows like the Kafka source's and store them, numbered and late lines dropped as in
     ``start_raw``; the order of a partition is its offsets'. Below ``rejected``, if that is given, a record
@@ -59,7 +59,7 @@ def start_records(
 
 
 def _kept(
-    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame], None] | None, raw: str, parts: list[str], within: str
+    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame, int], None] | None, raw: str, parts: list[str], within: str
 ) -> StreamingQuery:
     """Store a stream of lines, numbered by ``parts`` and the number ``within``; those with a ``reason`` and late ones aren't stored."""
     own, ledger = _own(checkpoint), Ledger(lines.sparkSession, path)
@@ -76,7 +76,7 @@ def _kept(
             bad = all_rows.where("reason is not null or late").select("seq", "index_identifier", F.coalesce(raw, "message").alias("value"), F.coalesce("reason", F.lit(LATE)).alias("reason"))
             bad.write.mode("overwrite").parquet(f"{rejected}/part={own}-{number}")
         if then is not None:
-            then(good)
+            then(good, number)
         kept.unpersist()
 
     return _begun(marked, checkpoint, name, once, batch)

@@ -68,7 +68,7 @@ def test_ingest_stream(spark, tmp_path):
     schema = fixtures.log_lines(spark, SF).schema
     fixtures.log_lines(spark, SF).write.parquet(str(tmp_path / "in"))
     seen, sources = [], Sources(spark)
-    begin = lambda: start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "pods", once=True, then=lambda b: seen.append(b.count()))
+    begin = lambda: start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "pods", once=True, then=lambda b, n: seen.append(b.count()))
     sources.start("pods", begin)
     sources._running["pods"].awaitTermination()
     assert sum(seen) == 1000 == store.read_lines(spark, str(tmp_path / "out")).count()
@@ -105,7 +105,7 @@ def test_failed_sources_begin_again(spark, tmp_path):
     fixtures.log_lines(spark, SF).write.parquet(str(tmp_path / "in"))
     schema, calls, sources = fixtures.log_lines(spark, SF).schema, [], Sources(spark)
 
-    def then(batch):
+    def then(batch, number):
         calls.append(1)
         if len(calls) == 1:
             raise ValueError("once")

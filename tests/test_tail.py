@@ -65,7 +65,7 @@ def test_a_repeated_batch_gets_its_numbers_again(spark, tmp_path):
     f.put("a/0.log", "".join(line(i, f"line {i}") for i in range(30)))
     seen = []
 
-    def fail(batch):
+    def fail(batch, number):
         seen.append(sorted((r.seq, r.message) for r in batch.collect()))
         if len(seen) == 2:
             raise ValueError("stopped")
