@@ -136,6 +136,26 @@ def _gram_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matches(lines, "failure pod-2", levels=None).select("seq")
 
 
+@query("follow_page", f"WITH {_LOG} SELECT seq, timestamp_ms, level FROM logs WHERE {_has('user 1')} ORDER BY timestamp_ms DESC, seq DESC LIMIT 200")
+def _follow_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_query.followed_search(spark, sf_dir, '"user 1"', 200, 50).page().select("seq", "timestamp_ms", "level")
+
+
+_ALIGNED = """e AS (SELECT min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM m),
+w AS (SELECT min(w) AS w FROM (SELECT CAST(1 AS BIGINT) << unnest(range(0, 50)) AS w), e WHERE b // w - a // w + 1 <= 50)
+SELECT timestamp_ms // w * w AS time_ms, w AS width_ms, level, count(*) AS n FROM m, w GROUP BY ALL"""
+
+
+@query("follow_histogram", f"WITH {_LOG}, m AS (SELECT * FROM logs WHERE {_has('user 1')}), {_ALIGNED}")
+def _follow_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_query.followed_search(spark, sf_dir, '"user 1"', 200, 50).bins()
+
+
+@query("histogram_aligned", f"WITH {_LOG}, m AS (SELECT * FROM logs), {_ALIGNED}")
+def _histogram_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.aligned(_lines(spark, sf_dir), 50)
+
+
 # --- stored lines -----------------------------------------------------------
 
 

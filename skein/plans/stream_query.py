@@ -10,7 +10,8 @@ from skein.operators.store import read_lines
 from skein.plans.scratch import forget, fresh_path
 from skein.sources import fixtures
 from skein.sources.tail import tail
-from skein.streaming.ingest import drained, start_raw
+from skein.streaming.follow import Followed
+from skein.streaming.ingest import drained, start, start_raw
 from skein.streaming.late import stream_drop_late
 
 
@@ -70,3 +71,15 @@ def ingest_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         drained(start_raw(tail(spark, logs, progress, max_bytes=max(1 << 16, 60 * n)), out, bad, checkpoint, "ingest_raw_lines"))
     forget(spark, logs)
     return read_lines(spark, out).select("index_identifier", "level", "timestamp_ms", "message")
+
+
+def followed_search(spark: SparkSession, sf_dir: str, query: str, limit: int, bins: int) -> Followed:
+    """A search followed over the log lines, which arrive in five batches."""
+    incoming, out, state, checkpoint = (fresh_path(spark, n) for n in ("incoming", "lines", "followed", "checkpoint"))
+    lines = fixtures.log_lines(spark, sf_dir)
+    lines.repartition(5, "seq").write.parquet(incoming)
+    followed = Followed(spark, state, query, None, limit, bins)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", "1").parquet(incoming)
+    start(stream, out, checkpoint, "followed_search", once=True, then=followed.take).awaitTermination()
+    forget(spark, incoming)
+    return followed
