@@ -11,7 +11,7 @@ from skein.functions import scalars
 from skein.functions.levels import level_of_name, level_of_ordinal
 from skein.operators import clusters, codec, display, histogram, lag, search, selection, store, templates
 from skein.plans import stream_query
-from skein.sources import decode, fixtures, kafka
+from skein.sources import decode, dumps, fixtures, kafka
 from skein.sources.pods import inventory
 from skein.streaming.late import drop_late
 
@@ -307,6 +307,13 @@ def _lag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lag(spark, sf_dir)
 
 
+@query("lag_rows_dumped", f"WITH {_LAG} SELECT * FROM lag0")
+def _lag_rows_dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    committed = stream_query.dumped(fixtures.committed_offsets(spark, sf_dir), "group_id")
+    ends = stream_query.dumped(fixtures.end_offsets(spark, sf_dir), "topic")
+    return lag.lag_rows(dumps.committed(spark, committed), dumps.ends(spark, ends))
+
+
 @query("lag_nonzero", f"WITH {_LAG} SELECT group_id, topic, \"partition\", lag FROM lag0 WHERE lag > 0")
 def _lag_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lag.lagging(_lag(spark, sf_dir)).select("group_id", "topic", "partition", "lag")
@@ -405,6 +412,12 @@ def _pod_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory(fixtures.pods(spark, sf_dir))
 
 
+@query("pod_version_dumped", ORACLES["pod_version"])
+def _pod_version_dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    namespaced = fixtures.pods(spark, sf_dir).withColumn("namespace", F.concat(F.lit("ns/"), F.substring_index("image", ":", -1)))
+    return inventory(dumps.pods(spark, stream_query.dumped(namespaced, "namespace")))
+
+
 # --- text -------------------------------------------------------------------
 
 _ISO = "strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN timestamp_ms % 1000 = 0 THEN '' ELSE '.' || lpad(CAST(timestamp_ms % 1000 AS VARCHAR), 3, '0') END || 'Z'"

@@ -83,3 +83,10 @@ def followed_search(spark: SparkSession, sf_dir: str, query: str, limit: int, bi
     start(stream, out, checkpoint, "followed_search", once=True, then=followed.take).awaitTermination()
     forget(spark, incoming)
     return followed
+
+
+def dumped(rows: DataFrame, key: str) -> str:
+    """A dump of ``rows``, a folder for each value of ``key``; where it lies."""
+    path = fresh_path(rows.sparkSession, "dump")
+    rows.write.partitionBy(key).json(path)
+    return path

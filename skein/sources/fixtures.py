@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skein.sources.decode import numbered
 
+#: So many consumer groups at most; each is one of every partition.
+GROUPS = 1000
 #: Searchable fields in order.
 LOG_FIELDS = ("seq", "level", "timestamp_ms", "message", "index_identifier", "thread_name", "service_name", "service_version", "logger", "correlation_id", "request_id", "error_message", "stacktrace")
 KAFKA_FIELDS = ("seq", "level", "timestamp_ms", "message", "index_identifier", "topic", "key", "offset", "partition", "headers", "correlation_id", "request_id", "composite_event_id")
@@ -115,10 +117,13 @@ def end_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(group_id, topic, partition, current_offset): each order priority as a consumer group of every partition."""
-    groups = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("group_id")).distinct()
+    groups = [r.group_id for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("group_id")).distinct().limit(GROUPS + 1).collect()]
+    if len(groups) > GROUPS:
+        raise ValueError(f"over {GROUPS} consumer groups")
     behind = (F.ascii(F.substring("group_id", 1, 1)) * 7 + F.col("partition") * 31) % 150
     current = F.greatest(F.lit(0), F.col("end_offset") - behind).cast("long")
-    return groups.join(F.broadcast(end_offsets(spark, sf_dir)), F.lit(True)).select("group_id", "topic", "partition", current.alias("current_offset"))
+    every = F.explode(F.array(*map(F.lit, groups)).cast("array<string>")).alias("group_id")
+    return end_offsets(spark, sf_dir).select("*", every).select("group_id", "topic", "partition", current.alias("current_offset"))
 
 
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:

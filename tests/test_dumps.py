@@ -1,0 +1,38 @@
+import json
+
+import pytest
+
+from skein.sources.dumps import committed, ends
+
+
+@pytest.fixture
+def path(tmp_path):
+    for g in ("1", "b c", "d%2Fe"):
+        (tmp_path / f"group_id={g}").mkdir()
+        rows = [{"topic": t, "partition": p, "current_offset": p * 10, "more": [1]} for t in ("x", "y") for p in range(3)]
+        (tmp_path / f"group_id={g}" / "part-0.json").write_text("\n".join(map(json.dumps, rows)) + "\n")
+        (tmp_path / f"group_id={g}" / "_SUCCESS").write_text("")
+    (tmp_path / "group_id=d%2Fe" / "part-1.json").write_text('{"topic": null}\n\n{"topic": "z"}')
+    return tmp_path
+
+
+def test_all_groups(spark, path):
+    rows = committed(spark, str(path))
+    assert rows.count() == 20 and {r.group_id for r in rows.collect()} == {"1", "b c", "d/e"}
+    assert [tuple(r) for r in rows.where("topic = 'z' or topic is null").orderBy("topic").collect()] == [("d/e", None, None, None), ("d/e", "z", None, None)]
+
+
+def test_conditions_on_the_key_decide_what_is_read(spark, path):
+    (path / "group_id=1" / "part-0.json").write_text("no JSON")
+    rows = committed(spark, str(path))
+    one = rows.where("group_id = 'b c' and topic = 'y' and partition > 0")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(group_id" in plan and "PushedFilters: [IsNotNull(topic)" in plan
+    assert sorted(tuple(r) for r in one.collect()) == [("b c", "y", 1, 10), ("b c", "y", 2, 20)]
+    assert rows.where("group_id in ('b c', 'd/e', 'none')").count() == 14 and rows.where("group_id = 'none'").count() == 0
+    with pytest.raises(Exception, match="MALFORMED"):
+        rows.collect()
+
+
+def test_an_empty_folder(spark, tmp_path):
+    assert ends(spark, str(tmp_path)).count() == 0
