@@ -9,9 +9,7 @@ Each step takes at most ``max_bytes``, shared among the folders (a folder a pod)
 something new, so none waits for a busy one; of a folder, files come in the order in which they
 were found. Large files are read in parts of ``split_bytes``, each by its own task, in order.
 
-What was offered last is kept in ``progress``, a folder of the query's own beside its checkpoint:
-Spark asks for the next offset without saying where the query stands, and after a restart this
-file says so. It is written before an offset is offered and hence never behind the checkpoint.
+What was offered last is kept in ``progress``, a folder of the query's own (see ``progress.Progress``).
 
 Files are opened through pyarrow, by driver and executors: a path of one machine, or a URI of a
 store that all machines share.
@@ -19,15 +17,15 @@ store that all machines share.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 from hashlib import md5
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from skein.sources.progress import Progress, files, opened, shares
+
 FORMAT = "skein_log_tail"
 HEAD = 256
 CHUNK = 1 << 20
@@ -35,11 +33,6 @@ SCHEMA = "value string, index_identifier string, file string, position long, par
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def pod_of(path: str) -> str:
     """The folder's name; of a partition's folder (key=value) the value."""
     return path.rsplit("/", 2)[-2].rpartition("=")[2] if "/" in path else ""
@@ -53,21 +46,12 @@ class Part(InputPartition):
         self.number, self.path, self.first, self.start, self.end, self.last, self.head, self.n = number, path, first, start, end, last, head, n
 
 
-def _shares(wants: dict[str, int], total: int) -> dict[str, int]:
-    """``total`` shared out: who wants least comes first, and nobody gets more than wanted."""
-    out, left = {}, total
-    for i, (name, want) in enumerate(sorted(wants.items(), key=lambda x: (x[1], x[0]))):
-        out[name] = min(want, left // (len(wants) - i))
-        left -= out[name]
-    return out
-
-
 class Reader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
-        self._uri, self._kept = options["path"].rstrip("/"), options["progress"].rstrip("/")
+        self._progress = Progress(options["progress"])
         self._most, self._split = int(options["max_bytes"]), int(options["split_bytes"])
         self._lenient = options["fail_on_loss"] == "false"
-        self._fs, self._root = opened(self._uri)
+        self._fs, self._root = opened(options["path"].rstrip("/"))
         self._last: dict | None = None
         self._seen: dict[str, tuple] = {}  # files with nothing new, by size and time
 
@@ -78,33 +62,13 @@ class Reader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         if self._last is None:
-            self._last = self._load()
+            self._last = self._progress.load() or self.initialOffset()
         now = self._advanced(self._last)
         if now != self._last:
-            self._save(now)
+            self._progress.save(now)
             self._last = now
         return self._last
 
-    def _save(self, offset: dict) -> None:
-        where, folder = opened(self._kept)
-        where.create_dir(folder, recursive=True)
-        with where.open_output_stream(f"{folder}/new.json") as f:
-            f.write(json.dumps(offset).encode())
-        where.move(f"{folder}/new.json", f"{folder}/offset.json")
-
-    def _load(self) -> dict:
-        where, folder = opened(self._kept)
-        if where.get_file_info(f"{folder}/offset.json").type == fs.FileType.NotFound:
-            return self.initialOffset()
-        with where.open_input_stream(f"{folder}/offset.json") as f:
-            return json.loads(f.read())
-
-    def _found(self) -> dict[str, fs.FileInfo]:
-        every = self._fs.get_file_info(fs.FileSelector(self._root, recursive=True, allow_not_found=True))
-        shown = lambda path: not any(p[:1] in "._" for p in path.split("/")) and not path.endswith(".gz")
-        names = {f.path[len(self._root) :].lstrip("/"): f for f in every if f.is_file}
-        return {p: f for p, f in sorted(names.items()) if shown(p)}
-
     def _bytes(self, path: str, start: int, end: int) -> bytes:
         with self._fs.open_input_file(f"{self._root}/{path}") as f:
             return f.read_at(max(0, end - start), start)
@@ -113,35 +77,35 @@ class Reader(DataSourceStreamReader):
         return md5(self._bytes(path, 0, n)).hexdigest() if n else ""
 
     def _advanced(self, offset: dict) -> dict:
-        found, files, following = self._found(), {}, offset["next"]
+        found, known, following = {p: f for p, f in files(self._fs, self._root).items() if not p.endswith(".gz")}, {}, offset["next"]
         lost = []
         for number, e in offset["files"].items():
             info = found.get(e["path"])
             stays = info is not None and info.size >= e["at"] and (self._seen.get(e["path"]) == (info.size, info.mtime_ns) or self._head(e["path"], e["n"]) == e["head"])
             if stays:
-                files[number] = e
+                known[number] = e
             else:
                 lost.append((number, e))
                 self._seen.pop(e["path"], None)
-        taken = {e["path"] for e in files.values()}
+        taken = {e["path"] for e in known.values()}
         for path in found:
             if path in taken:
                 continue
             moved = next(((k, e) for k, e in lost if e["n"] and found[path].size >= e["at"] and self._head(path, e["n"]) == e["head"]), None)
             if moved:  # a rotated file
                 lost.remove(moved)
-                files[moved[0]] = moved[1] | {"path": path}
+                known[moved[0]] = moved[1] | {"path": path}
             else:
-                files[str(following)] = {"path": path, "at": 0, "head": "", "n": 0}
+                known[str(following)] = {"path": path, "at": 0, "head": "", "n": 0}
                 following += 1
-        news = {k: found[e["path"]].size - e["at"] for k, e in files.items() if self._seen.get(e["path"]) != (found[e["path"]].size, found[e["path"]].mtime_ns)}
+        news = {k: found[e["path"]].size - e["at"] for k, e in known.items() if self._seen.get(e["path"]) != (found[e["path"]].size, found[e["path"]].mtime_ns)}
         wants: dict[str, int] = {}
         for k, n in news.items():
-            pod = pod_of("/" + files[k]["path"])
+            pod = pod_of("/" + known[k]["path"])
             wants[pod] = wants.get(pod, 0) + n
-        left = _shares(wants, self._most)
+        left = shares(wants, self._most)
         for k in sorted(news, key=int):
-            e, info = files[k], found[files[k]["path"]]
+            e, info = known[k], found[known[k]["path"]]
             pod = pod_of("/" + e["path"])
             if news[k] and left[pod] <= 0:
                 continue
@@ -151,9 +115,9 @@ class Reader(DataSourceStreamReader):
                 self._seen[e["path"]] = (info.size, info.mtime_ns)
             if end > e["at"]:
                 n = max(e["n"], min(HEAD, end))
-                files[k] = {"path": e["path"], "at": end, "head": e["head"] if n == e["n"] else self._head(e["path"], n), "n": n}
+                known[k] = {"path": e["path"], "at": end, "head": e["head"] if n == e["n"] else self._head(e["path"], n), "n": n}
                 left[pod] -= end - e["at"]
-        return {"files": files, "next": following}
+        return {"files": known, "next": following}
 
     def _line_end(self, path: str, start: int, limit: int, size: int) -> int:
         """Behind the last line end before ``limit``; where a line is longer, behind its own; ``start`` where there is none."""

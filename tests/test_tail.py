@@ -5,7 +5,8 @@ import os
 import pytest
 
 from skein.operators.store import read_lines
-from skein.sources.tail import Reader, _shares, tail
+from skein.sources.progress import shares
+from skein.sources.tail import Reader, tail
 from skein.streaming.ingest import LATE, drained, start_raw
 from skein.streaming.late import fold
 
@@ -125,7 +126,7 @@ def test_parts_share_lines_out(tmp_path, split):
 
 
 def test_a_step_is_shared_among_pods(tmp_path):
-    assert _shares({"a": 1000, "b": 10, "c": 500}, 300) == {"b": 10, "c": 145, "a": 145}
+    assert shares({"a": 1000, "b": 10, "c": 500}, 300) == {"b": 10, "c": 145, "a": 145}
     for pod, n in (("a", 100), ("b", 1)):
         (tmp_path / "logs" / pod).mkdir(parents=True)
         (tmp_path / "logs" / pod / "0.log").write_text("0123456789\n" * n + "x" * 200 + "\n")
