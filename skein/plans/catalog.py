@@ -226,6 +226,14 @@ o AS (SELECT index_identifier, CASE seq % 4 WHEN 2 THEN 'UNKNOWN' ELSE level END
 {_FOLD} SELECT index_identifier, level, timestamp_ms, message FROM f WHERE ok"""
 
 
+QUERIES["ingest_records"] = stream_query.ingest_records
+ORACLES["ingest_records"] = f"""WITH RECURSIVE {_BASE}, {_KAFKA},
+e AS (SELECT (max("offset") + 1) // 3 AS third, (min(timestamp_ms) + max(timestamp_ms)) // 2 AS since FROM kafs),
+b AS (SELECT index_identifier, coalesce(min("offset") FILTER (timestamp_ms >= since), max("offset") + 1) AS begins FROM kafs, e WHERE "offset" < third GROUP BY 1),
+o AS (SELECT k.index_identifier, level, timestamp_ms, composite_event_id, message, seq, "offset" AS arrival FROM kafs k LEFT JOIN b ON b.index_identifier = k.index_identifier WHERE "offset" >= coalesce(begins, 0)),
+{_FOLD} SELECT composite_event_id, timestamp_ms, message FROM f WHERE ok"""
+
+
 @query("block_numbers", f"WITH {_LOG}, b AS (SELECT *, (row_number() OVER (PARTITION BY index_identifier, level ORDER BY seq) - 1) // 4096 AS block FROM logs) SELECT index_identifier, level, block, count(*) AS n, min(seq) AS min_seq, max(seq) AS max_seq, max(timestamp_ms) AS max_timestamp FROM b GROUP BY ALL")
 def _block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.block_numbers(_lines(spark, sf_dir))

@@ -9,9 +9,10 @@ from skein.functions.scalars import millis_iso
 from skein.operators.store import read_lines
 from skein.plans.scratch import forget, fresh_path
 from skein.sources import fixtures
+from skein.sources.records import record_stream, write_records
 from skein.sources.tail import tail
 from skein.streaming.follow import Followed
-from skein.streaming.ingest import drained, start, start_raw
+from skein.streaming.ingest import drained, start, start_raw, start_records
 from skein.streaming.late import stream_drop_late
 
 
@@ -90,3 +91,18 @@ def dumped(rows: DataFrame, key: str) -> str:
     path = fresh_path(rows.sparkSession, "dump")
     rows.write.partitionBy(key).json(path)
     return path
+
+
+def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files, added in three steps, followed from the middle of the time range on by a source that is
+    stopped between them, in bounded batches; late records stay out. What is stored then."""
+    log, out, progress, checkpoint = (fresh_path(spark, n) for n in ("log", "lines", "progress", "checkpoint"))
+    records = fixtures.kafka_records(spark, sf_dir)
+    ends = records.agg(F.max("offset").alias("offset"), F.unix_millis(F.min("timestamp")).alias("a"), F.unix_millis(F.max("timestamp")).alias("b"), F.count("*").alias("n")).first()
+    third = (ends.offset + 1) // 3
+    for step in range(3):
+        write_records(records.where((F.col("offset") >= step * third) & (F.col("offset") < (step + 1) * third if step < 2 else F.lit(True))), log)
+        stream = record_stream(spark, log, progress, since_ms=(ends.a + ends.b) // 2, max_records=max(1000, ends.n // 4))
+        drained(start_records(stream, out, checkpoint, "ingest_records"))
+    forget(spark, log)
+    return read_lines(spark, out).select("composite_event_id", "timestamp_ms", "message")
