@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.levels import DEFAULT_LEVELS
 from skein.functions.scalars import grams
+from skein.operators import skipping, store
 from skein.operators.query import Query, parse
 
 #: Fixed value: rows of a page.
@@ -53,6 +54,17 @@ def search_by_time(lines: DataFrame, query: str | Query = "", levels: Sequence[s
     return (near.offset(offset) if offset > 0 else near).limit(limit)
 
 
+def stored_matches(spark: SparkSession, path: str, query: str | Query = "", levels: Sequence[str] | None = DEFAULT_LEVELS, as_of_seq: int | None = None, where: Column | None = None) -> DataFrame:
+    """The stored lines that fit; files whose trigrams rule them out aren't opened."""
+    q = parse(query) if isinstance(query, str) else query
+    lines = store.read_lines(spark, path)
+    every = lines.inputFiles()
+    chosen = skipping.candidate_files(spark, path, lines, q)
+    if len(chosen) < len(every):
+        lines = store.read_lines(spark, path, skipping.readable(chosen)) if chosen else lines.where(F.lit(False))
+    return matches(lines, q, levels, as_of_seq, where)
+
+
 def visible(page: DataFrame, length: int) -> DataFrame:
     """The first ``length`` rows of a page, oldest first."""
     return page.orderBy(*newest_first()).limit(length).orderBy(*NEWEST)

@@ -6,25 +6,59 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skein.operators import skipping
+from skein.plans.folders import Folders
 from skein.sources.decode import numbered
 
 #: Fixed value: lines of a block.
 BLOCK = 4096
+#: What Spark leaves in a folder whose files are all there.
+DONE = "_SUCCESS"
 
 
-def write_lines(lines: DataFrame, path: str, part: str | None = None, rows_per_file: int = 0) -> None:
+def write_lines(lines: DataFrame, path: str, part: str | None = None, rows_per_file: int = 0, grams: bool = False) -> None:
     """Store lines by source and level, so that both are read only where they are asked for. Rows of one
-    source and level are spread by a hash of seq, over as many tasks as the session shuffles to. What is
-    stored under a name ``part`` takes the place of what was, so a repeated write changes nothing."""
-    spread = F.pmod(F.xxhash64("seq"), F.lit(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = lines.repartition("index_identifier", "level", spread).sortWithinPartitions("index_identifier", "level", "seq")
-    where = f"{path}/part={part or 'p-' + uuid.uuid4().hex}"
-    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("index_identifier", "level").parquet(where)
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("part")
+    source and level are spread by a hash of seq, over as many tasks as the session shuffles to. A part is
+    there for readers once all of it is written; one that is there isn't written again, so a repeated
+    batch changes nothing. With ``grams`` the files' trigrams are stored too (see ``skipping``)."""
+    spark, name = lines.sparkSession, part or "p-" + uuid.uuid4().hex
+    if not Folders(spark, path).exists(f"part={name}/{DONE}"):
+        spread = F.pmod(F.xxhash64("seq"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = lines.repartition("index_identifier", "level", spread).sortWithinPartitions("index_identifier", "level", "seq")
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("index_identifier", "level").parquet(f"{path}/part={name}")
+    if grams:
+        skipping.write_grams(spark, path, name)
+
+
+def read_lines(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """The lines of the parts that are complete, or of these files of theirs."""
+    folders = Folders(spark, path)
+    parts = [f"{path}/{p.rsplit('/', 1)[0]}" for p in folders.match(f"part=*/{DONE}")] if files is None else files
+    kept = lambda: spark.read.option("basePath", path)
+    found = kept().parquet(*parts) if parts else spark.read.parquet(path)
+    text = {"index_identifier", "level", "part"}  # whatever they look like
+    if any(f.name in text and f.dataType != T.StringType() for f in found.schema):
+        schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in found.schema])
+        found = kept().schema(schema).parquet(*parts)
+    return found.drop("part")
+
+
+def clear_stored(spark: SparkSession, path: str, name: str) -> None:
+    """Delete a source's stored lines; other sources' files stay as they are, and what comes later is stored."""
+    folders = Folders(spark, path)
+    own = folders.key_folder("index_identifier", name)
+    for folder in folders.match("part=*"):
+        folders.delete(f"{folder}/{own}")
+
+
+def clear_stored_topic(spark: SparkSession, path: str, topic: str) -> None:
+    """Delete the stored lines of a topic's partitions."""
+    folders = Folders(spark, path)
+    for folder in folders.match("part=*/index_identifier=*"):
+        if folders.value_of(folder.rsplit("/", 1)[1]).startswith(f"{topic}#"):
+            folders.delete(folder)
 
 
 def clear_source(lines: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars
 from skein.functions.levels import level_of_name, level_of_ordinal
-from skein.operators import clusters, codec, display, histogram, lag, search, selection, store, templates
+from skein.operators import clusters, codec, display, histogram, lag, search, selection, skipping, store, templates
 from skein.plans import stream_query
 from skein.sources import decode, dumps, fixtures, kafka
 from skein.sources.pods import inventory
@@ -127,11 +127,16 @@ def _union_sources_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gram_df", r"SELECT g AS gram, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, length(s) - 1)), lambda i: substr(s, i, 3))) AS g FROM (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS s FROM documents) WHERE length(s) > 0) GROUP BY g")
 def _gram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.explode(scalars.grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return skipping.gram_counts(docs, F.col("text"))
 
 
 @query("gram_prefilter", f"WITH {_LOG} SELECT seq FROM logs WHERE {_has('failure')} AND {_has('pod-2')}")
 def _gram_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.stored_matches(spark, stream_query.stored_lines(spark, sf_dir), "failure pod-2", levels=None).select("seq")
+
+
+@query("gram_column", f"WITH {_LOG} SELECT seq FROM logs WHERE {_has('failure')} AND {_has('pod-2')}")
+def _gram_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = search.gram_candidates(search.with_grams(_lines(spark, sf_dir)), "failure pod-2")
     return search.matches(lines, "failure pod-2", levels=None).select("seq")
 
@@ -176,8 +181,7 @@ def _indexed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stored_search", f"WITH {_LOG} SELECT seq FROM logs WHERE level = 'ERROR' AND index_identifier = 'pod-1' AND {_has('failure code 3')}")
 def _stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = stream_query.fresh_path(spark, "lines")
-    store.write_lines(_lines(spark, sf_dir), path)
+    path = stream_query.stored_lines(spark, sf_dir)
     held = store.read_lines(spark, path).where("index_identifier = 'pod-1'")
     return search.matches(held, '"failure code 3"', ["ERROR"]).select("seq")
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +19,8 @@ from skein.operators import clusters, histogram, lag, search, selection, store
 from skein.streaming.follow import Followed
 from skein.streaming.ingest import Sources
 
+T = TypeVar("T")
+
 
 @dataclass
 class History:
@@ -43,24 +48,58 @@ class History:
         return self.entries[self.at]
 
 
+class Superseded(Exception):
+    """A newer search has taken this one's place."""
+
+
+class Newest:
+    """Runs one piece of work at a time: whoever comes later cancels the jobs of who is at it."""
+
+    def __init__(self, spark: SparkSession):
+        self._context, self._name = spark.sparkContext, f"skein-{uuid.uuid4().hex}"
+        self._lock, self._turn = threading.Lock(), 0
+
+    def run(self, work: Callable[[], T]) -> T:
+        with self._lock:
+            before, self._turn = self._turn, self._turn + 1
+            turn = self._turn
+        self._context.cancelJobsWithTag(f"{self._name}-{before}")
+        tag = f"{self._name}-{turn}"
+        self._context.addJobTag(tag)
+        self._context.setInterruptOnCancel(True)
+        try:
+            result = work()
+        except Exception as e:
+            if turn != self._turn:
+                raise Superseded from e
+            raise
+        finally:
+            self._context.removeJobTag(tag)
+        if turn != self._turn:
+            raise Superseded
+        return result
+
+
 class Engine:
     """Lines (and, where given, lag rows and pods) with the state of a search over them. With ``sources``
-    and ``begin``, which starts the stream of a pod, pods can be listened to.
+    and ``begin``, which starts the stream of a pod, pods can be listened to. With ``store_path``, where
+    the lines are stored, clearing deletes files.
 
     Paging away from the newest lines fixes a snapshot: later lines don't shift the pages.
     Going back to offset 0 releases it. A page is kept until anything it depends on changes.
     """
 
-    def __init__(self, lines: DataFrame, lag_rows: DataFrame | None = None, pods: DataFrame | None = None, sources: Sources | None = None, begin: Callable[[str], StreamingQuery] | None = None, followed: Followed | None = None):
+    def __init__(self, lines: DataFrame, lag_rows: DataFrame | None = None, pods: DataFrame | None = None, sources: Sources | None = None, begin: Callable[[str], StreamingQuery] | None = None, followed: Followed | None = None, store_path: str | None = None):
         self.lines, self.lag_rows, self.pods = lines, lag_rows, pods
         self.sources, self.begin = sources, begin
-        self.followed = followed
+        self.followed, self.store_path = followed, store_path
         self.levels: tuple[str, ...] = DEFAULT_LEVELS
         self.history = History()
         self.query, self.offset, self.as_of = "", 0, None
         self.kafka_days = 1
         self.seconds = 0.0
         self._page: tuple[tuple, DataFrame] | None = None
+        self._newest = Newest(lines.sparkSession)
 
     def replace_lines(self, lines: DataFrame) -> None:
         """Lines have come or gone."""
@@ -79,10 +118,18 @@ class Engine:
         self.levels = LEVELS
 
     def clear(self, source: str) -> None:
-        self.replace_lines(store.clear_source(self.lines, source))
+        if self.store_path is None:
+            self.replace_lines(store.clear_source(self.lines, source))
+        else:
+            store.clear_stored(self.lines.sparkSession, self.store_path, source)
+            self.replace_lines(store.read_lines(self.lines.sparkSession, self.store_path))
 
     def clear_topic(self, topic: str) -> None:
-        self.replace_lines(store.clear_topic(self.lines, topic))
+        if self.store_path is None:
+            self.replace_lines(store.clear_topic(self.lines, topic))
+        else:
+            store.clear_stored_topic(self.lines.sparkSession, self.store_path, topic)
+            self.replace_lines(store.read_lines(self.lines.sparkSession, self.store_path))
 
     def enter(self, text: str) -> None:
         self.history.enter(text)
@@ -104,16 +151,21 @@ class Engine:
             self.as_of = max(0, min(int(top), (int(top) if self.as_of is None else self.as_of) - lines_back))
 
     def page(self, limit: int = search.PAGE) -> DataFrame:
-        """The lines at the current place, newest first. Where the search is followed, its newest lines are at hand."""
+        """The lines at the current place, newest first. Where the search is followed, its newest lines are at hand.
+        Of searches from several threads the newest wins: one that is at work is cancelled, and raises Superseded."""
         f = self.followed
         if f is not None and self.offset == 0 and (f.query, f.levels) == (self.query, self.levels) and limit <= f.limit and f.started():
             return f.page().limit(limit)
         key = (self.query, self.levels, self.offset, self.as_of, limit)
         if self._page is None or self._page[0] != key:
-            self._forget()
             began = time.perf_counter()
             found = search.search(self.lines, self.query, self.levels, self.as_of, offset=self.offset, limit=limit).persist()
-            found.count()
+            try:
+                self._newest.run(found.count)
+            except Superseded:
+                found.unpersist()
+                raise
+            self._forget()
             self.seconds = time.perf_counter() - began
             self._page = key, found
         return self._page[1]

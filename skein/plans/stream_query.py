@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import millis_iso
-from skein.operators.store import read_lines
+from skein.operators.store import read_lines, write_lines
 from skein.plans.scratch import forget, fresh_path
 from skein.sources import fixtures
 from skein.sources.records import record_stream, write_records
@@ -106,3 +106,16 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         drained(start_records(stream, out, checkpoint, "ingest_records"))
     forget(spark, log)
     return read_lines(spark, out).select("composite_event_id", "timestamp_ms", "message")
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Where the log lines are stored, with their trigrams; they are stored once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        path = fresh_path(spark, "lines")
+        write_lines(fixtures.log_lines(spark, sf_dir), path, grams=True)
+        _STORES[key] = path
+    return _STORES[key]

@@ -21,15 +21,16 @@ from skein.streaming.numbers import Ledger, numbered
 LATE = "older than the newest of its block"
 
 
-def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False) -> StreamingQuery:
     """Store a stream's lines by source and level. ``then`` is called with each batch and its number once it is
     stored: a followed search goes on there (see ``follow``). With ``once``, what is there is taken and the query ends.
-    A batch is stored under its number and the checkpoint's, so one that is repeated replaces itself."""
-    own = _own(checkpoint)
+    A batch is stored under its number and the stream's, so one that is repeated changes nothing.
+    With ``grams``, here and below, trigrams are stored beside the lines (see ``operators.skipping``)."""
+
 
     def batch(rows: DataFrame, number: int) -> None:
         kept = rows.persist()
-        write_lines(kept, path, f"{own}-{number}")
+        write_lines(kept, path, f"{_own(rows)}-{number}", grams=grams)
         if then is not None:
             then(kept, number)
         kept.unpersist()
@@ -37,17 +38,17 @@ def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool =
     return _begun(lines, checkpoint, name, once, batch)
 
 
-def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False) -> StreamingQuery:
     """Decode a stream of raw pod lines (value, index_identifier, part, line; see ``sources.tail``) and store them.
     They are numbered by the store's ledger in the order of part and line. A line that can't be decoded, and one
     older than the newest of its source's and level's block (of ``block`` lines; with None none is late), is stored
     alone, with the reason, below ``rejected``. ``then`` is called with the stored lines of each batch and its number."""
     lines = decoded_or_kept(raw.select("index_identifier", "value", "part", "line"))
-    return _kept(lines, log_text(), path, rejected, checkpoint, name, once, block, then, "value", ["part"], "line")
+    return _kept(lines, log_text(), path, rejected, checkpoint, name, once, block, then, grams, "value", ["part"], "line")
 
 
 def start_records(
-    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None
+    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False
 ) -> StreamingQuery:
     """Decode a stream of rows like the Kafka source's and store them, numbered and late lines dropped as in
     ``start_raw``; the order of a partition is its offsets'. Below ``rejected``, if that is given, a record
@@ -55,23 +56,23 @@ def start_records(
     rows = records.drop("seq")
     whole = F.to_json(F.struct(*(F.col(c) for c in rows.columns)))
     lines = decode_records(rows.select("*", misplaced().alias("reason"), F.when(misplaced().isNotNull(), whole).alias("record")), avro_text, keep=("reason", "record"))
-    return _kept(lines, kafka_text(), path, rejected, checkpoint, name, once, block, then, "record", ["topic", "partition"], "offset")
+    return _kept(lines, kafka_text(), path, rejected, checkpoint, name, once, block, then, grams, "record", ["topic", "partition"], "offset")
 
 
 def _kept(
-    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame, int], None] | None, raw: str, parts: list[str], within: str
+    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame, int], None] | None, grams: bool, raw: str, parts: list[str], within: str
 ) -> StreamingQuery:
     """Store a stream of lines, numbered by ``parts`` and the number ``within``; those with a ``reason`` and late ones aren't stored."""
-    own, ledger = _own(checkpoint), Ledger(lines.sparkSession, path)
+    ledger = Ledger(lines.sparkSession, path)
     keyed = lines.withColumn("level", F.when(F.col("reason").isNull(), F.col("level")))
     marked = keyed.withColumn("late", F.lit(False)) if block is None else stream_marked(keyed, [*parts, within], block)
 
     def batch(rows: DataFrame, number: int) -> None:
-        kept = rows.persist()
+        kept, own = rows.persist(), _own(rows)
         all_rows = numbered(kept, ledger, own, number, parts, within)
         gone = ("reason", "late", raw, *(("part", "line") if raw == "value" else ()))
         good = all_rows.where("reason is null and not late").drop(*gone).withColumn("search_text", search_text)
-        write_lines(good, path, f"{own}-{number}")
+        write_lines(good, path, f"{own}-{number}", grams=grams)
         if rejected is not None:
             bad = all_rows.where("reason is not null or late").select("seq", "index_identifier", F.coalesce(raw, "message").alias("value"), F.coalesce("reason", F.lit(LATE)).alias("reason"))
             bad.write.mode("overwrite").parquet(f"{rejected}/part={own}-{number}")
@@ -82,8 +83,9 @@ def _kept(
     return _begun(marked, checkpoint, name, once, batch)
 
 
-def _own(checkpoint: str) -> str:
-    return md5(checkpoint.encode()).hexdigest()[:12]
+def _own(rows: DataFrame) -> str:
+    """A name for the stream that a batch belongs to; it is the checkpoint's, whatever its path."""
+    return md5(rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId").encode()).hexdigest()[:12]
 
 
 def drained(query: StreamingQuery) -> None:

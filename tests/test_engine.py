@@ -1,8 +1,10 @@
 import json
+import threading
+import time
 
 from skein.operators import lag
 from skein.operators.store import read_lines
-from skein.plans.engine import Engine, History
+from skein.plans.engine import Engine, History, Superseded
 from skein.sources import fixtures
 from skein.sources.pods import inventory
 from skein.sources.tail import tail
@@ -63,6 +65,34 @@ def test_requests(spark):
     assert ask(action="refreshLogGroups")["clusters"][0]["n"] > 0 and ask(action="unlistenPod", pod="click#0")["lines"] < 1000
 
 
+def test_the_newest_search_wins(spark):
+    slow = fixtures.log_lines(spark, SF).where("coalesce(reflect('java.lang.Thread', 'sleep', 100L), '') <> 'x'")  # 100 s
+    e, ends = Engine(slow), {}
+
+    def look():
+        try:
+            e.page(5)
+        except Superseded:
+            ends["slow"] = time.monotonic()
+
+    thread = threading.Thread(target=look, daemon=True)
+    thread.start()
+    time.sleep(3)
+    assert thread.is_alive()
+    e.lines, e.query = fixtures.log_lines(spark, SF), "error"
+    began = time.monotonic()
+    rows = e.page(5).collect()
+    thread.join(30)
+    assert ends["slow"] - began < 1 and len(rows) == 5 and all("error" in r.search_text for r in rows) and e.page(5).collect() == rows
+
+
+def test_requests_with_odd_lengths(spark):
+    e = Engine(fixtures.log_lines(spark, SF))
+    e.all_levels()
+    ask = lambda **r: json.loads(e.request(json.dumps(r)))["logs"]
+    assert ask(action="search", length=-5) == [] and len(ask(action="search")) == 100 and len(ask(action="search", length=10**9)) == 1000
+
+
 def test_pods_can_be_listened_to(spark, tmp_path):
     (tmp_path / "logs" / "pod-x").mkdir(parents=True)
     (tmp_path / "logs" / "pod-x" / "0.log").write_text("2024-01-01T00:00:00Z hello\n")
