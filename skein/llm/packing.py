@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 from zlib import crc32
 
 import numpy as np
@@ -27,23 +28,31 @@ from pyspark.sql import functions as F
 from skein.llm.common import table
 from skein.llm.tokens import Ids
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence may hold. A loss-bearing token is one that has a predecessor in its piece
-    and, where the rows say which tokens bear loss, is one of those."""
+    """What a sequence may hold, each 1 at least. A loss-bearing token is one that has a predecessor in its
+    piece and, where the rows say which parts of the text bear loss, begins in one of those."""
 
     tokens: int = 1024
     segments: int = 64
     loss_tokens: int = 1024
     pool: int = 2048
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss_tokens, self.pool) < 1:
+            raise ValueError(f"each limit is 1 at least: {self}")
+
 
-def pack_pool(tokens: np.ndarray, loss: np.ndarray, limits: Limits, last: bool = True) -> list[list[tuple[int, int, int]]]:
+def pack_pool(tokens: np.ndarray, loss: np.ndarray, limits: Limits, last: bool = True, borne: list[np.ndarray | None] | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences, each a list of (item, start within the item, length).
 
-    Items longer than a sequence are cut at its length first. Cutting puts loss
-    in proportion to length, rounded up. With ``last`` false, the sequence that
+    Items longer than a sequence are cut at its length first. ``borne`` gives, for each item, how many
+    of its first 0, 1, ... tokens bear loss; an item without it has its loss in proportion to length,
+    rounded up. With ``last`` false, the sequence that
     could not be filled is left out: its items (or what is left of them) are the
     tail that the caller carries on, as are all others not mentioned.
     """
@@ -53,7 +62,10 @@ def pack_pool(tokens: np.ndarray, loss: np.ndarray, limits: Limits, last: bool =
     done: list[list[tuple[int, int, int]]] = []
 
     def take(i: int, n: int) -> tuple[int, int, int]:
-        part = int(left_l[i]) if n == left_t[i] else int(-(-left_l[i] * n // left_t[i]))
+        if borne is not None and borne[i] is not None:
+            part = int(borne[i][start[i] + n] - borne[i][start[i]])
+        else:
+            part = int(left_l[i]) if n == left_t[i] else int(-(-left_l[i] * n // left_t[i]))
         got = (i, int(start[i]), int(n))
         start[i] += n
         left_t[i] -= n
@@ -78,7 +90,9 @@ def pack_pool(tokens: np.ndarray, loss: np.ndarray, limits: Limits, last: bool =
                 score = np.minimum(left_t[live], room[0]) * (weight[0] / cap[0]) - left_l[live] * (1 - weight[2]) / cap[2]
                 i = int(live[np.argmax(score)])
                 n = int(min(left_t[i], room[0]))
-                if left_l[i]:
+                if borne is not None and borne[i] is not None:
+                    n = min(n, int(np.searchsorted(borne[i], borne[i][start[i]] + room[2], "right")) - 1 - int(start[i]))
+                elif left_l[i]:
                     n = min(n, int(room[2] * left_t[i] // left_l[i]))
                 if n <= 0:
                     break
@@ -109,19 +123,20 @@ def powers_of_two(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int,
 
 
 def _pool_rows(items: list[tuple], limits: Limits, last: bool):
-    """(rows, carried): items are (doc_id, start, ids, loss, doc_tokens, key)."""
+    """(rows, carried): items are (doc_id, start, ids, loss, doc_tokens, borne)."""
     tokens = np.array([len(x[2]) for x in items], np.int64)
     loss = np.array([x[3] for x in items], np.int64)
-    sequences = pack_pool(tokens, loss, limits, last)
+    sequences = pack_pool(tokens, loss, limits, last, [x[5] for x in items])
     used = np.zeros(len(items), np.int64)
     for sequence in sequences:
         for i, _, n in sequence:
             used[i] += n
     carried = []
     for k in np.flatnonzero(used < tokens):
-        d, at, ids, lost, total = items[k]
+        d, at, ids, lost, total, borne = items[k]
         n = int(used[k])
-        carried.append((d, at + n, ids[n:], max(0, lost - -(-lost * n // len(ids))), total))
+        left = max(0, lost - -(-lost * n // len(ids))) if borne is None else int(borne[-1] - borne[n])
+        carried.append((d, at + n, ids[n:], left, total, None if borne is None else borne[n:]))
     cut = []
     for sequence in sequences:
         short = sum(n for _, _, n in sequence)
@@ -132,11 +147,26 @@ def _pool_rows(items: list[tuple], limits: Limits, last: bool):
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0) -> DataFrame:
+def borne_by(one: Tokenizer, text: str, parts: list) -> np.ndarray:
+    """How many of the first 0, 1, ... tokens of ``text``, the end id included, begin in one of ``parts``."""
+    starts = np.array([a for a, _ in one.encode(text, add_special_tokens=False).offsets] + [len(text)], np.int64)
+    bears = np.zeros(len(starts), np.int64)
+    for p in parts:
+        if p is not None and p["start"] is not None and p["end"] is not None:
+            bears |= (starts >= p["start"]) & (starts < p["end"])
+    return np.concatenate([[0], np.cumsum(bears)])
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, loss: str | None = None) -> DataFrame:
     """One row for each piece of each row of ``docs`` (doc_id, text).
 
+    ``loss`` names a column, an array of structs (start, end) in characters: the parts of the text whose
+    tokens bear loss. Where it is null, and without it, all do. Parts may overlap; one that lacks an end
+    counts for nothing. A piece's first token bears none, which a cut may bring below the limit.
+
     A null text counts as empty and gives the end id alone. A null doc_id stays
-    null; repeated rows are packed each for itself. An empty table gives no row.
+    null; repeated rows are packed each for itself. Very long texts are cut into pieces. Other
+    columns, whatever their names, are not looked at. An empty table gives no row.
     ``sequence_id`` is unique over the result: the task's number in the high 31
     bits, the sequence's number within the task in the low 32.
     """
@@ -144,8 +174,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from tokenizers import Tokenizer
 
         ids_of = Ids(tokenizer, "byte", "<u4")
+        one = Tokenizer.from_file(tokenizer) if loss is not None else None
         end = np.array([end_id], "<u4")
         context = TaskContext.get()
         sequence_id = (context.partitionId() if context else 0) << 32
@@ -161,22 +193,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             for sequence in sequences:
                 offset = 0
                 for i, at, n in sequence:
-                    d, base, ids, _, total = items[i]
-                    rows.append((d, base + at, n, crc32(ids[at : at + n].tobytes()), total, sequence_id, offset, n - 1))
+                    d, base, ids, _, total, borne = items[i]
+                    lost = n - 1 if borne is None else int(borne[at + n] - borne[at + 1])
+                    rows.append((d, base + at, n, crc32(ids[at : at + n].tobytes()), total, sequence_id, offset, lost))
                     offset += n
                 sequence_id += 1
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for d, text, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.concatenate([np.frombuffer(ids_of(text or ""), "<u4"), end])
                 total, at = len(ids), 0
+                borne = None if parts is None else borne_by(one, text or "", parts)
                 while total - at >= limits.tokens and limits.loss_tokens >= limits.tokens - 1:
                     piece = ids[at : at + limits.tokens]
-                    rows.append((d, at, limits.tokens, crc32(piece.tobytes()), total, sequence_id, 0, limits.tokens - 1))
+                    rows.append((d, at, limits.tokens, crc32(piece.tobytes()), total, sequence_id, 0, limits.tokens - 1 if borne is None else int(borne[at + limits.tokens] - borne[at + 1])))
                     sequence_id += 1
                     at += limits.tokens
                 if at < total:
-                    pool.append((d, at, ids[at:], total - at - 1, total))
+                    pool.append((d, at, ids[at:], total - at - 1 if borne is None else int(borne[-1] - borne[at]), total, None if borne is None else borne[at:]))
                 if len(pool) >= limits.pool:
                     close(False)
                 if len(rows) >= 20_000:
@@ -187,7 +221,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         if rows:
             yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    parts = F.lit(None) if loss is None else F.col(loss)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), parts.cast("array<struct<start:long,end:long>>")).mapInArrow(run, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,17 +36,39 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([*means, *spread], axis=1) if parts else np.zeros((len(x), 1))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> int:
+    """The inner product, as the nearest number that a long can hold."""
+    return max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(a, b))))
+
+
+def _plain_block(own: int, query: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(rows != own)
+    got = [_product(vectors[j], query) for j in left]
+    best = sorted(range(len(left)), key=lambda j: (-got[j], ids[left[j]]))[:k]
+    return ids[left[best]], np.array([got[j] for j in best], np.int64)
+
+
+def _stacked(vectors: list) -> np.ndarray:
+    """Whole numbers, given as long or double, as 64-bit integers if doubles hold them exactly, else as Python's."""
+    held = np.stack([np.asarray(v) for v in vectors])
+    if held.dtype.kind == "i" or np.abs(held).max(initial=0) < 2.0**53:
+        return held.astype(np.int64)
+    return np.array([[int(x) for x in v] for v in held], dtype=object)
+
+
 def search_block(own: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of each query's best k of the block, best first, ties to smaller ids; its own row left out."""
     order = np.argsort(ids, kind="stable")
     rows, ids, vectors = rows[order], ids[order], vectors[order]
+    if object in (vectors.dtype, queries.dtype):  # numbers of any size: no bounds, plain integers
+        return [_plain_block(own[i], queries[i], rows, ids, vectors, k) for i in range(len(own))]
     exact = vectors.astype(np.float64)  # sums of integer products below 2^53 are exact
     mine = queries.astype(np.float64)
     whole = float(np.abs(exact).max(initial=0)) * float(np.abs(mine).max(initial=0)) * max(1, exact.shape[1]) < 2**53
     held = [(statistics(mine, n), statistics(exact, n)) for n in levels]
     out = []
     for i in range(len(own)):
-        score = (lambda rows: exact[rows] @ mine[i]) if whole else (lambda rows: np.array([int(sum(int(a) * int(b) for a, b in zip(v, queries[i]))) for v in vectors[rows]], dtype=object))
+        score = (lambda rows: exact[rows] @ mine[i]) if whole else (lambda rows: np.array([_product(v, queries[i]) for v in vectors[rows]], dtype=object))
         left = np.flatnonzero(rows != own[i])
         if len(left) > k:
             bound = held[0][1][left] @ held[0][0][i]
@@ -64,19 +86,21 @@ def search_block(own: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np
 
 
 def quantised(vectors: DataFrame, factor: int = 64) -> DataFrame:
-    """(vec_id, v): floor(factor * x) of each component as double; vectors that are null, empty of a
-    component or hold a non-finite one are left out."""
+    """(vec_id, v): floor(factor * x) of each component, in doubles, which hold it exactly (a product over 1e300 counts
+    as 1e300); vectors that are null, empty of a component or hold a non-finite one are left out."""
     x = F.col("embedding").cast("array<double>")
     usable = F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where(usable).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * factor)).alias("v"))
+    bounded = lambda c: F.greatest(F.lit(-1e300), F.least(F.lit(1e300), c * factor))
+    whole = lambda c: F.when(F.abs(c * factor) < 2.0**53, F.floor(c * factor).cast("double")).otherwise(bounded(c))  # noqa: E731  no fractions from 2^53 on
+    return vectors.where(usable).select(F.col("vec_id").cast("long"), F.transform(x, whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 4096, block: int = 16_384) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each row of ``vectors`` (vec_id, v: integer array) where ``is_query`` holds.
+    """(query_id, rank, vec_id, score) of each row of ``vectors`` (vec_id, v: whole numbers, in longs or doubles) where ``is_query`` holds.
 
     The score is the inner product; candidates are all rows but the query's own with the same
     number of components. Repeated rows are candidates each, and a repeated query id is answered
-    once, for its least vector. Rows without id take no part. Other columns, whatever their
+    once, for its least vector. A score that no long can hold counts as the nearest that one can. Rows without id take no part. Other columns, whatever their
     names, are not looked at. An empty table gives no rows. A task holds a block of queries and
     one of candidates; rows are dealt to blocks by number, so equal ids spread.
     """
@@ -96,7 +120,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 4096, bl
             mine, theirs = q[q["v"].map(len) == size], c[c["v"].map(len) == size]
             if not len(theirs):
                 continue
-            stack = lambda df: np.stack(df["v"].to_numpy()).astype(np.int64)
+            stack = lambda df: _stacked(df["v"].tolist())
             ids = mine["vec_id"].to_numpy()
             for query, (found, scores) in zip(ids, search_block(mine["row"].to_numpy(), stack(mine), theirs["row"].to_numpy(), theirs["vec_id"].to_numpy(), stack(theirs), k)):
                 parts.append(pd.DataFrame({"query_id": query, "vec_id": found, "score": scores.astype(np.int64)}))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skein.llm.packing import Limits, pack_documents, pack_pool, powers_of_two
+from skein.llm.packing import Limits, op1_packing, pack_documents, pack_pool, powers_of_two
 from skein.llm.tokens import Ids
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -90,3 +90,42 @@ def test_small_pools_carry_on(spark):
     texts = [(i, "the cat sat " * (i % 97)) for i in range(300)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     assert checked(pack_documents(docs, BYTE, Limits(pool=16)).collect(), texts) == 0
+
+
+def test_whole_table(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert checked(op1_packing(spark, "/root/testdata/sf0.001").collect(), texts) == 0
+
+
+def test_the_loss_limit_binds(spark):
+    """Turns of instruction data: the answers bear loss, and few of their tokens fit a sequence."""
+    rng = np.random.default_rng(2)
+    texts, parts = [], []
+    for i in range(200):
+        question, answer = "why is it so " * int(rng.integers(1, 30)), "that is how it is. " * int(rng.integers(0, 12))
+        texts.append((i, question + answer))
+        parts.append(None if i % 50 == 7 else [(len(question), len(question) + len(answer)), (3, None)])
+    schema = "doc_id long, text string, answers array<struct<start:int,end:int>>"
+    docs = spark.createDataFrame([(*t, p) for t, p in zip(texts, parts)], schema).repartition(2)
+    rows = pack_documents(docs, BYTE, Limits(128, 6, 20, 64), loss="answers").collect()
+    checked(rows, texts)
+    bears = {}
+    for (i, t), p in zip(texts, parts):
+        encoded = library[BYTE].encode(t, add_special_tokens=False)
+        inside = [p is None or any(b is not None and a <= x < b for a, b in p) for x, _ in encoded.offsets]
+        bears[i] = [*inside, p is None]
+    sums, sizes, segments = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r.loss_tokens == sum(bears[r.doc_id][r.start + 1 : r.start + r.length])
+        sums[r.sequence_id] += r.loss_tokens
+        sizes[r.sequence_id] += r.length
+        segments[r.sequence_id] += 1
+    assert max(sums.values()) <= 20 and max(sizes.values()) <= 128 and max(segments.values()) <= 6
+    assert sum(n >= 15 and sizes[s] < 128 and segments[s] < 6 for s, n in sums.items()) > 10  # it is what stops some
+    assert sum(sizes[s] == 128 for s in sums) > 10  # and tokens stop others
+
+
+@pytest.mark.parametrize("limits", [{"tokens": 0}, {"segments": 0}, {"loss_tokens": 0}, {"pool": -1}])
+def test_limits_below_one_are_an_error(limits):
+    with pytest.raises(ValueError, match="1 at least"):
+        Limits(**limits)

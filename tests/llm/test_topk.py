@@ -41,6 +41,18 @@ def test_hard_rows(spark):
     assert top_k(quantised(table.where("false")), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_any_finite_component(spark):
+    rows = [(20, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [1e30, -1e30]), (4, [3e-8, 5.0]), (5, [1e300, 0.0]), (40, [1e-9, -1.7e308]), (6, [0.5, 0.0]), (60, [0.25, 0.0])]
+    got = {tuple(r) for r in top_k(quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 20 == 0).collect()}
+    whole = lambda x: 64 * int(x) if abs(x) >= 2**53 else int(np.floor(64 * x))
+    vectors = {i: [max(-int(1e300), min(int(1e300), whole(x))) for x in v] for i, v in rows}
+    want = set()
+    for q in (20, 40, 60):
+        score = lambda i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(vectors[q], vectors[i]))))  # noqa: B023, E731
+        want |= {(q, r + 1, i, score(i)) for r, i in enumerate(sorted((i for i in vectors if i != q), key=lambda i: (-score(i), i)))}  # noqa: B023
+    assert got == want
+
+
 def test_repeated_ids(spark):
     rows = [(20, [3, 0]), (20, [1, 1]), (20, [1, 1]), (5, [2, 2]), (5, [2, 2]), (7, [0, 1])]
     got = top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 20).collect()
