@@ -69,7 +69,7 @@ def ingest_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.col("arrival") < n // 2
     for step in (raw.where(half), raw.where(~half)):
         ship(step, logs)
-        drained(start_raw(tail(spark, logs, progress, max_bytes=max(1 << 16, 60 * n)), out, bad, checkpoint, "ingest_raw_lines"))
+        drained(start_raw(tail(spark, logs, progress, max_bytes=max(1 << 16, 60 * n)), out, bad, checkpoint, "ingest_raw_lines", every="0 seconds"))
     forget(spark, logs)
     return read_lines(spark, out).select("index_identifier", "level", "timestamp_ms", "message")
 
@@ -103,7 +103,7 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     for step in range(3):
         write_records(records.where((F.col("offset") >= step * third) & (F.col("offset") < (step + 1) * third if step < 2 else F.lit(True))), log)
         stream = record_stream(spark, log, progress, since_ms=(ends.a + ends.b) // 2, max_records=max(1000, ends.n // 4))
-        drained(start_records(stream, out, checkpoint, "ingest_records"))
+        drained(start_records(stream, out, checkpoint, "ingest_records", every="0 seconds"))
     forget(spark, log)
     return read_lines(spark, out).select("composite_event_id", "timestamp_ms", "message")
 

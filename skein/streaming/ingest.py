@@ -21,13 +21,13 @@ from skein.streaming.numbers import Ledger, numbered
 LATE = "older than the newest of its block"
 
 
-def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False) -> StreamingQuery:
+def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False, every: str = "1 second") -> StreamingQuery:
     """Store a stream's lines by source and level. ``then`` is called with each batch and its number once it is
-    stored: a followed search goes on there (see ``follow``). With ``once``, what is there is taken and the query ends.
+    stored: a followed search goes on there (see ``follow``). With ``once``, what is there is taken and the
+    query ends; else there is a batch ``every`` so often.
     A batch is stored under its number and the stream's, so one that is repeated changes nothing.
     With ``grams``, here and below, trigrams are stored beside the lines (see ``operators.skipping``)."""
 
-
     def batch(rows: DataFrame, number: int) -> None:
         kept = rows.persist()
         write_lines(kept, path, f"{_own(rows)}-{number}", grams=grams)
@@ -35,32 +35,33 @@ def start(lines: DataFrame, path: str, checkpoint: str, name: str, once: bool =
             then(kept, number)
         kept.unpersist()
 
-    return _begun(lines, checkpoint, name, once, batch)
+    return _begun(lines, checkpoint, name, once, every, batch)
 
 
-def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False) -> StreamingQuery:
+def start_raw(raw: DataFrame, path: str, rejected: str, checkpoint: str, name: str, once: bool = False, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False, every: str = "1 second") -> StreamingQuery:
     """Decode a stream of raw pod lines (value, index_identifier, part, line; see ``sources.tail``) and store them.
     They are numbered by the store's ledger in the order of part and line. A line that can't be decoded, and one
     older than the newest of its source's and level's block (of ``block`` lines; with None none is late), is stored
     alone, with the reason, below ``rejected``. ``then`` is called with the stored lines of each batch and its number."""
     lines = decoded_or_kept(raw.select("index_identifier", "value", "part", "line"))
-    return _kept(lines, log_text(), path, rejected, checkpoint, name, once, block, then, grams, "value", ["part"], "line")
+    return _kept(lines, log_text(), path, rejected, checkpoint, name, once, block, then, grams, every, "value", ["part"], "line")
 
 
 def start_records(
-    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK, then: Callable[[DataFrame, int], None] | None = None, grams: bool = False
-) -> StreamingQuery:
+    records: DataFrame, path: str, checkpoint: str, name: str, once: bool = False, avro_text: Column | None = None, rejected: str | None = None, block: int | None = BLOCK,
+    then: Callable[[DataFrame, int], None] | None = None, grams: bool = False, every: str = "1 second",
+) -> StreamingQuery:
     """Decode a stream of rows like the Kafka source's and store them, numbered and late lines dropped as in
     ``start_raw``; the order of a partition is its offsets'. Below ``rejected``, if that is given, a record
     without a place or a time is stored alone, as JSON with the reason, and so is the text of a late one."""
     rows = records.drop("seq")
     whole = F.to_json(F.struct(*(F.col(c) for c in rows.columns)))
     lines = decode_records(rows.select("*", misplaced().alias("reason"), F.when(misplaced().isNotNull(), whole).alias("record")), avro_text, keep=("reason", "record"))
-    return _kept(lines, kafka_text(), path, rejected, checkpoint, name, once, block, then, grams, "record", ["topic", "partition"], "offset")
+    return _kept(lines, kafka_text(), path, rejected, checkpoint, name, once, block, then, grams, every, "record", ["topic", "partition"], "offset")
 
 
 def _kept(
-    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame, int], None] | None, grams: bool, raw: str, parts: list[str], within: str
+    lines: DataFrame, search_text: Column, path: str, rejected: str | None, checkpoint: str, name: str, once: bool, block: int | None, then: Callable[[DataFrame, int], None] | None, grams: bool, every: str, raw: str, parts: list[str], within: str
 ) -> StreamingQuery:
     """Store a stream of lines, numbered by ``parts`` and the number ``within``; those with a ``reason`` and late ones aren't stored."""
     ledger = Ledger(lines.sparkSession, path)
@@ -80,7 +81,7 @@ def _kept(
             then(good, number)
         kept.unpersist()
 
-    return _begun(marked, checkpoint, name, once, batch)
+    return _begun(marked, checkpoint, name, once, every, batch)
 
 
 def _own(rows: DataFrame) -> str:
@@ -96,9 +97,9 @@ def drained(query: StreamingQuery) -> None:
         query.stop()
 
 
-def _begun(rows: DataFrame, checkpoint: str, name: str, once: bool, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def _begun(rows: DataFrame, checkpoint: str, name: str, once: bool, every: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
     writer = rows.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(batch)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 class Sources:

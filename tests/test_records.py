@@ -36,7 +36,7 @@ class Log:
             if then is not None:
                 then(number)
 
-        drained(start_records(stream, str(self.root / "out"), str(self.root / "cp"), "records", rejected=str(self.root / "bad"), block=block, then=seen))
+        drained(start_records(stream, str(self.root / "out"), str(self.root / "cp"), "records", rejected=str(self.root / "bad"), block=block, then=seen, every="0 seconds"))
 
     def places(self):
         return [x for b in self.batches for x in b]

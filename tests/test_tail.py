@@ -26,7 +26,7 @@ class Follow:
 
     def take(self, block=None, then=None):
         lines = tail(self.spark, str(self.root / "logs"), str(self.root / "progress"), **self.how)
-        drained(start_raw(lines, self.out, self.bad, str(self.root / "cp"), "tail", block=block, then=then))
+        drained(start_raw(lines, self.out, self.bad, str(self.root / "cp"), "tail", block=block, then=then, every="0 seconds"))
 
     def lines(self):
         rows = read_lines(self.spark, self.out).orderBy("seq").collect()
