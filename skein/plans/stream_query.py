@@ -9,6 +9,7 @@ from skein.functions.scalars import millis_iso
 from skein.operators.store import read_lines, write_lines
 from skein.plans.scratch import forget, fresh_path
 from skein.sources import fixtures
+from skein.sources.decode import numbered
 from skein.sources.records import record_stream, write_records
 from skein.sources.tail import tail
 from skein.streaming.follow import Followed
@@ -17,21 +18,20 @@ from skein.streaming.late import stream_drop_late
 
 
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The late drop as a stream over the event table, into a table that is then read."""
-    path = f"{sf_dir}/events.parquet"  # a file, or a folder of them
-    events = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path)
-    lines = events.select(
-        F.col("event_id").alias("seq"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
-        F.concat_ws("#", "event_type", F.col("user_id") % 4).alias("index_identifier"),
-        F.lit("KAFKA").alias("level"),
-        (F.col("event_id") + (F.col("event_id") * 7919) % 50).alias("arrival"),
-    )
-    kept = stream_drop_late(lines, ["arrival", "seq"], block=1 << 40)
-    path = fresh_path(spark, "late")
-    done = kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.schema(lines.schema).parquet(path).select("seq", "timestamp_ms")
+    """The late drop as a stream over the event table: the events as records, numbered in their order of arrival, come in
+    some four bounded batches, and what isn't late goes into a table that is then read."""
+    log, out, progress, checkpoint = (fresh_path(spark, n) for n in ("log", "late", "progress", "checkpoint"))
+    times = fixtures.late_arrivals(fixtures.record_times(spark, sf_dir))
+    placed = numbered(times, F.col("arrival") * (1 << 32) + F.col("seq"), 1 << 52, ["topic", "partition"], "offset")
+    none = F.lit(None)
+    records = placed.select("topic", "partition", "offset", F.timestamp_millis("timestamp_ms").alias("timestamp"), F.col("seq").cast("string").cast("binary").alias("key"), none.cast("binary").alias("value"), none.cast("array<struct<key:string,value:binary>>").alias("headers"))
+    write_records(records, log)
+    stream = record_stream(spark, log, progress, max_records=max(1000, times.count() // 4))
+    lines = stream.select(F.col("key").cast("string").cast("long").alias("seq"), F.unix_millis("timestamp").alias("timestamp_ms"), F.concat_ws("#", "topic", "partition").alias("index_identifier"), F.lit("KAFKA").alias("level"), "offset")
+    kept = stream_drop_late(lines, ["offset"], block=1 << 40)
+    drained(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start())
+    forget(spark, log)
+    return spark.read.schema(lines.schema).parquet(out).select("seq", "timestamp_ms")
 
 
 def raw_lines(lines: DataFrame, *keep: str) -> DataFrame:

@@ -185,6 +185,7 @@ def record_stream(spark: SparkSession, folder: str, progress: str, since_ms: int
 
 
 def write_records(records: DataFrame, folder: str) -> None:
-    """Add ``records``, rows like the Kafka source's, to the record files below ``folder``: each partition's in order, in one file."""
-    ordered = records.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
+    """Add ``records``, rows like the Kafka source's, to the record files below ``folder``: each partition's in order, in one
+    file or several by ranges of offsets."""
+    ordered = records.repartitionByRange("topic", "partition", "offset").sortWithinPartitions("topic", "partition", "offset")
     ordered.select("topic", "partition", "offset", F.unix_millis("timestamp").alias("timestamp_ms"), "key", "value", "headers").write.mode("append").partitionBy("topic", "partition").parquet(folder)
