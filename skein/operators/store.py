@@ -24,7 +24,10 @@ def write_lines(lines: DataFrame, path: str, part: str | None = None, rows_per_f
     there for readers once all of it is written; one that is there isn't written again, so a repeated
     batch changes nothing. With ``grams`` the files' trigrams are stored too (see ``skipping``)."""
     spark, name = lines.sparkSession, part or "p-" + uuid.uuid4().hex
-    if not Folders(spark, path).exists(f"part={name}/{DONE}"):
+    folders = Folders(spark, path)
+    if name in _replaced(folders):
+        return
+    if not folders.exists(f"part={name}/{DONE}"):
         spread = F.pmod(F.xxhash64("seq"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
         dealt = lines.repartition("index_identifier", "level", spread).sortWithinPartitions("index_identifier", "level", "seq")
         dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("index_identifier", "level").parquet(f"{path}/part={name}")
@@ -34,8 +37,7 @@ def write_lines(lines: DataFrame, path: str, part: str | None = None, rows_per_f
 
 def read_lines(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """The lines of the parts that are complete, or of these files of theirs."""
-    folders = Folders(spark, path)
-    parts = [f"{path}/{p.rsplit('/', 1)[0]}" for p in folders.match(f"part=*/{DONE}")] if files is None else files
+    parts = [f"{path}/part={p}" for p in parts_of(spark, path)] if files is None else files
     kept = lambda: spark.read.option("basePath", path)
     found = kept().parquet(*parts) if parts else spark.read.parquet(path)
     text = {"index_identifier", "level", "part"}  # whatever they look like
@@ -45,6 +47,48 @@ def read_lines(spark: SparkSession, path: str, files: list[str] | None = None) -
     return found.drop("part")
 
 
+def _done(folders: Folders) -> list[str]:
+    return [p.split("/")[0].removeprefix("part=") for p in folders.match(f"part=*/{DONE}")]
+
+
+def _replaced(folders: Folders) -> set[str]:
+    """The parts that others, which are complete, stand for."""
+    done = {f"{p}.json" for p in _done(folders)}
+    return {old for name in folders.match("_merged/*.json") if name.split("/")[1] in done for old in folders.read_json(name)}
+
+
+def parts_of(spark: SparkSession, path: str) -> list[str]:
+    """The parts that readers see."""
+    folders = Folders(spark, path)
+    gone = _replaced(folders)
+    return [p for p in _done(folders) if p not in gone]
+
+
+def merge_parts(spark: SparkSession, path: str, parts: list[str] | None = None, rows_per_file: int = 0, grams: bool = False) -> str | None:
+    """Store these parts (or all there are) as one, in fewer and larger files; its name, or None where there are no two.
+
+    What it stands for is written down first, so readers see the old parts until the new one is complete
+    and then that one alone. A batch that is repeated later is known to be in it. The old parts stay,
+    for those who are reading them, until ``delete_merged``."""
+    olds = [p for p in parts_of(spark, path) if parts is None or p in parts]
+    if len(olds) < 2:
+        return None
+    name, folders = f"m-{uuid.uuid4().hex}", Folders(spark, path)
+    before = [old for p in olds if folders.exists(f"_merged/{p}.json") for old in folders.read_json(f"_merged/{p}.json")]
+    lines = read_lines(spark, path, [f"{path}/part={p}" for p in olds])
+    folders.write_json(f"_merged/{name}.json", [*olds, *before])
+    write_lines(lines, path, name, rows_per_file, grams)
+    return name
+
+
+def delete_merged(spark: SparkSession, path: str) -> None:
+    """Delete the parts that others stand for, and their trigrams."""
+    folders = Folders(spark, path)
+    for old in _replaced(folders):
+        folders.delete(f"part={old}")
+        folders.delete(f"_grams/part={old}")
+
+
 def clear_stored(spark: SparkSession, path: str, name: str) -> None:
     """Delete a source's stored lines; other sources' files stay as they are, and what comes later is stored."""
     folders = Folders(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +26,18 @@ class Folders:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(f"{self._root}/{name}"), True)
 
+    def read_json(self, name: str):
+        stream = self._fs.open(self._path(f"{self._root}/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def write_json(self, name: str, value) -> None:
+        out = self._fs.create(self._path(f"{self._root}/{name}"), True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+
     def key_folder(self, key: str, value: str) -> str:
         """The name of a partition's folder, as Spark writes it."""
         return self._utils.getPartitionPathString(key, value)

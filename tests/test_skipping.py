@@ -77,3 +77,30 @@ def test_sources_named_like_numbers_stay_text(spark, tmp_path):
     lines = fixtures.log_lines(spark, SF).where("seq < 10").withColumn("index_identifier", search.F.lit("007"))
     store.write_lines(lines, str(tmp_path / "lines"))
     assert {r.index_identifier for r in store.read_lines(spark, str(tmp_path / "lines")).collect()} == {"007"}
+
+
+def test_parts_merge_without_a_reader_noticing(spark, held, tmp_path):
+    path = str(tmp_path / "lines")
+    shutil.copytree(held, path)
+    lines = fixtures.log_lines(spark, SF)
+    more = lines.where("seq < 50").withColumn("seq", search.F.col("seq") + 500_000)
+    store.write_lines(more, path, "c")
+    before = store.read_lines(spark, path)
+    want = sorted((r.seq, r.index_identifier, r.level, r.message) for r in before.collect())
+    rows = lambda: sorted((r.seq, r.index_identifier, r.level, r.message) for r in store.read_lines(spark, path).collect())
+    assert store.merge_parts(spark, path, ["a"]) is None
+    name = store.merge_parts(spark, path, ["a", "b"], grams=True)
+    assert set(store.parts_of(spark, path)) == {name, "c"} and rows() == want and before.count() == len(want)
+    (tmp_path / "lines" / f"part={name}" / "_SUCCESS").rename(tmp_path / "kept")  # as before it was complete
+    assert set(store.parts_of(spark, path)) == {"a", "b", "c"} and rows() == want
+    (tmp_path / "kept").rename(tmp_path / "lines" / f"part={name}" / "_SUCCESS")
+    again = store.merge_parts(spark, path, grams=True)
+    store.delete_merged(spark, path)
+    assert store.parts_of(spark, path) == [again] and rows() == want and not (tmp_path / "lines" / "part=a").exists()
+    store.write_lines(more, path, "c")  # a batch that is repeated
+    assert rows() == want
+    found = search.stored_matches(spark, path, "failure pod-2", None)
+    assert {r.seq for r in found.collect()} == {r.seq for r in search.matches(store.read_lines(spark, path), "failure pod-2", None).collect()} and found.inputFiles()
+    assert len(found.inputFiles()) < len(store.read_lines(spark, path).inputFiles())
+    store.clear_stored(spark, path, "pod-2")
+    assert rows() == [r for r in want if r[1] != "pod-2"]
