@@ -8,9 +8,12 @@
    windows' TF-IDF matrix A: each pass sums A'(A X) over all tasks, a matrix as large as
    the vocabulary times the rank, whatever the number of documents.
 4. Windows and benchmark passages are compared by the cosine of their latent vectors; a
-   window must also hold ``contained`` of the passage's own latent vector. Beside that, an
-   inverted index of each passage's rarest words finds every stretch that can be verified:
-   see ``Index``. Both kinds of candidates pass a filter without loss before verification.
+   window must also hold ``contained`` of the passage's own latent vector. That yields the
+   candidates of every passage whose latent vector stands for it: of at least ``sure_words``
+   vocabulary words, which are ``sure_share`` of its words, and with ``sure_energy`` of its
+   weight (see ``sure_passages``). For the others, short or made of frequent words or badly
+   represented, an inverted index of each passage's rarest words finds every stretch that
+   can be verified: see ``Index``. All candidates pass a filter without loss before verification.
 5. Candidates are verified on their words: a passage of which ``copy`` is a common
    subsequence of a stretch of the document is a copy; from ``paraphrase`` on it is one
    if its answer is found there too: the last sentence, with the words before it if it has
@@ -60,6 +63,9 @@ class Settings:
     paraphrase: float = 0.55
     answer: float = 0.8
     block: int = 2_000  # passages
+    sure_words: int = 10
+    sure_share: float = 0.15
+    sure_energy: float = 0.25
 
 
 def words_of(text: str) -> list[bytes]:
@@ -182,11 +188,12 @@ def windows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Index:
     """Candidates without loss. A stretch that holds ``share`` of a passage's n words misses m = (1 - share) n
-    at most, so of its m + k rarest words it holds k; only those are indexed, whatever their frequency."""
+    at most, so of its m + k rarest words it holds k; only those are indexed, whatever their frequency.
+    Passages that are ``left_out`` have no entries; what is verifiable is told of all."""
 
     SURE, ENTRIES, PIECE = 8, 2_000_000, 24
 
-    def __init__(self, passages: list[np.ndarray], answers: list[np.ndarray], frequency: np.ndarray, settings: Settings):
+    def __init__(self, passages: list[np.ndarray], answers: list[np.ndarray], frequency: np.ndarray, settings: Settings, left_out: np.ndarray):
         share, size = min(settings.copy, settings.paraphrase), np.array([len(x) for x in passages])
         self.words = np.full((len(passages), PASSAGE), len(frequency) + 1)  # padded with what no text has
         for i, x in enumerate(passages):
@@ -200,6 +207,8 @@ class Index:
         for j, words in enumerate(passages):
             held = math.ceil(share * len(words) - 1e-9)
             self.least[j] = min(held, self.SURE)
+            if left_out[j]:
+                continue
             rarest = sorted(words.tolist(), key=lambda w: (frequency[w], w))[: len(words) - held + int(self.least[j])]
             for w, times in Counter(rarest).items():
                 lists.setdefault(w, []).append((j, times))
@@ -387,6 +396,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def sure_passages(own: Sparse, latent: np.ndarray, sizes: np.ndarray, settings: Settings) -> np.ndarray:
+    """Whether each passage's latent vector stands for it. ``own`` are the passages' weighted words, ``sizes`` all their words."""
+    n = len(sizes)
+    words, whole = np.bincount(own.row, minlength=n), np.bincount(own.row, own.value**2, n)
+    kept = (latent.astype(float) ** 2).sum(1) >= settings.sure_energy * whole
+    return (words >= settings.sure_words) & (words >= settings.sure_share * sizes) & kept
+
+
 def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     """A function, to be made in each task, from texts to hits: (row, item, kind, cosine, lcs, start, passage's words)."""
     spark = docs.sparkSession
@@ -417,7 +434,8 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     known = np.array([frequency[number[w]] if w in number else rows for w in every], np.int64)
     place = {w: i for i, w in enumerate(every)}
     numbered = lambda lists: [np.array([place[w] for w in x], np.int64) for x in lists]
-    index = Index(numbered(passages.words), numbered(passages.answers), known, settings)
+    sizes = np.array([len(x) for x in passages.words], np.int64)
+    index = Index(numbered(passages.words), numbered(passages.answers), known, settings, sure_passages(extra, sought, sizes, settings))
     held = spark.sparkContext.broadcast((vocabulary, basis, sought, passages, every, index))
 
     def verify(marks: np.ndarray, found: np.ndarray, at: int, to: int, words: np.ndarray, answer: np.ndarray) -> tuple[float, float, int]:

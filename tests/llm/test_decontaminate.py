@@ -1,6 +1,6 @@
 import random
 
-from skein.llm.decontaminate import Passages, Settings, clean, common_subsequence, leaks, op3_decontamination, windows, words_of
+from skein.llm.decontaminate import Passages, Settings, Sparse, clean, common_subsequence, leaks, op3_decontamination, sure_passages, windows, words_of
 
 import numpy as np
 
@@ -118,6 +118,30 @@ def test_hard_rows(spark):
     assert clean(docs, bench.where("false")).count() == len(rows)
 
 
+LATENT = {"sure_words": 0, "sure_share": 0.0, "sure_energy": 0.0}  # the index has no entries
+
+
+def test_recall_of_the_latent_search_alone(spark):
+    docs, items, want = fixture()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    both = {(r.doc_id, r.item_id) for r in leaks(d, b).collect()}
+    alone = {(r.doc_id, r.item_id) for r in leaks(d, b, Settings(**LATENT)).collect()}
+    assert alone <= both and len(alone & want) >= 0.9 * len(want)
+    sf = "/root/testdata/sf0.01"
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    both = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, sf).collect()}
+    assert {(r.doc_id, r.item_id) for r in leaks(d, b, Settings(**LATENT)).collect()} == both
+
+
+def test_which_passages_the_latent_search_answers_for():
+    """Ten vocabulary words at least, a share of 0.15 of the passage's, and a quarter of its weight."""
+    column, row = np.concatenate([np.arange(10), np.arange(9), np.arange(10), np.arange(10)]), np.repeat([0, 1, 2, 3], [10, 9, 10, 10])
+    own = Sparse(row, column, np.full(len(row), 2.0), 4)
+    latent = np.zeros((4, 5))
+    latent[:, 0] = np.sqrt([10.1, 36.0, 40.0, 9.9])
+    assert sure_passages(own, latent, np.array([64, 9, 67, 10]), Settings()).tolist() == [True, False, False, False]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
