@@ -37,7 +37,12 @@ def matches(lines: DataFrame, query: str | Query = "", levels: Sequence[str] | N
 
 def search(lines: DataFrame, query: str | Query = "", levels: Sequence[str] | None = DEFAULT_LEVELS, as_of_seq: int | None = None, where: Column | None = None, offset: int = 0, limit: int | None = PAGE, legacy: bool = False) -> DataFrame:
     """A page of the matches, newest first: each task keeps its best offset + limit rows."""
-    found = matches(lines, query, levels, as_of_seq, where, legacy).orderBy(*newest_first())
+    return paged(matches(lines, query, levels, as_of_seq, where, legacy), offset, limit)
+
+
+def paged(found: DataFrame, offset: int = 0, limit: int | None = PAGE) -> DataFrame:
+    """A page of these lines, newest first."""
+    found = found.orderBy(*newest_first())
     found = found.offset(max(0, offset)) if offset > 0 else found
     return found if limit is None else found.limit(limit)
 

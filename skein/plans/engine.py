@@ -83,7 +83,7 @@ class Newest:
 class Engine:
     """Lines (and, where given, lag rows and pods) with the state of a search over them. With ``sources``
     and ``begin``, which starts the stream of a pod, pods can be listened to. With ``store_path``, where
-    the lines are stored, clearing deletes files.
+    the lines are stored, searches open only files that can hold a match, and clearing deletes files.
 
     Paging away from the newest lines fixes a snapshot: later lines don't shift the pages.
     Going back to offset 0 releases it. A page is kept until anything it depends on changes.
@@ -159,7 +159,11 @@ class Engine:
         key = (self.query, self.levels, self.offset, self.as_of, limit)
         if self._page is None or self._page[0] != key:
             began = time.perf_counter()
-            found = search.search(self.lines, self.query, self.levels, self.as_of, offset=self.offset, limit=limit).persist()
+            if self.store_path is None:
+                fits = search.matches(self.lines, self.query, self.levels, self.as_of)
+            else:
+                fits = search.stored_matches(self.lines.sparkSession, self.store_path, self.query, self.levels, self.as_of)
+            found = search.paged(fits, self.offset, limit).persist()
             try:
                 self._newest.run(found.count)
             except Superseded:
