@@ -585,8 +585,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not
     looked at. Null and empty texts hold nothing and are found nowhere. Null ids stay
-    null; repeated rows are reported each, repeated items under their id once. With an
-    empty benchmark, or no documents, there are no rows.
+    null; repeated rows are reported each, repeated items under their id once. Very long
+    texts are searched whole; of several stretches that hold an item that with the longest
+    common subsequence is told, the first of equal ones that was looked at. With an empty
+    benchmark, or no documents, there are no rows.
     """
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = f"doc_id long, {HIT}"
@@ -612,7 +614,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     """The rows of ``docs``, with all their columns, in which no benchmark item is found.
 
     Null and empty texts stay, rows without doc_id are judged like others and repeated rows
-    each for itself. With an empty benchmark all rows stay; an empty table gives an empty one.
+    each for itself. Very long texts are searched whole. With an empty benchmark all rows stay;
+    an empty table gives an empty one.
     """
     at = docs.columns.index("text")
 

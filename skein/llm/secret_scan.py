@@ -177,7 +177,12 @@ def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, n_<kind> of the base kinds, base_sha256, spans) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_<kind> of the base kinds, base_sha256, spans) for each row of ``docs`` (doc_id, text).
+
+    A null text counts as empty; very long texts are scanned whole. Repeated rows, and rows
+    without doc_id, are reported each. Other columns, whatever their names, are not looked at.
+    An empty table gives no rows.
+    """
     found = scan(docs.select("doc_id", "text"), rules)
     base = [k for k, r in enumerate(rules) if r.base]
     kinds = F.transform("__spans", lambda s: s["kind"])

@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
     smallest doc_id that links reach. Null and blank texts have fingerprint zero and
     link like any other. A null doc_id is never a component's id while the component
-    has another; repeated rows are returned each. An empty table gives no rows.
+    has another; repeated rows are returned each. Very long texts are taken whole. Other
+    columns, whatever their names, are not looked at. An empty table gives no rows.
     """
     fp = written(fingerprints(docs, words), "fingerprints")
     distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

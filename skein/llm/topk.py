@@ -15,7 +15,6 @@ each and returns k candidates for each of its queries.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -95,7 +95,9 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, default: str = "al
     A rule fits its host and that host's subdomains, if the url's path starts with the
     rule's. The longest rule wins, of two equally long ones that with the longer host.
     Where none fits, the rule is null and the verdict ``default``. A null url, or one
-    without "://", has an empty host and path. An empty table gives no rows.
+    without "://", has an empty host and path. Repeated rows, and rows without page_id, are
+    judged each; very long urls are taken whole. Other columns, whatever their names, are not
+    looked at. An empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = tempfile.mkdtemp(prefix="skein-urls-")

@@ -163,7 +163,9 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     A null html counts as empty. A null page_id stays null and never owns a payload that
     a page with an id shares; among equal payloads without any id all are responses.
-    Repeated rows of the owner are responses each. An empty table gives no rows.
+    Repeated rows of the owner are responses each. A null url is left out of its record; a very
+    long page is one record. Other columns, whatever their names, are not
+    looked at. An empty table gives no rows.
     """
     path = fresh_path(pages.sparkSession, "warc")
     write(pages, path, least)
