@@ -168,7 +168,7 @@ def segment_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums.astype(rows.dtype)
 
 
-DENSE = 4096  # up to so many words, counts by window and word are a full matrix
+DENSE = 512  # up to so many words, counts by window and word are a full matrix; with more a window has too few of them
 
 
 def counts_of(window: np.ndarray, word: np.ndarray, n: int, words: int) -> np.ndarray:
