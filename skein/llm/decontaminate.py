@@ -45,6 +45,7 @@ from skein.llm.common import forget, fresh_path, table, written
 PASSAGE = 64
 ANSWER = 4  # the least words of an answer
 WINDOW, STRIDE = 128, 64
+BLOCKS = "blocks binary, words binary, last int"
 REACH = PASSAGE + PASSAGE // 2  # the longest stretch that is compared with a passage
 _APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -168,17 +169,36 @@ def segment_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums.astype(rows.dtype)
 
 
-DENSE = 512  # up to so many words, counts by window and word are a full matrix; with more a window has too few of them
+def picked_sums(x: np.ndarray, pick: np.ndarray, starts: np.ndarray, part: int = 32) -> np.ndarray:
+    """The sums of ``x[pick]`` over each stretch of ``pick`` from one start to the next, none of them empty. The k-th
+    rows of all stretches are added at once, so no more than a row a stretch is held; long stretches are summed in parts."""
+    sizes = np.diff(np.append(starts, len(pick)))
+    if len(sizes) and sizes.max() > part:
+        parts = -(-sizes // part)
+        first = np.cumsum(parts) - parts
+        inner = np.repeat(starts, parts) + (np.arange(parts.sum()) - np.repeat(first, parts)) * part
+        return picked_sums(picked_sums(x, pick, inner, part), np.arange(len(inner)), first, part)
+    order = np.argsort(-sizes, kind="stable")
+    start, sizes = starts[order], -sizes[order]
+    sums = x[pick[start]]
+    for k in range(1, part):
+        upto = np.searchsorted(sizes, -k)  # so many have over k rows
+        if not upto:
+            break
+        sums[:upto] += x[pick[start[:upto] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
 
 
-def counts_of(window: np.ndarray, word: np.ndarray, n: int, words: int) -> np.ndarray:
-    """The matrix of counts by window and word."""
-    return np.bincount(window * words + word, minlength=n * words).astype(np.float32).reshape(n, words)
+def last_window(n: int) -> int:
+    """The number of the last window of a text of n words."""
+    return max(0, -(-(n - WINDOW) // STRIDE))
 
 
 def windows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, which hit) for hits at these word positions of a text of n words; all lie in one or two windows."""
-    last = max(0, -(-(n - WINDOW) // STRIDE))
+    last = last_window(n)
     high = np.minimum(at // STRIDE, last)
     low = at // STRIDE - 1
     two = (low >= 0) & (low < high)
@@ -271,8 +291,9 @@ class Index:
             yield from zip(cell[good].tolist(), passage[good].tolist())
 
 
-def window_words(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(windows, words): of each text with vocabulary words, their numbers by window, as 32-bit numbers."""
+def block_words(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(blocks, words, last): of each text with vocabulary words, their numbers and the STRIDE words that each lies in,
+    as 32-bit numbers in order, and the text's last window; a window is the block of its number and the next."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,17 +304,15 @@ def window_words(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 found = lookup(text)
                 at = np.flatnonzero(found >= 0)
                 if len(at):
-                    window, hit = windows(at, len(found))
-                    order = np.argsort(window, kind="stable")
-                    rows.append((window[order].astype("<i4").tobytes(), found[at][hit[order]].tobytes()))
+                    rows.append(((at // STRIDE).astype("<i4").tobytes(), found[at].tobytes(), last_window(len(found))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows)], ["windows", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int32()))], ["blocks", "words", "last"])
 
-    return docs.select("text").mapInArrow(run, "windows binary, words binary")
+    return docs.select("text").mapInArrow(run, BLOCKS)
 
 
 def document_frequency(passages: DataFrame, size: int) -> np.ndarray:
-    """The number of rows of window_words that hold each word."""
+    """The number of rows of block_words that hold each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
@@ -310,20 +329,54 @@ def document_frequency(passages: DataFrame, size: int) -> np.ndarray:
 
 
 def kept_words(passages: DataFrame, renumber: np.ndarray) -> DataFrame:
-    """Rows of window_words under new numbers; words with the number -1 are left out, and rows without any other."""
+    """Rows of block_words under new numbers; words with the number -1 are left out, and rows without any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for window, word in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, word, last in zip(*(c.to_pylist() for c in batch.columns)):
                 new = renumber[np.frombuffer(word, "<i4")]
                 stays = new >= 0
                 if stays.any():
-                    rows.append((np.frombuffer(window, "<i4")[stays].tobytes(), new[stays].astype("<i4").tobytes()))
+                    rows.append((np.frombuffer(block, "<i4")[stays].tobytes(), new[stays].astype("<i4").tobytes(), last))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows)], ["windows", "words"])
-
-    return passages.mapInArrow(run, "windows binary, words binary")
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int32()))], ["blocks", "words", "last"])
+
+    return passages.mapInArrow(run, BLOCKS)
+
+
+STEP = 4_000  # blocks whose sums are held at once
+
+
+def gram_sums(texts: Iterator[tuple[bytes, bytes, int]], x: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A x) for the windows of these rows of block_words. A window is the sum of two blocks, so a block's share
+    of A'(A x) is the sum of its own and its neighbours' products, each as often as they have windows in common."""
+    block, word, size, last = [], [], [], []
+    for b, w, end in texts:
+        block.append(np.frombuffer(b, "<i4"))
+        word.append(np.frombuffer(w, "<i4"))
+        size.append(len(block[-1]))
+        last.append(end)
+    if not block:
+        return
+    block, word, text = np.concatenate(block), np.concatenate(word), np.repeat(np.arange(len(size)), size)
+    starts = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(text) != 0)) + 1])
+    block, text, ends = block[starts], text[starts], np.append(starts[1:], len(word))
+    own = (block <= np.array(last)[text]).astype(x.dtype) + (block > 0)  # windows of each block
+    follows = (np.diff(block) == 1) & (np.diff(text) == 0)
+    for k in range(0, len(starts), STEP):
+        e = min(k + STEP, len(starts))
+        a, z = max(0, k - 1), min(e + 1, len(starts))  # with the neighbours
+        latent = picked_sums(x, word[starts[a] : ends[z - 1]], starts[a:z] - starts[a])
+        both = latent * own[a:z, None]
+        before = np.flatnonzero(follows[a : z - 1])
+        both[before] += latent[before + 1]
+        both[before + 1] += latent[before]
+        found = word[starts[k] : ends[e - 1]]
+        back = np.repeat(np.arange(k - a, e - a), ends[k:e] - starts[k:e])
+        order = np.argsort(found, kind="stable")
+        terms, first = np.unique(found[order], return_index=True)
+        out[terms] += picked_sums(both, back[order], first)
 
 
 def _gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -334,30 +387,7 @@ def _gram(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, out = held.value.astype(np.float32), np.zeros((size, rank))
         for batch in batches:
-            shift, window, word = 0, [], []
-            for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = np.frombuffer(w, "<i4") + shift
-                window.append(at)
-                word.append(np.frombuffer(v, "<i4"))
-                shift = int(at[-1]) + 1
-            if not word:
-                continue
-            window, word = np.concatenate(window), np.concatenate(word)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(window)) + 1])
-            step = (1 << 22) // size if size <= DENSE else 10_000  # bounds what is held at once
-            for k in range(0, len(starts), step):
-                a, b = starts[k], starts[k + step] if k + step < len(starts) else len(window)
-                own = word[a:b]
-                cut = starts[k : k + step] - a
-                if size <= DENSE:
-                    held_words = counts_of(np.repeat(np.arange(len(cut)), np.diff(np.append(cut, b - a))), own, len(cut), size)
-                    out += held_words.T @ (held_words @ x)
-                    continue
-                latent = segment_sums(x[own], cut)
-                back = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, b - a)))
-                order = np.argsort(own, kind="stable")
-                terms, first = np.unique(own[order], return_index=True)
-                out[terms] += segment_sums(latent[back[order]], first)
+            gram_sums(zip(*(c.to_pylist() for c in batch.columns)), x, out)
         used = np.flatnonzero(out.any(1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([x.tobytes() for x in out[used]], pa.binary())], ["word", "row"])
@@ -412,7 +442,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
     rarest = {w for words in passages.words for w in sorted(set(words), key=lambda w: (own[w], w))[: settings.least_words]}
     tried = sorted(w for w in every if own[w] <= settings.max_passages * len(passages.words) or w in rarest)
     path = fresh_path(spark, "windows")
-    held_words = written(window_words(docs, {w: i for i, w in enumerate(tried)}), path=path)
+    held_words = written(block_words(docs, {w: i for i, w in enumerate(tried)}), path=path)
     frequency, rows = document_frequency(held_words, len(tried)), docs.count()
     number = {w: i for i, w in enumerate(tried)}
     needed = {w for words in passages.words for w in sorted({w for w in words if w in number}, key=lambda w: (frequency[number[w]], w))[: settings.least_words]}
@@ -487,15 +517,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 owner = np.repeat(np.arange(len(pending)), [len(p[1]) for p in pending])
                 word = np.concatenate([p[2] for p in pending])
                 starts = np.concatenate([[0], np.flatnonzero((np.diff(window) != 0) | (np.diff(owner) != 0)) + 1])[: len(word)]
-                if len(basis) <= DENSE:
-                    step = (1 << 22) // max(1, len(basis))
-                    own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(word))))
-                    cuts = range(0, len(starts), step)
-                    ends = [int(starts[k + step]) if k + step < len(starts) else len(word) for k in cuts]
-                    parts = [counts_of(own[starts[k] : e] - k, word[starts[k] : e].astype(np.int64), min(step, len(starts) - k), len(basis)) @ basis for k, e in zip(cuts, ends)]
-                    latent = np.concatenate([np.zeros((0, basis.shape[1]), np.float32), *parts])
-                else:
-                    latent = segment_sums(basis[word], starts)
+                latent = picked_sums(basis, word, starts)
                 near = latent @ unit.T
                 norms = np.linalg.norm(latent, axis=1)
                 least = np.maximum(settings.cosine * norms[:, None], settings.contained * length)
