@@ -215,7 +215,7 @@ class Index:
 
     def __init__(self, passages: list[np.ndarray], answers: list[np.ndarray], frequency: np.ndarray, settings: Settings, left_out: np.ndarray):
         share, size = min(settings.copy, settings.paraphrase), np.array([len(x) for x in passages])
-        self.words = np.full((len(passages), PASSAGE), len(frequency) + 1)  # padded with what no text has
+        self.words = np.full((len(passages), PASSAGE), len(frequency) + 1, np.int32)  # padded with what no text has
         for i, x in enumerate(passages):
             self.words[i, : len(x)] = x
         answer, place = np.array([len(x) for x in answers]), np.arange(PASSAGE)
@@ -244,9 +244,9 @@ class Index:
         PIECEs that it can lie in must hold enough of the passage's words and of its answer's, and what the
         passage has in common with all these words, in order, is long enough: bit by bit (Hyyrö, 2004), for all at once."""
         out, pieces = np.zeros(len(start), bool), 2 * REACH // self.PIECE
-        for k in range(0, len(start), 500):
-            p = passage[k : k + 500]
-            same = line[start[k : k + 500, None] + np.arange(2 * REACH)][:, :, None] == self.words[p][:, None, :]
+        for k in range(0, len(start), 100):
+            p = passage[k : k + 100]
+            same = line[start[k : k + 100, None] + np.arange(2 * REACH)][:, :, None] == self.words[p][:, None, :]
             there = same.reshape(len(p), pieces, self.PIECE, PASSAGE).any(2)
             upto = np.concatenate([np.zeros((len(p), 1, PASSAGE), np.int8), np.cumsum(there, axis=1, dtype=np.int8)], axis=1)
             end = np.minimum(np.arange(pieces) + self.blocks[p][:, None], pieces)
@@ -537,7 +537,7 @@ def _searcher(docs: DataFrame, passages: Passages, settings: Settings):
                 # all texts one after the other, each from a new cell on, with an empty one before the next
                 cells = np.array([-(-len(p[3]) // REACH) + 1 for p in pending])
                 first_cell = np.cumsum(cells) - cells
-                line = np.full((int(cells.sum()) + 2) * REACH, -1)
+                line = np.full((int(cells.sum()) + 2) * REACH, -1, np.int32)
                 for p, c in zip(pending, first_cell.tolist()):
                     line[c * REACH : c * REACH + len(p[3])] = p[3]
                 i, j = np.nonzero((near >= least) & (near > 0))

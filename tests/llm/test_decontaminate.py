@@ -1,7 +1,7 @@
 import random
 import tracemalloc
 
-from skein.llm.decontaminate import Passages, Settings, Sparse, clean, common_subsequence, gram_sums, last_window, leaks, op3_decontamination, picked_sums, sure_passages, windows, words_of
+from skein.llm.decontaminate import REACH, Index, Passages, Settings, Sparse, block_words, clean, common_subsequence, gram_sums, last_window, leaks, op3_decontamination, picked_sums, sure_passages, windows, words_of
 
 import numpy as np
 
@@ -225,3 +225,30 @@ def test_gram_holds_few_blocks_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_each_word_of_a_text_is_stored_once(spark):
+    """Words that lie in two windows were stored, and summed, twice."""
+    docs = spark.createDataFrame([("a b c d " * 200,), ("a x " * 30,), ("x",), (None,)], "text string")
+    rows = sorted(block_words(docs, {b"a": 0, b"c": 1}).collect(), key=lambda r: r.last)
+    assert [r.last for r in rows] == [0, 11]
+    assert [(len(r.words) // 4, len(r.blocks) // 4) for r in rows] == [(30, 30), (400, 400)]
+    assert np.frombuffer(rows[1].blocks, "<i4").tolist() == [i // 64 for i in range(800) if i % 2 == 0]
+
+
+def test_verifiable_in_small_parts_is_that_of_each_pair():
+    """What fits a core's cache is compared at once: 500 pairs before, which took 14 MB."""
+    rng = np.random.default_rng(9)
+    passages = [rng.integers(0, 300, n) for n in rng.integers(5, 65, 60)]
+    index = Index(passages, [x[-4:] for x in passages], np.full(300, 5), Settings(), np.zeros(60, bool))
+    line = rng.integers(-1, 300, 40 * REACH).astype(np.int32)
+    for i in range(0, 36, 2):
+        line[i * REACH + 40 : i * REACH + 40 + len(passages[i])] = passages[i]
+    start, passage = np.repeat(np.arange(38) * REACH, 60), np.tile(np.arange(60), 38)
+    tracemalloc.start()
+    got = index.verifiable(line, start, passage)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [bool(index.verifiable(line, start[i : i + 1], passage[i : i + 1])[0]) for i in range(len(start))]
+    assert all(got[(start == i * REACH) & (passage == i)].all() for i in range(0, 36, 2)) and not got.all()
+    assert peak < 4e6, peak
