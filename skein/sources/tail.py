@@ -116,7 +116,8 @@ class Reader(DataSourceStreamReader):
             if end > e["at"]:
                 n = max(e["n"], min(HEAD, end))
                 known[k] = {"path": e["path"], "at": end, "head": e["head"] if n == e["n"] else self._head(e["path"], n), "n": n}
-                left[pod] -= end - e["at"]
+                # the rest of a file that the share cuts off comes before the folder's next files
+                left[pod] = 0 if limit < info.size else left[pod] - (end - e["at"])
         return {"files": known, "next": following}
 
     def _line_end(self, path: str, start: int, limit: int, size: int) -> int:

@@ -134,3 +134,21 @@ def test_a_step_is_shared_among_pods(tmp_path):
     steps = [{f["path"]: f["at"] for f in reader.latestOffset()["files"].values()} for _ in range(3)]
     assert steps[0] == {"a/0.log": 44, "b/0.log": 11}
     assert steps[1]["b/0.log"] == 11 + 201 and steps[2]["b/0.log"] == 212 and steps[2]["a/0.log"] > steps[1]["a/0.log"]  # a long line comes whole
+
+
+def test_files_of_a_pod_follow_each_other_over_steps(spark, tmp_path):
+    f = Follow(spark, tmp_path, max_bytes=100)
+    want = [f"file {k} line {i} {'x' * 30}" for k in range(3) for i in range(3)]
+    for k in range(3):  # of each file a step takes one line; the rest of the step is too small for another file's line
+        f.put(f"a/{k}.log", "".join(line(3 * k + i, want[3 * k + i]) for i in range(3)))
+    f.take(block=64)
+    assert [m for _, m in f.lines()] == want and spark.read.parquet(f.bad).count() == 0
+
+
+def test_a_line_without_an_end_holds_no_other_file_up(tmp_path):
+    (tmp_path / "logs" / "a").mkdir(parents=True)
+    (tmp_path / "logs" / "a" / "0.log").write_text("first\n" + "x" * 300)
+    (tmp_path / "logs" / "a" / "1.log").write_text("second\n")
+    reader = Reader({"path": str(tmp_path / "logs"), "progress": str(tmp_path / "p"), "max_bytes": "100", "split_bytes": "1000", "fail_on_loss": "true"})
+    steps = [{f["path"]: f["at"] for f in reader.latestOffset()["files"].values()} for _ in range(3)]
+    assert steps == [{"a/0.log": 6, "a/1.log": 0}, {"a/0.log": 6, "a/1.log": 7}, {"a/0.log": 6, "a/1.log": 7}]
