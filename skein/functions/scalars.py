@@ -45,12 +45,12 @@ def thousands(n: Column) -> Column:
 
 
 def byte_unit(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB with two decimals; whole bytes below 1 KB."""
+    """Bytes, a long or a decimal, as B, KB, MB, GB or TB with two decimals; whole bytes below 1 KB."""
     power = F.lit(0)
     for k in (1, 2, 3, 4):
         power = F.when(n >= 1024**k, F.lit(k)).otherwise(power)
-    hundredths = F.floor(n / F.pow(F.lit(1024.0), power) * 100 + 0.5)
-    value = F.concat((hundredths / 100).cast("long").cast("string"), F.lit("."), F.lpad(F.pmod(hundredths, F.lit(100)).cast("string"), 2, "0"))
+    hundredths = (n / F.pow(F.lit(1024.0), power) * 100 + 0.5).cast("long")
+    value = F.concat(F.call_function("div", hundredths, F.lit(100)).cast("string"), F.lit("."), F.lpad(F.pmod(hundredths, F.lit(100)).cast("string"), 2, "0"))
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), power + 1)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat_ws(" ", value, unit))
 

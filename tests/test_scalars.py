@@ -1,7 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from skein.functions import scalars
 from skein.operators import histogram, search, selection
+from skein.plans.catalog import ORACLES, QUERIES
 from skein.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,14 @@ def test_grams_are_slices_of_the_squeezed_text(spark):
         s = "".join(c for c in (r.t or "").lower() if c.isalpha() or c.isdecimal())
         want = [] if not s else [s] if len(s) < 3 else list(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))
         assert (r.g or []) == want, r.t
+
+
+def test_sizes_of_more_than_64_bits(spark, tmp_path):
+    keys = [0, 1, 10, 11, 101, 1023, 10_321, 2_097_151, 2_097_152, 8_999_999, 1 << 31, 3_000_000_000]
+    rows = [(k, k % 11) for k in keys]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["round_format"](spark, str(tmp_path)).select("o_orderkey", "dotted", "size", "rounded").collect()
+    db = duckdb.connect()
+    db.sql(f"CREATE TABLE orders AS SELECT * FROM (VALUES {', '.join(f'({k}::HUGEINT, {c})' for k, c in rows)}) t(o_orderkey, o_custkey)")
+    want = db.sql(f"SELECT o_orderkey, dotted, size, rounded FROM ({ORACLES['round_format']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and ("71.270.992.081", "663021416.59 TB") in {tuple(r[1:3]) for r in got}
