@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -80,3 +81,30 @@ def test_many_messages(spark, share, limit):
         counts[x, p] = counts.get((x, p), 0) + 1
     got = [(r.message_pattern, r.n) for r in templates(frame(spark, messages), share, limit).collect()]
     assert sorted(got) == sorted((p, n) for (_, p), n in counts.items())
+
+
+def test_lines_cross_the_network_twice_and_nothing_else_is_stored(spark):
+    messages = [f"word{i % 50} of {i % 9} and {'abcdefghij'[i % 10]}" for i in range(3000)] + ["the common line"] * 2000
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in shared.iterdir()}
+    found = templates(frame(spark, messages))
+    patterns, of = want(messages)
+    firsts, counts = {}, {}
+    for i, x in enumerate(of):
+        firsts.setdefault(x, i)
+        counts[x] = counts.get(x, 0) + 1
+    assert sorted(map(tuple, found.collect())) == sorted((patterns[firsts[x]], len(patterns[firsts[x]].split(" ")), n, firsts[x]) for x, n in counts.items())
+    assert {p.name for p in shared.iterdir()} == before
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("limit", [3, 60, 1000])
+def test_leaves_of_many_lines_and_few_messages(spark, limit):
+    messages = ["same words here"] * 200 + [f"same words {'abcdefgh'[i % 8]}{i % 3}" for i in range(100)] + [None, "", " ", "  x"] * 30 + [f"a{chr(97 + i % 26)} b c{chr(97 + i // 26)} d e" for i in range(120)]
+    patterns, of = want(messages, 0.5, limit)
+    assert [r.message_pattern for r in template_of(frame(spark, messages), 0.5, limit).orderBy("seq").collect()] == patterns
+    counts = {}
+    for x, p in zip(of, patterns):
+        counts[x, p] = counts.get((x, p), 0) + 1
+    assert sorted((r.message_pattern, r.n) for r in templates(frame(spark, messages), 0.5, limit).collect()) == sorted((p, n) for (_, p), n in counts.items())
